@@ -1,0 +1,82 @@
+"""Given tables with faults put in: the clean ones have no orphans to find.
+
+Each fault is an expression both Spark SQL and the checking database read the
+same way.  All rows stay; keys are moved out of range or emptied, and some
+parents are repeated.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablewright.catalogs import STAR
+
+FAULTS = {
+    "region": {
+        "r_regionkey": "CASE WHEN r_name = 'ASIA' THEN r_regionkey + 1000 ELSE r_regionkey END",
+    },
+    "nation": {
+        "n_regionkey": "CASE WHEN n_name = 'NATION_7' THEN NULL ELSE n_regionkey END",
+    },
+    "customer": {
+        "c_custkey": "CASE WHEN c_mktsegment = 'BUILDING' "
+        "THEN c_custkey + 1000000000 ELSE c_custkey END",
+        "c_nationkey": "CASE WHEN c_acctbal < 0 THEN NULL ELSE c_nationkey END",
+    },
+    "part": {
+        "p_partkey": "CASE WHEN p_size >= 40 THEN p_partkey + 1000000000 ELSE p_partkey END",
+    },
+    "orders": {
+        "o_orderkey": "CASE WHEN o_orderstatus = 'P' "
+        "THEN o_orderkey + 1000000000 ELSE o_orderkey END",
+        "o_custkey": "CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE o_custkey END",
+    },
+    "lineitem": {
+        "l_suppkey": "CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' "
+        "THEN l_suppkey + 1000000000 ELSE l_suppkey END",
+        "l_partkey": "CASE WHEN l_quantity > 45 THEN NULL ELSE l_partkey END",
+    },
+    "documents": {
+        "doc_id": "CASE WHEN lang = 'fr' THEN doc_id + 1000000000 ELSE doc_id END",
+    },
+    "events": {
+        "user_id": "CASE WHEN event_type = 'error' THEN NULL ELSE user_id END",
+    },
+}
+REPEATED = {"supplier": "s_acctbal > 5000"}
+
+
+def given_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {name: given_table(spark, sf_dir, name) for name in STAR.tables}
+
+
+def dirty_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    tables = star_tables(spark, sf_dir)
+    for name, faults in FAULTS.items():
+        tables[name] = tables[name].withColumns({c: F.expr(e) for c, e in faults.items()})
+    for name, condition in REPEATED.items():
+        tables[name] = tables[name].unionByName(tables[name].where(condition))
+    return tables
+
+
+# Free-form replies made of the customers, in the shapes such replies take:
+# the asked-for object, quoted words, a numbered list, an object without the
+# asked-for list, an object with an empty one, and a bare JSON list.
+REPLY = """CASE
+  WHEN c_mktsegment = 'AUTOMOBILE' THEN
+    concat('{"names": ["', c_name, '", "Second ', c_custkey, '", "Third"]}')
+  WHEN c_mktsegment = 'BUILDING' THEN
+    concat('Try "', c_name, '" or else ''Spare ', c_custkey, ''' as well.')
+  WHEN c_mktsegment = 'FURNITURE' THEN
+    concat('Names:', chr(10), '1. Alpha ', c_custkey, chr(10), '  2.  Beta ', c_custkey,
+           chr(10), 'no item')
+  WHEN c_mktsegment = 'HOUSEHOLD' AND c_acctbal < 5000 THEN
+    concat('{"items": ["', c_name, '"]}')
+  WHEN c_mktsegment = 'HOUSEHOLD' THEN '{"names": null, "note": "none"}'
+  ELSE concat('["', c_name, '", "Listed ', c_custkey, '"]')
+END"""
