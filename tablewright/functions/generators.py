@@ -31,74 +31,73 @@ class Context:
     inclusive_ints: bool = False
 
 
-def key_value(row_id: Column) -> Column:
-    return row_id.cast("bigint")
+def key_value(row_id: str) -> Column:
+    return F.expr(f"CAST({row_id} AS bigint)")
 
 
-def text_value(name: str, row_id: Column) -> Column:
-    return F.concat(F.lit(name + "_"), row_id.cast("string"))
+def text_value(name: str, row_id: str) -> Column:
+    return F.concat(F.lit(name + "_"), F.expr(row_id))
 
 
-def email_value(row_id: Column) -> Column:
-    return F.concat(F.lit("user_"), row_id.cast("string"), F.lit("@example.com"))
+def email_value(row_id: str) -> Column:
+    return F.expr(f"concat('user_', {row_id}, '@example.com')")
 
 
-def phone_value(row_id: Column) -> Column:
+def phone_value(row_id: str) -> Column:
     """Always ten digits: a 9, then the last nine digits of the row id."""
-    digits = (row_id % F.lit(1_000_000_000)).cast("string")
-    return F.concat(F.lit("9"), F.lpad(digits, 9, "0"))
+    return F.expr(f"concat('9', lpad(CAST({row_id} % 1000000000 AS string), 9, '0'))")
 
 
-def enum_value(values, tag: str, row_id: Column, ctx: Context) -> Column:
-    choice = draw(ctx.seed, tag, row_id, len(values)).cast("int") + F.lit(1)
+def enum_value(values, tag: str, row_id: str, ctx: Context) -> Column:
+    choice = F.expr(f"CAST({draw(ctx.seed, tag, row_id, len(values))} AS int) + 1")
     return F.elt(choice, *[F.lit(v) for v in values])
 
 
-def decimal_value(low, high, tag: str, row_id: Column, ctx: Context) -> Column:
+def decimal_value(low, high, tag: str, row_id: str, ctx: Context) -> Column:
     """Both bounds reachable; drawn in whole cents, so no rounding takes place."""
     first, last = (int((Decimal(str(b)) * 100).to_integral_value()) for b in (low, high))
-    cents = F.lit(first) + draw(ctx.seed, tag, row_id, last - first + 1)
-    return (cents.cast("decimal(17,0)") * F.lit(Decimal("0.01"))).cast("decimal(19,2)")
+    cents = f"{first}L + {draw(ctx.seed, tag, row_id, last - first + 1)}"
+    return F.expr(f"CAST(CAST({cents} AS decimal(17,0)) * 0.01BD AS decimal(19,2))")
 
 
-def boolean_value(probability: float, tag: str, row_id: Column, ctx: Context) -> Column:
-    return chance(ctx.seed, tag, row_id, probability)
+def boolean_value(probability: float, tag: str, row_id: str, ctx: Context) -> Column:
+    return F.expr(chance(ctx.seed, tag, row_id, probability))
 
 
-def timestamp_value(range_days: int, tag: str, row_id: Column, ctx: Context) -> Column:
-    anchor = F.lit(int(ctx.as_of.timestamp()))
+def timestamp_value(range_days: int, tag: str, row_id: str, ctx: Context) -> Column:
+    anchor = int(ctx.as_of.timestamp())
     span = range_days * SECONDS_PER_DAY
     if ctx.constant_timestamps or span == 0:
-        return F.timestamp_seconds(anchor - F.lit(span))
-    return F.timestamp_seconds(anchor - draw(ctx.seed, tag, row_id, span))
+        return F.expr(f"timestamp_seconds({anchor - span}L)")
+    return F.expr(f"timestamp_seconds({anchor}L - {draw(ctx.seed, tag, row_id, span)})")
 
 
-def int_value(low: int, high: int, tag: str, row_id: Column, ctx: Context) -> Column:
+def int_value(low: int, high: int, tag: str, row_id: str, ctx: Context) -> Column:
     """Half open: the declared maximum is left out unless asked for."""
     width = int(high) - int(low) + (1 if ctx.inclusive_ints else 0)
     if width <= 0:
         return F.lit(int(low)).cast("int")
-    return (F.lit(int(low)) + draw(ctx.seed, tag, row_id, width)).cast("int")
+    return F.expr(f"CAST({int(low)}L + {draw(ctx.seed, tag, row_id, width)} AS int)")
 
 
-def dense_fk_value(parent_rows: int, tag: str, row_id: Column, ctx: Context) -> Column:
+def dense_fk_value(parent_rows: int, tag: str, row_id: str, ctx: Context) -> Column:
     """A key of a parent whose keys are 0..parent_rows-1: no join, no lookup.
 
     A parent without rows has no key to give, so the column is null.
     """
     if parent_rows < 1:
         return F.lit(None).cast("bigint")
-    return draw(ctx.seed, tag, row_id, parent_rows)
+    return F.expr(draw(ctx.seed, tag, row_id, parent_rows))
 
 
 def nullable_fk_value(
-    parent_rows: int, null_ratio: float, tag: str, row_id: Column, ctx: Context
+    parent_rows: int, null_ratio: float, tag: str, row_id: str, ctx: Context
 ) -> Column:
-    missing = chance(ctx.seed, tag + "/null", row_id, null_ratio)
+    missing = F.expr(chance(ctx.seed, tag + "/null", row_id, null_ratio))
     return F.when(~missing, dense_fk_value(parent_rows, tag, row_id, ctx))
 
 
-def column_value(table: TableSpec, column: ColumnSpec, row_id: Column, ctx: Context) -> Column:
+def column_value(table: TableSpec, column: ColumnSpec, row_id: str, ctx: Context) -> Column:
     tag = f"{table.name}.{column.name}"
     match column.kind:
         case "pk":
@@ -128,7 +127,7 @@ def column_value(table: TableSpec, column: ColumnSpec, row_id: Column, ctx: Cont
             raise ValueError(f"{tag}: no generator for column type {column.kind!r}")
 
 
-def table_values(table: TableSpec, row_id: Column, ctx: Context) -> dict[str, Column]:
+def table_values(table: TableSpec, row_id: str, ctx: Context) -> dict[str, Column]:
     """Every column of a table in output order: foreign keys first."""
     keys = {
         fk.column: dense_fk_value(

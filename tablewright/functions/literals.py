@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,13 +11,11 @@ from pyspark.sql import types as T
 
 def literal_frame(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     """A frame of driver-side constants, bounded by the catalog they come from."""
+    names = T.StructType.fromDDL(schema).fieldNames()
+    text = json.dumps([dict(zip(names, row)) for row in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{_typed(schema)}>>")))
+
+
+def _typed(schema: str) -> str:
     fields = T.StructType.fromDDL(schema).fields
-    structs = [
-        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(fields, row)])
-        for row in rows
-    ]
-    frame = spark.range(1)
-    if not rows:
-        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
-        return frame.where(F.lit(False)).select(*empty)
-    return frame.select(F.inline(F.array(*structs)))
+    return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in fields)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,17 +23,18 @@ def qualified(table: str, schema: str = DEFAULT_SCHEMA, dialect: str = "mssql")
     return f"{quoted(schema, dialect)}.{quoted(table, dialect)}"
 
 
-def sql_literal(value: Column, declared: str) -> Column:
+def sql_literal(value: str, declared: str) -> str:
     """A value of the declared type as SQL text; null and empty text give NULL."""
     target = sql_type(declared)
-    text = value.cast("string")
+    text = f"CAST({value} AS string)"
     if target == "BOOLEAN":
-        body = F.when(F.lower(text).isin("true", "1", "yes"), F.lit("1")).otherwise(F.lit("0"))
+        body = f"if(lower({text}) IN ('true', '1', 'yes'), '1', '0')"
     elif target in ("BIGINT", "DOUBLE", "DECIMAL(19,2)"):
         body = text
     else:
-        body = F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
-    return F.when(value.isNull() | (text == F.lit("")), F.lit("NULL")).otherwise(body)
+        quote = "chr(39)"
+        body = f"concat({quote}, replace({text}, {quote}, concat({quote}, {quote})), {quote})"
+    return f"if({value} IS NULL OR {text} = '', 'NULL', {body})"
 
 
 def insert_statements(
@@ -58,9 +59,9 @@ def insert_statements(
         kind = kinds.get(column.name, "string")
         if quote_fk and kind == "fk":
             kind = "string"
-        value = F.col(quoted(column.name, "mysql"))
+        value = quoted(column.name, "mysql")
         if kind == "decimal" and isinstance(column.dataType, (T.DoubleType, T.FloatType)):
-            value = value.cast("decimal(19,2)")
+            value = f"CAST({value} AS decimal(19,2))"
         literals.append(sql_literal(value, kind))
-    body = F.concat_ws(", ", *literals)
+    body = F.expr(f"concat_ws(', ', {', '.join(literals)})")
     return rows.select(F.concat(F.lit(prefix), body, F.lit(");")).alias("stmt"))

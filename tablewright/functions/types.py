@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 # The first name found inside the declared type decides.
 SQL_TYPES = (
@@ -30,21 +29,22 @@ def sql_type(declared: str) -> str:
     return next((sql for part, sql in SQL_TYPES if part in name), OTHER_SQL_TYPE)
 
 
-def typed_value(text: Column, declared: str) -> Column:
-    """Text as its declared type; null where it does not parse."""
+def typed_value(column: str, declared: str) -> str:
+    """A text column as its declared type; null where it does not parse."""
     target = sql_type(declared)
-    return text if target.startswith("VARCHAR") else text.try_cast(target)
+    return f"`{column}`" if target.startswith("VARCHAR") else f"try_cast(`{column}` AS {target})"
 
 
 def typed_projection(texts: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    return texts.select(*[typed_value(F.col(c), kind).alias(c) for c, kind in kinds.items()])
+    return texts.selectExpr(*[f"{typed_value(c, kind)} AS `{c}`" for c, kind in kinds.items()])
 
 
 def cast_failures(texts: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """Per column, how many non-null texts do not parse: one scan, one row per task."""
-    failed = {
-        c: F.count_if(F.col(c).isNotNull() & typed_value(F.col(c), kind).isNull())
-        for c, kind in kinds.items()
-    }
-    counts = texts.agg(*[n.alias(c) for c, n in failed.items()])
+    counts = texts.selectExpr(
+        *[
+            f"count_if(`{c}` IS NOT NULL AND {typed_value(c, kind)} IS NULL) AS `{c}`"
+            for c, kind in kinds.items()
+        ]
+    )
     return counts.unpivot([], list(kinds), "column_name", "failed_casts")

@@ -3,20 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.catalog import Catalog, ForeignKey
-from tablewright.operators.integrity import (
-    Tables,
-    fk_validate_all,
-    orphan_keys,
-    parent_fits_broadcast,
-)
+from tablewright.operators.integrity import Tables, fk_validate_all, orphan_keys
 from tablewright.operators.profile import table_counts
-from tablewright.operators.sizing import BROADCAST_BYTES
+from tablewright.operators.sizing import BROADCAST_BYTES, key_bytes
 from tablewright.sources.sinks import write_table
 from tablewright.sources.tables import read_table
 from tablewright.sources.workspace import materialized, workspace
@@ -38,6 +35,7 @@ def fk_clean_table(
     parents: Tables,
     *,
     broadcast_limit: int = BROADCAST_BYTES,
+    sizes: dict[tuple[str, str], int] | None = None,
 ) -> DataFrame:
     """Rows whose every key has its parent; references to missing tables are skipped.
 
@@ -45,12 +43,17 @@ def fk_clean_table(
     semi joins in one pass.  For the others the orphaned keys are found from
     key columns alone and written; dropping those is map-side again when they
     are few, so whole rows are shuffled only when orphaned keys are many.
+    ``sizes`` keeps measured key sizes by (parent, column) between calls.
     """
+    sizes = {} if sizes is None else sizes
     for edge in edges:
         parent = parents.get(edge.parent)
         if parent is None:
             continue
-        if parent_fits_broadcast(edge, parents, broadcast_limit):
+        place = (edge.parent, edge.parent_column)
+        if place not in sizes:
+            sizes[place] = key_bytes(parent, edge.parent_column)
+        if sizes[place] <= broadcast_limit:
             keys = F.broadcast(parent.select(edge.parent_column))
             child = fk_filter(child, edge.column, keys, edge.parent_column)
         else:
@@ -86,6 +89,7 @@ def fk_clean_cascade(
     folder: str | None = None,
     fmt: str = "parquet",
     broadcast_limit: int = BROADCAST_BYTES,
+    at_once: int = 4,
 ) -> CleanedDataset:
     """Clean every table, parents first, so children see cleaned parents.
 
@@ -102,23 +106,31 @@ def fk_clean_cascade(
     checked = fk_validate_all(spark, catalog.edges, tables)
     dirty = {
         (row.child_table, row.fk_column)
-        for row in checked.where("orphaned > 0").select("child_table", "fk_column").toLocalIterator()
+        for row in checked.where("orphaned > 0").select("child_table", "fk_column").collect()
     }
     cleaned = dict(tables)
     rewritten: list[str] = []
-    for name in catalog.load_order():
+    sizes: dict[tuple[str, str], int] = {}
+
+    def clean(name: str) -> bool:
         child = cleaned.get(name)
-        if child is None:
-            continue
         edges = [
             e
             for e in catalog.tables[name].foreign_keys
             if (name, e.column) in dirty or e.parent in rewritten
         ]
-        if not edges:
-            continue
-        kept = fk_clean_table(child, edges, cleaned, broadcast_limit=broadcast_limit)
+        if child is None or not edges:
+            return False
+        kept = fk_clean_table(
+            child, edges, cleaned, broadcast_limit=broadcast_limit, sizes=sizes
+        )
         write_table(kept, f"{folder}/{name}", fmt)
         cleaned[name] = read_table(spark, f"{folder}/{name}", fmt, child.schema)
-        rewritten.append(name)
+        return True
+
+    # Tables of one load level do not refer to each other: they run at once.
+    with ThreadPoolExecutor(at_once) as jobs:
+        for _, level in groupby(catalog.load_order(), key=catalog.levels().__getitem__):
+            names = list(level)
+            rewritten += [n for n, done in zip(names, jobs.map(clean, names)) if done]
     return CleanedDataset(dict(tables), cleaned, tuple(rewritten))

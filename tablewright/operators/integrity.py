@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +30,8 @@ EDGE_SCHEMA = (
 EDGE_COLUMNS = ("child_table", "fk_column", "parent_table", "parent_column")
 
 
-def null_safe_sum(column: str) -> Column:
-    return F.coalesce(F.sum(column), F.lit(0))
+def total_of(column: str) -> str:
+    return f"coalesce(sum({column}), 0L)"
 
 
 class _Plan:
@@ -83,76 +83,66 @@ def _key_type(child: T.DataType, parent: T.DataType) -> str:
 
 def _ledger(plan: _Plan, kind: str) -> DataFrame:
     """Per (parent, key): is it a key of the parent, and how many rows of each
-    reference hold it.  Each child is read once for all its references."""
-    parts = []
-    by_child: dict[str, list[ForeignKey]] = {}
-    for edge, edge_kind in plan.key_type.items():
-        if edge_kind == kind:
-            by_child.setdefault(edge.child, []).append(edge)
-    for child, edges in by_child.items():
-        entries = [
-            F.struct(
-                F.lit(plan.parent_number(e)).alias("parent"),
-                F.col(f"`{e.column}`").cast(kind).alias("key"),
-                F.lit(plan.slots[e]).alias("slot"),
-            )
-            for e in edges
-        ]
-        frame = plan.tables[child]
-        if len(entries) == 1:
-            parts.append(frame.select(entries[0].alias("e")).select("e.*"))
-        else:
-            parts.append(frame.select(F.inline(F.array(*entries))))
-    for (parent, column, parent_kind), number in plan.parents.items():
-        if parent_kind == kind:
-            keys = plan.tables[parent].select(F.col(f"`{column}`").cast(kind).alias("key"))
-            parts.append(
-                keys.where("key IS NOT NULL").select(
-                    F.lit(number).alias("parent"), "key", F.lit(-1).alias("slot")
-                )
-            )
+    reference hold it.  Every branch of the union reads one key column."""
+    parts = [
+        plan.tables[edge.child].selectExpr(
+            f"{plan.parent_number(edge)} AS parent",
+            f"CAST(`{edge.column}` AS {kind}) AS key",
+            f"{slot} AS slot",
+        )
+        for edge, slot in plan.slots.items()
+        if plan.key_type[edge] == kind
+    ]
+    parts += [
+        plan.tables[parent]
+        .selectExpr(f"{number} AS parent", f"CAST(`{column}` AS {kind}) AS key", "-1 AS slot")
+        .where("key IS NOT NULL")
+        for (parent, column, parent_kind), number in plan.parents.items()
+        if parent_kind == kind
+    ]
+    counters = [F.expr(f"count_if(slot = {i}) AS n{i}") for i in range(plan.width)]
     entries = reduce(DataFrame.union, parts)
-    counters = [F.count_if(F.col("slot") == i).alias(f"n{i}") for i in range(plan.width)]
-    present = (F.min("slot") < 0).alias("present")
-    return entries.groupBy("parent", "key").agg(present, *counters)
+    return entries.groupBy("parent", "key").agg(F.expr("min(slot) < 0 AS present"), *counters)
 
 
-def _per_edge(plan: _Plan, measures) -> DataFrame | None:
-    """Sum the ledger up per reference; ``measures(counter)`` names the sums."""
+def _per_edge(plan: _Plan, measures: dict[str, str]) -> DataFrame | None:
+    """Sum the ledger up per reference.  ``measures`` are aggregates by name,
+    over the counter ``n`` of the reference."""
     frames = []
+    slots = range(plan.width)
     for kind in dict.fromkeys(plan.key_type.values()):
-        ledger = _ledger(plan, kind)
-        names = list(measures(F.lit(0)))
         sums = [
-            measure.alias(f"{name}{i}")
-            for i in range(plan.width)
-            for name, measure in measures(F.col(f"n{i}")).items()
+            F.expr(f"{measure.format(n=f'n{i}')} AS {name}{i}")
+            for i in slots
+            for name, measure in measures.items()
         ]
-        totals = ledger.groupBy("parent").agg(*sums)
+        totals = _ledger(plan, kind).groupBy("parent").agg(*sums)
         rows = [
-            F.struct(F.lit(i).alias("slot"), *[F.col(f"{n}{i}").alias(n) for n in names])
-            for i in range(plan.width)
+            f"struct({i} AS slot, {', '.join(f'{name}{i} AS {name}' for name in measures)})"
+            for i in slots
         ]
-        frames.append(totals.select("parent", F.inline(F.array(*rows))))
+        frames.append(totals.selectExpr("parent", f"inline(array({', '.join(rows)}))"))
     return reduce(DataFrame.union, frames) if frames else None
 
 
-def _joined_to_edges(spark: SparkSession, plan: _Plan, measures) -> DataFrame:
-    """One row per declared reference; both sides are bounded by the catalog."""
+def _joined_to_edges(spark: SparkSession, plan: _Plan, measures: dict[str, str]) -> DataFrame:
+    """One row per declared reference, measures 0 where no row was seen and
+    null where a table is missing; both sides are bounded by the catalog."""
     edges = plan.edges_frame(spark)
     per_edge = _per_edge(plan, measures)
     if per_edge is None:
-        empty = {name: F.lit(None).cast("bigint") for name in measures(F.lit(0))}
-        return edges.withColumns(empty)
+        nothing = [f"CAST(NULL AS bigint) AS {name}" for name in measures]
+        return edges.selectExpr(*EDGE_COLUMNS, "_readable", *nothing)
     on = (F.col("_parent") == F.col("parent")) & (F.col("_slot") == F.col("slot"))
-    return edges.join(F.broadcast(per_edge), on, "left").drop("parent", "slot")
+    known = [f"if(_readable, coalesce({name}, 0L), NULL) AS {name}" for name in measures]
+    return edges.join(F.broadcast(per_edge), on, "left").selectExpr(
+        *EDGE_COLUMNS, "_readable", *known
+    )
 
 
-def percentage(part: Column, whole: Column) -> Column:
+def percentage(part: str, whole: str) -> str:
     """Share in percent, two decimals; 0 of nothing."""
-    return F.round(
-        F.when(whole > 0, part * F.lit(100.0) / whole).otherwise(F.lit(0.0)), 2
-    )
+    return f"round(if({whole} > 0, {part} * 100.0D / {whole}, 0.0D), 2)"
 
 
 def fk_validate_all(
@@ -172,35 +162,21 @@ def fk_validate_all(
         raise ValueError(f"null policy {null_policy!r} is neither 'orphan' nor 'ignore'")
     plan = _Plan(edges, tables)
 
-    def measures(n: Column) -> dict[str, Column]:
-        return {
-            "total": F.sum(n),
-            "valid": F.sum(F.when(F.col("present"), n)),
-            "nulls": F.sum(F.when(F.col("key").isNull(), n)),
-        }
-
-    counted = _joined_to_edges(spark, plan, measures)
-    known = {
-        name: F.when(F.col("_readable"), F.coalesce(name, F.lit(0).cast("bigint")))
-        for name in ("total", "valid", "nulls")
+    measures = {
+        "total": "sum({n})",
+        "valid": "sum(if(present, {n}, 0))",
+        "nulls": "sum(if(key IS NULL, {n}, 0))",
     }
-    counted = counted.withColumns(known)
-    total = F.col("total") - (F.col("nulls") if null_policy == "ignore" else F.lit(0))
-    counted = counted.withColumns({"total": total, "orphaned": total - F.col("valid")})
-    status = (
-        F.when(~F.col("_readable"), F.lit("SKIPPED"))
-        .when(F.col("orphaned") == 0, F.lit("OK"))
-        .otherwise(F.lit("FAIL"))
-    )
-    pct = F.when(F.col("_readable"), percentage(F.col("valid"), F.col("total")))
-    return counted.select(
+    ignored = "nulls" if null_policy == "ignore" else "0L"
+    counted = _joined_to_edges(spark, plan, measures).withColumn("total", F.expr(f"total - {ignored}"))
+    return counted.selectExpr(
         *EDGE_COLUMNS,
         "total",
         "valid",
-        "orphaned",
+        "total - valid AS orphaned",
         "nulls",
-        pct.alias("valid_pct"),
-        status.alias("status"),
+        f"if(_readable, {percentage('valid', 'total')}, NULL) AS valid_pct",
+        "CASE WHEN NOT _readable THEN 'SKIPPED' WHEN total = valid THEN 'OK' ELSE 'FAIL' END AS status",
     )
 
 
@@ -218,11 +194,12 @@ def fk_issues(checked: DataFrame) -> DataFrame:
 
 def fk_summary(checked: DataFrame) -> DataFrame:
     """Rows scanned, valid and orphaned over all references."""
-    return checked.agg(
-        null_safe_sum("total").alias("scanned"),
-        null_safe_sum("valid").alias("valid"),
-        null_safe_sum("orphaned").alias("orphaned"),
-    ).withColumn("is_valid", F.col("orphaned") == 0)
+    return checked.selectExpr(
+        f"{total_of('total')} AS scanned",
+        f"{total_of('valid')} AS valid",
+        f"{total_of('orphaned')} AS orphaned",
+        f"{total_of('orphaned')} = 0 AS is_valid",
+    )
 
 
 def fk_final_status(checked: DataFrame) -> DataFrame:
@@ -230,10 +207,10 @@ def fk_final_status(checked: DataFrame) -> DataFrame:
 
     A skipped reference counts as declared and not valid, and adds no orphans.
     """
-    return checked.agg(
-        F.count_if(F.col("orphaned") == 0).alias("valid_fks"),
-        F.count(F.lit(1)).alias("total_fks"),
-        null_safe_sum("orphaned").alias("orphaned"),
+    return checked.selectExpr(
+        "count_if(orphaned = 0) AS valid_fks",
+        "count(*) AS total_fks",
+        f"{total_of('orphaned')} AS orphaned",
     )
 
 
@@ -241,32 +218,21 @@ def fk_fan_in(spark: SparkSession, edges: Iterable[ForeignKey], tables: Tables)
     """Per reference: parent keys, how many are referenced, children per key."""
     plan = _Plan(edges, tables)
 
-    def measures(n: Column) -> dict[str, Column]:
-        here = F.when(F.col("present"), n)
-        return {
-            "parents": F.count(here),
-            "referenced": F.count_if(F.col("present") & (n > 0)),
-            "min_children": F.min(here),
-            "max_children": F.max(here),
-            "children": F.sum(here),
-        }
-
-    fan = _joined_to_edges(spark, plan, measures)
-    zero = F.lit(0).cast("bigint")
-    filled = {
-        name: F.when(F.col("_readable"), F.coalesce(name, zero))
-        for name in ("parents", "referenced", "min_children", "max_children", "children")
+    measures = {
+        "parents": "count_if(present)",
+        "referenced": "count_if(present AND {n} > 0)",
+        "min_children": "min(if(present, {n}, NULL))",
+        "max_children": "max(if(present, {n}, NULL))",
+        "children": "sum(if(present, {n}, 0))",
     }
-    fan = fan.withColumns(filled)
-    average = F.when(F.col("parents") > 0, F.col("children") / F.col("parents"))
-    return fan.select(
+    return _joined_to_edges(spark, plan, measures).selectExpr(
         *EDGE_COLUMNS,
         "parents",
         "referenced",
-        (F.col("parents") - F.col("referenced")).alias("never_referenced"),
+        "parents - referenced AS never_referenced",
         "min_children",
         "max_children",
-        F.round(average, 4).alias("avg_children"),
+        "round(if(parents > 0, children / parents, NULL), 4) AS avg_children",
     )
 
 
@@ -283,11 +249,6 @@ def orphan_keys(edge: ForeignKey, tables: Tables) -> DataFrame:
     )
 
 
-def parent_fits_broadcast(edge: ForeignKey, tables: Tables, limit: int = BROADCAST_BYTES) -> bool:
-    """Measured, not estimated: do the parent's keys fit every executor?"""
-    return key_bytes(tables[edge.parent].select(edge.parent_column), edge.parent_column) <= limit
-
-
 def fk_orphan_rows(
     edge: ForeignKey, tables: Tables, *, broadcast_limit: int = BROADCAST_BYTES
 ) -> DataFrame:
@@ -300,7 +261,7 @@ def fk_orphan_rows(
     """
     child = tables[edge.child]
     parent = tables[edge.parent].select(F.col(edge.parent_column).alias(edge.column))
-    if parent_fits_broadcast(edge, tables, broadcast_limit):
+    if key_bytes(parent, edge.column) <= broadcast_limit:
         return child.join(F.broadcast(parent), edge.column, "left_anti").select(*child.columns)
     keys = materialized(orphan_keys(edge, tables).select(edge.column))
     unmatched = child.join(keys, edge.column, "left_semi").select(*child.columns)
@@ -316,16 +277,14 @@ def fk_self_check(edge: ForeignKey, tables: Tables) -> DataFrame:
     """A table referring to itself: null keys are roots, not orphans."""
     spark = tables[edge.child].sparkSession
     checked = fk_validate_all(spark, [edge], tables, null_policy="ignore")
-    return checked.select(
-        (F.col("total") + F.col("nulls")).alias("total"), "nulls", "valid", "orphaned"
-    )
+    return checked.selectExpr("total + nulls AS total", "nulls", "valid", "orphaned")
 
 
 def duplicate_keys(table: DataFrame, *key: str) -> DataFrame:
     """Key values held by several rows, and null keys, with their row counts."""
-    missing = reduce(Column.__or__, [F.col(k).isNull() for k in key])
-    counted = table.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))
-    return counted.where((F.col("rows") > 1) | missing)
+    missing = " OR ".join(f"`{k}` IS NULL" for k in key)
+    counted = table.groupBy(*key).agg(F.expr("count(*) AS rows"))
+    return counted.where(f"rows > 1 OR {missing}")
 
 
 def distinct_keys(table: DataFrame, *key: str) -> DataFrame:
@@ -335,5 +294,5 @@ def distinct_keys(table: DataFrame, *key: str) -> DataFrame:
 def null_counts(table: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Null rows per column: one scan, one row of counters per task."""
     columns = list(columns or table.columns)
-    counts = table.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+    counts = table.selectExpr(*[f"count_if(`{c}` IS NULL) AS `{c}`" for c in columns])
     return counts.unpivot([], columns, "column_name", "null_rows")

@@ -155,7 +155,7 @@ def drawn_from_group(
         )
     )
     placed = rows.withColumn("_salt", _salt(row_id)).join(groups, [group, "_salt"], "left")
-    position = F.col("first") + draw(seed, tag, F.col(row_id), F.col("size"))
+    position = F.expr(f"first + {draw(seed, tag, row_id, 'size')}")
     slots = placed.withColumn("_slot", position).drop("_salt", "first", "size")
     return slots.join(_slots(pools, alias), "_slot", "left").drop("_slot")
 
@@ -167,7 +167,7 @@ def drawn_from_pool(
     entry = pools.directory.where((F.col("pool") == pool) & (F.col("grp") == "")).first()
     if entry is None:
         return rows.withColumn(alias, F.lit(None).cast("string"))
-    position = F.lit(entry["first"]) + draw(seed, tag, F.col(row_id), entry["size"])
+    position = F.expr(f"{entry['first']}L + {draw(seed, tag, row_id, entry['size'])}")
     slots = rows.withColumn("_slot", position)
     return slots.join(_slots(pools, alias), "_slot", "left").drop("_slot")
 

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.catalog import Catalog
 from tablewright.functions.literals import literal_frame
-from tablewright.operators.integrity import EDGE_COLUMNS, Tables, null_safe_sum, percentage
+from tablewright.operators.integrity import EDGE_COLUMNS, Tables, percentage, total_of
 
 
 def row_count(table: DataFrame) -> DataFrame:
-    return table.agg(F.count(F.lit(1)).alias("row_count"))
+    return table.selectExpr("count(*) AS row_count")
 
 
 def table_counts(spark: SparkSession, tables: Tables) -> DataFrame:
@@ -34,11 +34,10 @@ def table_counts(spark: SparkSession, tables: Tables) -> DataFrame:
         if table is not None
     ]
     if not marks:
-        return names.select("table_name", F.lit(None).cast("bigint").alias("row_count"))
-    counted = reduce(DataFrame.union, marks).groupBy("table_name").agg(F.count(F.lit(1)).alias("n"))
-    rows = F.when(F.col("_present"), F.coalesce("n", F.lit(0).cast("bigint")))
-    return names.join(F.broadcast(counted), "table_name", "left").select(
-        "table_name", rows.alias("row_count")
+        return names.selectExpr("table_name", "CAST(NULL AS bigint) AS row_count")
+    counted = reduce(DataFrame.union, marks).groupBy("table_name").agg(F.expr("count(*) AS n"))
+    return names.join(F.broadcast(counted), "table_name", "left").selectExpr(
+        "table_name", "if(_present, coalesce(n, 0L), NULL) AS row_count"
     )
 
 
@@ -61,9 +60,8 @@ def table_stats(spark: SparkSession, tables: Tables) -> DataFrame:
 
 
 def table_stats_total(stats: DataFrame) -> DataFrame:
-    return stats.agg(
-        null_safe_sum("row_count").alias("total_rows"),
-        null_safe_sum("column_count").alias("total_columns"),
+    return stats.selectExpr(
+        f"{total_of('row_count')} AS total_rows", f"{total_of('column_count')} AS total_columns"
     )
 
 
@@ -71,14 +69,15 @@ def level_rollup(spark: SparkSession, catalog: Catalog, tables: Tables) -> DataF
     """Tables and rows per load level, and over all levels."""
     levels = catalog.tables_frame(spark).select("table_name", "load_level")
     counted = table_counts(spark, tables).join(F.broadcast(levels), "table_name")
-    label = F.when(F.grouping("load_level") == 1, F.lit("TOTAL")).otherwise(
-        F.col("load_level").cast("string")
+    return (
+        counted.rollup("load_level")
+        .agg(
+            F.expr("if(grouping(load_level) = 1, 'TOTAL', CAST(load_level AS string)) AS level_name"),
+            F.expr("count(*) AS table_count"),
+            F.expr(f"{total_of('row_count')} AS row_count"),
+        )
+        .drop("load_level")
     )
-    return counted.rollup("load_level").agg(
-        label.alias("level_name"),
-        F.count(F.lit(1)).alias("table_count"),
-        null_safe_sum("row_count").alias("row_count"),
-    ).drop("load_level")
 
 
 def union_counts(spark: SparkSession, tables: Tables) -> DataFrame:
@@ -86,7 +85,9 @@ def union_counts(spark: SparkSession, tables: Tables) -> DataFrame:
 
 
 def total_records(spark: SparkSession, tables: Tables) -> DataFrame:
-    return table_counts(spark, tables).agg(null_safe_sum("row_count").alias("total_records"))
+    return table_counts(spark, tables).selectExpr(
+        f"{total_of('row_count')} AS total_records"
+    )
 
 
 def sample_rows(table: DataFrame, *order: str, rows: int = 5) -> DataFrame:
@@ -94,12 +95,11 @@ def sample_rows(table: DataFrame, *order: str, rows: int = 5) -> DataFrame:
     return table.orderBy(*order).limit(rows)
 
 
-def _as_text(column: str, kind: T.DataType) -> Column:
+def _as_text(value: str, kind: T.DataType) -> str:
     """Text form of an extreme; floating point as money with two decimals."""
-    value = F.col(column)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        value = value.cast("decimal(38,2)")
-    return value.cast("string")
+        value = f"CAST({value} AS decimal(38,2))"
+    return f"CAST({value} AS string)"
 
 
 def column_profile(table: DataFrame, *, distinct: str = "exact") -> DataFrame:
@@ -112,49 +112,39 @@ def column_profile(table: DataFrame, *, distinct: str = "exact") -> DataFrame:
     """
     if distinct not in ("exact", "approx"):
         raise ValueError(f"distinct {distinct!r} is neither 'exact' nor 'approx'")
-    fields = table.schema.fields
-    measures = {"rows": F.count(F.lit(1))}
-    for i, f in enumerate(fields):
-        measures[f"nulls{i}"] = F.count_if(F.col(f.name).isNull())
-        measures[f"min{i}"] = F.min(f.name)
-        measures[f"max{i}"] = F.max(f.name)
+    fields = list(enumerate(table.schema.fields))
+    measures = ["count(*) AS rows"]
+    for i, f in fields:
+        measures.append(f"count_if(`{f.name}` IS NULL) AS nulls{i}")
+        measures.append(f"{_as_text(f'min(`{f.name}`)', f.dataType)} AS min{i}")
+        measures.append(f"{_as_text(f'max(`{f.name}`)', f.dataType)} AS max{i}")
         if distinct == "approx":
-            measures[f"distinct{i}"] = F.approx_count_distinct(f.name)
-    totals = table.agg(*[m.alias(name) for name, m in measures.items()])
+            measures.append(f"approx_count_distinct(`{f.name}`) AS distinct{i}")
     entries = [
-        F.struct(
-            F.lit(f.name).alias("column_name"),
-            F.lit(f.dataType.simpleString()).alias("data_type"),
-            F.lit(f.nullable).alias("nullable"),
-            F.col("rows").alias("row_count"),
-            F.col(f"nulls{i}").alias("null_rows"),
-            _as_text(f"min{i}", f.dataType).alias("min_value"),
-            _as_text(f"max{i}", f.dataType).alias("max_value"),
-            (F.col(f"distinct{i}") if distinct == "approx" else F.lit(0)).alias("distinct_values"),
-        )
-        for i, f in enumerate(fields)
+        f"struct({i} AS position, rows AS row_count, nulls{i} AS null_rows, min{i} AS min_value, "
+        f"max{i} AS max_value, {f'distinct{i}' if distinct == 'approx' else '0L'} AS distinct_values)"
+        for i, _ in fields
     ]
-    profile = totals.select(F.inline(F.array(*entries)))
-    if distinct == "approx":
-        return profile
-    pairs = table.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(f.name).alias("column_name"), F.col(f.name).cast("string").alias("v")
-                    )
-                    for f in fields
-                ]
-            )
-        )
-    )
-    values = pairs.where("v IS NOT NULL").groupBy("column_name", "v").agg(F.lit(1).alias("one"))
-    counted = values.groupBy("column_name").agg(F.count("one").alias("n"))
-    return profile.join(F.broadcast(counted), "column_name", "left").select(
-        *[c for c in profile.columns if c != "distinct_values"],
-        F.coalesce("n", F.lit(0).cast("bigint")).alias("distinct_values"),
+    measured = table.selectExpr(*measures).selectExpr(f"inline(array({', '.join(entries)}))")
+    described = literal_frame(
+        table.sparkSession,
+        "position int, column_name string, data_type string, nullable boolean",
+        [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in fields],
     )
+    profile = described.join(F.broadcast(measured), "position")
+    if distinct == "exact":
+        pairs = ", ".join(
+            f"struct({i} AS position, CAST(`{f.name}` AS string) AS v)" for i, f in fields
+        )
+        values = table.selectExpr(f"inline(array({pairs}))").where("v IS NOT NULL").distinct()
+        counted = values.groupBy("position").agg(F.expr("count(*) AS n"))
+        profile = (
+            profile.drop("distinct_values")
+            .join(F.broadcast(counted), "position", "left")
+            .withColumn("distinct_values", F.expr("coalesce(n, 0L)"))
+            .drop("n")
+        )
+    return profile.drop("position")
 
 
 def fk_report(checked: DataFrame) -> DataFrame:
@@ -166,15 +156,13 @@ def fk_report(checked: DataFrame) -> DataFrame:
 
 def quality_score(checked: DataFrame) -> DataFrame:
     """Overall share of valid references and the verdict on it."""
-    totals = checked.agg(
-        null_safe_sum("total").alias("total_references"),
-        null_safe_sum("valid").alias("valid_references"),
+    totals = checked.selectExpr(
+        f"{total_of('total')} AS total_references", f"{total_of('valid')} AS valid_references"
     )
-    invalid = F.col("total_references") - F.col("valid_references")
-    return totals.select(
+    return totals.selectExpr(
         "total_references",
         "valid_references",
-        invalid.alias("invalid_references"),
-        percentage(F.col("valid_references"), F.col("total_references")).alias("valid_pct"),
-        F.when(invalid == 0, F.lit("PERFECT")).otherwise(F.lit("ISSUES")).alias("verdict"),
+        "total_references - valid_references AS invalid_references",
+        f"{percentage('valid_references', 'total_references')} AS valid_pct",
+        "if(total_references = valid_references, 'PERFECT', 'ISSUES') AS verdict",
     )

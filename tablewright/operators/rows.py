@@ -32,7 +32,7 @@ def generated_table(
     before the wide projection.
     """
     ids = range_source(spark, table.rows, partitions)
-    values = table_values(table, F.col("id"), ctx)
+    values = table_values(table, "id", ctx)
     pooled = {c.name: c.pool for c in table.columns if c.pool} if pools else {}
     if pooled:
         ids = with_pool_values(ids, table.name, pooled, pools, ctx.seed)

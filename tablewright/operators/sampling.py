@@ -66,6 +66,6 @@ def sampled_keys(
     count = index.count()
     if count == 0:
         return rows.withColumn(alias, F.lit(None).cast(parents.schema[key].dataType))
-    slots = rows.withColumn("_slot", draw(seed, tag, F.col(row_id), count))
+    slots = rows.withColumn("_slot", F.expr(draw(seed, tag, row_id, count)))
     named = index.select(F.col("idx").alias("_slot"), F.col(key).alias(alias))
     return slots.join(named, "_slot").drop("_slot")

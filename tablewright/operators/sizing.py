@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_PARTITION = 2_000_000
@@ -27,7 +26,7 @@ def key_bytes(keys: DataFrame, column: str) -> int:
     Over parquet the row count comes from the footers; only text and binary
     keys need a scan of their lengths.
     """
-    rows = F.count(F.lit(1)) * F.lit(FIXED_KEY_BYTES)
+    size = f"count(*) * {FIXED_KEY_BYTES}"
     if isinstance(keys.schema[column].dataType, (T.StringType, T.BinaryType)):
-        rows = rows + F.coalesce(F.sum(F.octet_length(column)), F.lit(0))
-    return keys.agg(rows).first()[0]
+        size += f" + coalesce(sum(octet_length(`{column}`)), 0)"
+    return keys.selectExpr(size).first()[0]

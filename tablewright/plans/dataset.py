@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,10 +36,19 @@ from tablewright.sources.tables import read_dataset
 
 
 def write_dataset(
-    tables: Mapping[str, DataFrame], root: str, fmt: str = "csv"
+    tables: Mapping[str, DataFrame], root: str, fmt: str = "csv", *, at_once: int = 4
 ) -> dict[str, int]:
-    """Write every table under ``root``; rows per table, observed while writing."""
-    return {name: write_table(t, f"{root}/{name}", fmt) for name, t in tables.items()}
+    """Write every table under ``root``; rows per table, observed while writing.
+
+    A few writes run at once, so small tables do not leave the cluster idle.
+    The first failure is raised.
+    """
+
+    def write(name: str) -> int:
+        return write_table(tables[name], f"{root}/{name}", fmt)
+
+    with ThreadPoolExecutor(at_once) as jobs:
+        return dict(zip(tables, jobs.map(write, tables)))
 
 
 def generate(spark: SparkSession, catalog: Catalog, root: str, **options) -> dict[str, int]:

@@ -1,6 +1,6 @@
-"""Given tables with faults put in: the clean ones have no orphans to find.
+"""The given tables, and the same with faults put in.
 
-Each fault is an expression both Spark SQL and the checking database read the
+The given tables are clean, so they have no orphans to find.  Each fault is an expression both Spark SQL and the checking database read the
 same way.  All rows stay; keys are moved out of range or emptied, and some
 parents are repeated.
 """
@@ -12,6 +12,27 @@ from pyspark.sql import functions as F
 
 from tablewright.catalogs import STAR
 
+# Columns of the given tables.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
 FAULTS = {
     "region": {
         "r_regionkey": "CASE WHEN r_name = 'ASIA' THEN r_regionkey + 1000 ELSE r_regionkey END",
@@ -48,7 +69,8 @@ REPEATED = {"supplier": "s_acctbal > 5000"}
 
 
 def given_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table under its known schema: no job to read a footer first."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

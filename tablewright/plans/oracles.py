@@ -7,7 +7,7 @@ from tablewright.catalogs import SHOP, STAR
 from tablewright.functions.draws import MASK31, MASK32, MIX_MULTIPLIERS, MIX_SHIFTS, stream_constants
 from tablewright.functions.generators import DEFAULT_AS_OF
 from tablewright.operators.pools import TEMPLATES, USER_NAMES, USER_TEMPLATE
-from tablewright.plans.dirty import FAULTS, REPEATED, REPLY
+from tablewright.plans.given import FAULTS, REPEATED, REPLY
 from tablewright.plans.queries import EDGES, ENUM_VALUES, QUERIES, SCRIPT_TABLES, SEED
 
 AS_OF = int(DEFAULT_AS_OF.timestamp())

@@ -36,7 +36,7 @@ from tablewright.operators.scripts import (
     write_table_scripts,
 )
 from tablewright.plans.dataset import write_dataset
-from tablewright.plans.dirty import REPLY, dirty_tables, given_table, star_tables
+from tablewright.plans.given import REPLY, dirty_tables, given_table, star_tables
 from tablewright.sources.sinks import write_table
 from tablewright.sources.tables import read_csv_text, read_dataset, read_table
 from tablewright.sources.workspace import workspace
@@ -56,7 +56,7 @@ def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _generated(value: Callable) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _ids(spark, sf_dir).select("id", value(F.col("id")).alias("value"))
+        return _ids(spark, sf_dir).select("id", value("id").alias("value"))
 
     return query
 
@@ -326,11 +326,9 @@ def q_fk_final_status(spark, sf_dir):
 def q_fk_self(spark, sf_dir):
     """Parts under drawn parents: some without one, some with one that is not there."""
     part = given_table(spark, sf_dir, "part")
-    key = F.col("p_partkey")
-    parent = F.when(
-        ~chance(SEED, "self.null", key, 0.3), draw(SEED, "self.parent", key, 2 * part.count())
-    )
-    tree = part.select("p_partkey", parent.alias("parent_key"))
+    drawn = draw(SEED, "self.parent", "p_partkey", 2 * part.count())
+    missing = chance(SEED, "self.null", "p_partkey", 0.3)
+    tree = part.selectExpr("p_partkey", f"if({missing}, NULL, {drawn}) AS parent_key")
     edge = ForeignKey("part", "parent_key", "part", "p_partkey")
     return integrity.fk_self_check(edge, {"part": tree})
 
@@ -402,21 +400,17 @@ def q_distinct_keys(spark, sf_dir):
 
 
 def q_sql_format_value(spark, sf_dir):
-    rows = given_table(spark, sf_dir, "customer")
-    text = F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.concat(F.lit("O'"), "c_name")).when(
-        F.col("c_mktsegment") != "MACHINERY", F.col("c_name")
-    )
-    text = F.when(F.col("c_mktsegment") == "BUILDING", F.lit("")).otherwise(text)
-    money = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).cast("decimal(19,2)")
-    return rows.select(
-        sql_literal(F.col("c_custkey"), "pk").alias("key_sql"),
-        sql_literal(text, "string").alias("text_sql"),
-        sql_literal(money, "decimal").alias("money_sql"),
-        sql_literal(F.col("c_acctbal") > 5000, "boolean").alias("flag_sql"),
-        sql_literal(F.when(F.col("c_acctbal") > 0, F.lit("Yes")).otherwise("no"), "bool").alias(
-            "word_sql"
-        ),
+    """Text with quotes, empty and missing text, money and flags."""
+    rows = given_table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS key",
+        "CASE c_mktsegment WHEN 'HOUSEHOLD' THEN concat('O', chr(39), c_name) "
+        "WHEN 'BUILDING' THEN '' WHEN 'MACHINERY' THEN NULL ELSE c_name END AS text",
+        "CAST(if(c_acctbal > 0, c_acctbal, NULL) AS decimal(19,2)) AS money",
+        "c_acctbal > 5000 AS flag",
+        "if(c_acctbal > 0, 'Yes', 'no') AS word",
     )
+    kinds = {"key": "pk", "text": "string", "money": "decimal", "flag": "boolean", "word": "bool"}
+    return rows.selectExpr(*[f"{sql_literal(c, kind)} AS {c}_sql" for c, kind in kinds.items()])
 
 
 def q_sql_insert(spark, sf_dir):
