@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.draws import draw
 from tablewright.functions.literals import literal_frame
 from tablewright.operators.sampling import dense_index
+from tablewright.operators.sizing import partitions_for
 from tablewright.sources.workspace import materialized
 
 POOL_SCHEMA = "pool string, grp string, size bigint, template string"
@@ -48,7 +49,7 @@ POOL_SIZES = {
 CATEGORY_POOLS = ("product_names", "brands", "descriptions")
 CITY_POOLS = ("addresses", "warehouse_names")
 
-CHUNK = 1_000_000
+CHUNK = 100_000
 SALT_BUCKETS = 32
 
 
@@ -65,14 +66,16 @@ def fallback_groups(spark: SparkSession) -> DataFrame:
 def pool_rows(groups: DataFrame) -> DataFrame:
     """Expand (pool, grp, size, template) to one row per value: (pool, grp, idx, value).
 
-    A group is first cut into chunks that are spread over the tasks, so a group
-    holding most of the values is not expanded by one task.
+    A group is first cut into chunks, which are spread over as many tasks as
+    the values deserve, so a group holding most values is not expanded by one.
     """
+    spark = groups.sparkSession
+    values = groups.selectExpr("coalesce(sum(size), 0)").first()[0]
     chunks = groups.where("size > 0").select(
         "*", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(CHUNK))).alias("_from")
     )
     last = F.least(F.col("_from") + F.lit(CHUNK), F.col("size")) - 1
-    spread = chunks.repartition("pool", "grp", "_from")
+    spread = chunks.repartition(partitions_for(spark, values), "pool", "grp", "_from")
     positions = spread.select(
         "pool", "grp", "template", F.explode(F.sequence("_from", last)).alias("idx")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,40 +60,39 @@ def _heading(number: int, table: str) -> tuple[list[str], list[str]]:
     return before, after
 
 
-def write_table_scripts(scripts: dict[str, DataFrame], root: str) -> list[str]:
+def write_table_scripts(scripts: dict[str, DataFrame], root: str, at_once: int = 4) -> list[str]:
     """One folder of text part files per table: ``NN_<Table>.sql``."""
-    paths = []
-    for number, (name, lines) in enumerate(scripts.items(), start=1):
-        path = f"{root}/{number:02d}_{name}.sql"
-        lines.write.mode("overwrite").text(path)
-        paths.append(path)
-    return paths
+    numbered = enumerate(scripts.items(), start=1)
+    paths = {f"{root}/{number:02d}_{name}.sql": lines for number, (name, lines) in numbered}
+    _write_text(paths, at_once)
+    return list(paths)
 
 
-def combined_script(
+def closing_lines(
     spark: SparkSession, scripts: dict[str, DataFrame], tables: Tables, schema: str = DEFAULT_SCHEMA
 ) -> DataFrame:
-    """All tables' scripts and a closing total as (load_order, line).
-
-    A union keeps its inputs' partitions one after the other, so load order
-    needs no shuffle and no task sees more than one input partition.
-    """
-    numbered = [
-        lines.select(F.lit(number).alias("load_order"), "line")
-        for number, lines in enumerate(scripts.values(), start=1)
-    ]
+    """The end of a script over all tables: the total of its rows."""
     total = total_records(spark, {name: tables[name] for name in scripts})
-    closing = [
+    lines = [
         F.concat(F.lit("-- Total rows inserted: "), F.format_number("total_records", 0)),
         F.lit(f"-- Total tables: {len(scripts)}"),
         F.lit(f"-- Schema: {schema}"),
     ]
-    footer = total.select(
-        F.lit(len(scripts) + 1).alias("load_order"), F.explode(F.array(*closing)).alias("line")
-    )
-    return reduce(DataFrame.union, [*numbered, footer])
+    return total.select(F.explode(F.array(*lines)).alias("line"))
+
+
+def write_combined_script(
+    scripts: dict[str, DataFrame], closing: DataFrame, path: str, at_once: int = 4
+) -> None:
+    """All tables' scripts and the closing lines under ``load_order=NN`` folders.
+
+    Sorted by name, the part files of all folders are one script in load order;
+    every partition of every table writes its own, with no shuffle and no sort.
+    """
+    parts = [*scripts.values(), closing]
+    _write_text({f"{path}/load_order={n:02d}": part for n, part in enumerate(parts, 1)}, at_once)
 
 
-def write_combined_script(script: DataFrame, path: str) -> None:
-    """Part files under ``load_order=N`` folders, named in order inside each."""
-    script.write.mode("overwrite").partitionBy("load_order").text(path)
+def _write_text(frames: dict[str, DataFrame], at_once: int) -> None:
+    with ThreadPoolExecutor(at_once) as jobs:
+        list(jobs.map(lambda f: f[1].write.mode("overwrite").text(f[0]), frames.items()))

@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.catalog import Catalog
+from tablewright.functions.sqltext import DEFAULT_SCHEMA
 from tablewright.operators.cleanup import CleanedDataset, fk_clean_cascade
 from tablewright.operators.integrity import (
     Tables,
@@ -26,7 +27,7 @@ from tablewright.operators.profile import (
 )
 from tablewright.operators.rows import generated_dataset
 from tablewright.operators.scripts import (
-    combined_script,
+    closing_lines,
     script_lines,
     write_combined_script,
     write_table_scripts,
@@ -96,15 +97,17 @@ def table_details(catalog: Catalog, name: str, table: DataFrame) -> dict[str, Da
 
 
 def export_sql(
-    spark: SparkSession, catalog: Catalog, tables: Tables, root: str, **options
+    spark: SparkSession,
+    catalog: Catalog,
+    tables: Tables,
+    root: str,
+    *,
+    schema: str = DEFAULT_SCHEMA,
+    **options,
 ) -> list[str]:
     """INSERT scripts per table and one over all tables, parents first."""
-    scripts = script_lines(catalog, tables, **options)
+    scripts = script_lines(catalog, tables, schema=schema, **options)
+    combined = f"{root}/consolidated_dml.sql"
     paths = write_table_scripts(scripts, root)
-    combined = combined_script(spark, scripts, tables, **_schema_only(options))
-    write_combined_script(combined, f"{root}/consolidated_dml.sql")
-    return [*paths, f"{root}/consolidated_dml.sql"]
-
-
-def _schema_only(options: dict) -> dict:
-    return {k: v for k, v in options.items() if k == "schema"}
+    write_combined_script(scripts, closing_lines(spark, scripts, tables, schema), combined)
+    return [*paths, combined]

@@ -30,7 +30,7 @@ from tablewright.operators.pools import (
 from tablewright.operators.rows import generated_dataset, generated_table, range_source
 from tablewright.operators.sampling import dense_index, sampled_keys
 from tablewright.operators.scripts import (
-    combined_script,
+    closing_lines,
     script_lines,
     write_combined_script,
     write_table_scripts,
@@ -141,7 +141,7 @@ def q_sink_sql_text(spark, sf_dir):
 def q_sink_sql_all(spark, sf_dir):
     tables, scripts = _scripts(spark, sf_dir)
     path = workspace(spark)
-    write_combined_script(combined_script(spark, scripts, tables), path)
+    write_combined_script(scripts, closing_lines(spark, scripts, tables), path)
     lines = spark.read.text(path)
     return lines.select(F.col("load_order").cast("int"), F.col("value").alias("line"))
 

@@ -15,19 +15,25 @@ def read_table(
     """One table, or None when nothing is stored at ``path``.
 
     With a declared schema nothing is inferred: no extra pass over the data,
-    and digits in a text column stay text.  Without one, csv and json infer.
+    and digits in a text column stay text.  Columns go by name: a csv file may
+    hold them in any order, lack some, or have more, which are read as text.
+    Parquet files bring their own schema.  Without a declared schema, csv and
+    json infer theirs.
     """
     if fmt not in OUTPUT_FORMATS:
         raise ValueError(f"format {fmt!r} is not one of {OUTPUT_FORMATS}")
-    reader = spark.read.format(fmt)
-    if fmt == "csv":
-        reader = reader.option("header", True)
-    if schema is not None and fmt != "parquet":
-        reader = reader.schema(schema)
-    elif fmt == "csv":
-        reader = reader.option("inferSchema", True)
     try:
-        return reader.load(path)
+        if fmt == "parquet":
+            return spark.read.parquet(path)
+        if fmt == "json":
+            reader = spark.read if schema is None else spark.read.schema(schema)
+            return reader.json(path)
+        if schema is None:
+            return spark.read.option("header", True).option("inferSchema", True).csv(path)
+        types = {f.name: f.dataType for f in schema}
+        header = read_csv_text(spark, path).columns
+        found = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in header])
+        return spark.read.option("header", True).schema(found).csv(path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
