@@ -16,7 +16,7 @@ from tablewright.operators.profile import table_counts
 from tablewright.operators.sizing import BROADCAST_BYTES, key_bytes
 from tablewright.sources.sinks import write_table
 from tablewright.sources.tables import read_table
-from tablewright.sources.workspace import materialized, workspace
+from tablewright.sources.workspace import workspace
 
 
 def fk_filter(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
@@ -40,12 +40,14 @@ def fk_clean_table(
     """Rows whose every key has its parent; references to missing tables are skipped.
 
     References to parents that measurably fit every executor become map-side
-    semi joins in one pass.  For the others the orphaned keys are found from
-    key columns alone and written; dropping those is map-side again when they
-    are few, so whole rows are shuffled only when orphaned keys are many.
+    semi joins in one pass.  For all others together, one pass over key columns
+    finds the orphaned keys; dropping those is map-side again when they are
+    few, so whole rows are shuffled only when orphaned keys are many.
     ``sizes`` keeps measured key sizes by (parent, column) between calls.
     """
     sizes = {} if sizes is None else sizes
+    given = child
+    large = []
     for edge in edges:
         parent = parents.get(edge.parent)
         if parent is None:
@@ -57,10 +59,13 @@ def fk_clean_table(
             keys = F.broadcast(parent.select(edge.parent_column))
             child = fk_filter(child, edge.column, keys, edge.parent_column)
         else:
-            found = orphan_keys(edge, {**parents, edge.child: child})
-            bad = materialized(found.select(edge.column))
+            large.append(edge)
+    if large:
+        names = {edge.child: given for edge in large}
+        for edge, bad in orphan_keys(large, {**parents, **names}).items():
             kept = child.where(F.col(edge.column).isNotNull())
-            child = kept.join(bad, edge.column, "left_anti").select(*child.columns)
+            keys = bad.select(edge.column)
+            child = kept.join(keys, edge.column, "left_anti").select(*child.columns)
     return child
 
 

@@ -236,17 +236,26 @@ def fk_fan_in(spark: SparkSession, edges: Iterable[ForeignKey], tables: Tables)
     )
 
 
-def orphan_keys(edge: ForeignKey, tables: Tables) -> DataFrame:
-    """Distinct non-null child keys that no parent has, with their row counts.
+def orphan_keys(edges: Iterable[ForeignKey], tables: Tables) -> dict[ForeignKey, DataFrame]:
+    """Per reference, the distinct non-null child keys that no parent has.
 
-    Keys keep the child's type, so they join back to the child as they are.
+    One ledger over key columns finds them for all references at once; they are
+    written, so their true size decides how rows are joined to them.  Keys keep
+    the child's type, under the child's column name, with their row counts.
     """
-    plan = _Plan([edge], tables)
-    child_type = tables[edge.child].schema[edge.column].dataType
-    ledger = _ledger(plan, plan.key_type[edge])
-    return ledger.where("NOT present AND key IS NOT NULL").select(
-        F.col("key").cast(child_type).alias(edge.column), F.col("n0").alias("orphaned")
-    )
+    plan = _Plan(edges, tables)
+    found = {}
+    for kind in dict.fromkeys(plan.key_type.values()):
+        orphans = materialized(_ledger(plan, kind).where("NOT present AND key IS NOT NULL"))
+        for edge, slot in plan.slots.items():
+            if plan.key_type[edge] != kind:
+                continue
+            own_type = tables[edge.child].schema[edge.column].dataType.simpleString()
+            own = orphans.where(f"parent = {plan.parent_number(edge)} AND n{slot} > 0")
+            found[edge] = own.selectExpr(
+                f"CAST(key AS {own_type}) AS `{edge.column}`", f"n{slot} AS orphaned"
+            )
+    return found
 
 
 def fk_orphan_rows(
@@ -255,15 +264,14 @@ def fk_orphan_rows(
     """Whole child rows that violate the reference, null keys included.
 
     With a small parent one map-side anti join does.  With a large one, whole
-    child rows are not shuffled to meet it: the ledger first finds the orphaned
-    keys, which are written, and the child is joined to those, map-side when
-    the written table is small.
+    child rows are not shuffled to meet it: the orphaned keys are found first,
+    and the child is joined to those, map-side when they are few.
     """
     child = tables[edge.child]
     parent = tables[edge.parent].select(F.col(edge.parent_column).alias(edge.column))
     if key_bytes(parent, edge.column) <= broadcast_limit:
         return child.join(F.broadcast(parent), edge.column, "left_anti").select(*child.columns)
-    keys = materialized(orphan_keys(edge, tables).select(edge.column))
+    keys = orphan_keys([edge], tables)[edge].select(edge.column)
     unmatched = child.join(keys, edge.column, "left_semi").select(*child.columns)
     return child.where(F.col(edge.column).isNull()).unionByName(unmatched)
 

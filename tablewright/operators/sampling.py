@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.draws import draw
-from tablewright.operators.sizing import partitions_for
+from tablewright.operators.sizing import BROADCAST_BYTES, key_bytes, partitions_for
 from tablewright.sources.workspace import materialized
 
 # A position inside a partition takes the low 33 bits of
@@ -59,13 +59,16 @@ def sampled_keys(
 
     Keys may be of any type and have gaps: rows draw a position, and an
     equi-join on the position brings the key.  Draws are uniform, so the join
-    has no hot key; the written index lets the optimizer broadcast it only when
-    it is small.  Without parents the column is null.
+    has no hot key; the index is broadcast only when its measured size allows.
+    Without parents the column is null.
     """
-    index = materialized(dense_index(parents.select(key), key))
-    count = index.count()
+    keys = parents.select(key)
+    count = keys.count()
     if count == 0:
         return rows.withColumn(alias, F.lit(None).cast(parents.schema[key].dataType))
-    slots = rows.withColumn("_slot", F.expr(draw(seed, tag, row_id, count)))
+    index = dense_index(keys, key, partitions=partitions_for(rows.sparkSession, count))
     named = index.select(F.col("idx").alias("_slot"), F.col(key).alias(alias))
+    if key_bytes(keys, key) <= BROADCAST_BYTES:
+        named = F.broadcast(named)
+    slots = rows.withColumn("_slot", F.expr(draw(seed, tag, row_id, count)))
     return slots.join(named, "_slot").drop("_slot")

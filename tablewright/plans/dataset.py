@@ -34,6 +34,7 @@ from tablewright.operators.scripts import (
 )
 from tablewright.sources.sinks import write_table
 from tablewright.sources.tables import read_dataset
+from tablewright.sources.workspace import materialized
 
 
 def write_dataset(
@@ -59,8 +60,12 @@ def generate(spark: SparkSession, catalog: Catalog, root: str, **options) -> dic
 
 
 def validate(spark: SparkSession, catalog: Catalog, tables: Tables) -> dict[str, DataFrame]:
-    """Every reference checked: all results, the failures, and the totals."""
-    checked = fk_validate_all(spark, catalog.edges, tables)
+    """Every reference checked: all results, the failures, and the totals.
+
+    The data is read once: the results, one row per reference, are written and
+    the views read those.
+    """
+    checked = materialized(fk_validate_all(spark, catalog.edges, tables))
     return {
         "checked": checked,
         "issues": fk_issues(checked),
@@ -78,10 +83,10 @@ def clean(spark: SparkSession, catalog: Catalog, root: str, target: str) -> Clea
 
 
 def report(spark: SparkSession, catalog: Catalog, tables: Tables) -> dict[str, DataFrame]:
-    """Statistics, references and quality of a dataset; one validation plan
-    serves both foreign key views."""
-    stats = table_stats(spark, tables)
-    checked = fk_validate_all(spark, catalog.edges, tables)
+    """Statistics, references and quality of a dataset; each table is counted
+    once and each reference checked once for all views."""
+    stats = materialized(table_stats(spark, tables)).orderBy("table_name")
+    checked = validate(spark, catalog, tables)["checked"]
     return {
         "stats": stats,
         "totals": table_stats_total(stats),

@@ -3,7 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tablewright import Catalog
-from tablewright.catalog import integer, pk, ref, table
+from tablewright.catalog import ForeignKey, integer, pk, ref, table
 from tablewright.operators.cleanup import fk_clean_cascade, fk_clean_table, fk_filter
 from tablewright.operators.integrity import fk_validate_all
 
@@ -78,8 +78,6 @@ def test_missing_parent_skips_its_reference(spark, tmp_path):
 def test_few_orphaned_keys_are_dropped_without_shuffling_rows(spark):
     child = spark.range(0, 20_000, 1, 4).selectExpr("id % 100 AS p", "id AS k", "'x' AS wide")
     tables = {"child": child, "parent": spark.range(99).withColumnRenamed("id", "pid")}
-    from tablewright.catalog import ForeignKey
-
     kept = fk_clean_table(
         child, [ForeignKey("child", "p", "parent", "pid")], tables, broadcast_limit=0
     )
