@@ -11,11 +11,7 @@ from pyspark.sql import types as T
 
 def literal_frame(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     """A frame of driver-side constants, bounded by the catalog they come from."""
-    names = T.StructType.fromDDL(schema).fieldNames()
-    text = json.dumps([dict(zip(names, row)) for row in rows])
-    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{_typed(schema)}>>")))
-
-
-def _typed(schema: str) -> str:
-    fields = T.StructType.fromDDL(schema).fields
-    return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in fields)
+    row_type = T.StructType.fromDDL(schema)
+    text = json.dumps([dict(zip(row_type.fieldNames(), row)) for row in rows])
+    parsed = F.from_json(F.lit(text), T.ArrayType(row_type))
+    return spark.range(0, 1, 1, 1).select(F.inline(parsed))

@@ -71,4 +71,6 @@ def sampled_keys(
     if key_bytes(keys, key) <= BROADCAST_BYTES:
         named = F.broadcast(named)
     slots = rows.withColumn("_slot", F.expr(draw(seed, tag, row_id, count)))
-    return slots.join(named, "_slot").drop("_slot")
+    # Every drawn position exists, so a left join keeps the same rows; unlike an
+    # inner join it does not evaluate the draw once more to test it for null.
+    return slots.join(named, "_slot", "left").drop("_slot")
