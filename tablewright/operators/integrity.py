@@ -83,15 +83,17 @@ def _key_type(child: T.DataType, parent: T.DataType) -> str:
 
 def _ledger(plan: _Plan, kind: str) -> DataFrame:
     """Per (parent, key): is it a key of the parent, and how many rows of each
-    reference hold it.  Every branch of the union reads one key column."""
+    reference hold it.  Each child is read once, its key columns only."""
+    by_child: dict[str, list[str]] = {}
+    for edge, slot in plan.slots.items():
+        if plan.key_type[edge] == kind:
+            entry = f"{plan.parent_number(edge)}, CAST(`{edge.column}` AS {kind}), {slot}"
+            by_child.setdefault(edge.child, []).append(entry)
     parts = [
-        plan.tables[edge.child].selectExpr(
-            f"{plan.parent_number(edge)} AS parent",
-            f"CAST(`{edge.column}` AS {kind}) AS key",
-            f"{slot} AS slot",
+        plan.tables[child].selectExpr(
+            f"stack({len(entries)}, {', '.join(entries)}) AS (parent, key, slot)"
         )
-        for edge, slot in plan.slots.items()
-        if plan.key_type[edge] == kind
+        for child, entries in by_child.items()
     ]
     parts += [
         plan.tables[parent]

@@ -46,6 +46,11 @@ def dataset_context(catalog: Catalog, **options) -> Context:
     return Context(seed=catalog.seed, parent_rows=rows, **options)
 
 
-def generated_dataset(spark: SparkSession, catalog: Catalog, **options) -> dict[str, DataFrame]:
+def generated_dataset(
+    spark: SparkSession, catalog: Catalog, *, pools: PoolSet | None = None, **options
+) -> dict[str, DataFrame]:
     ctx = dataset_context(catalog, **options)
-    return {name: generated_table(spark, t, ctx) for name, t in catalog.tables.items()}
+    return {
+        name: generated_table(spark, table, ctx, pools=pools)
+        for name, table in catalog.tables.items()
+    }

@@ -73,16 +73,19 @@ def given_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: given_table(spark, sf_dir, name) for name in STAR.tables}
+def star_tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    return {name: given_table(spark, sf_dir, name) for name in names or STAR.tables}
 
 
-def dirty_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    tables = star_tables(spark, sf_dir)
-    for name, faults in FAULTS.items():
-        tables[name] = tables[name].withColumns({c: F.expr(e) for c, e in faults.items()})
-    for name, condition in REPEATED.items():
-        tables[name] = tables[name].unionByName(tables[name].where(condition))
+def dirty_tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    """The given tables with their faults; all of the star unless named."""
+    tables = star_tables(spark, sf_dir, *names)
+    for name, frame in tables.items():
+        if name in FAULTS:
+            frame = frame.withColumns({c: F.expr(e) for c, e in FAULTS[name].items()})
+        if name in REPEATED:
+            frame = frame.unionByName(frame.where(REPEATED[name]))
+        tables[name] = frame
     return tables
 
 

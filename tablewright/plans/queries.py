@@ -119,7 +119,7 @@ def q_scan_typed_failures(spark, sf_dir):
 
 
 def q_sink_cleaned(spark, sf_dir):
-    tables = dirty_tables(spark, sf_dir)
+    tables = dirty_tables(spark, sf_dir, "customer", "orders")
     edge = EDGES["orders.o_custkey"]
     kept = cleanup.fk_clean_table(tables["orders"], [edge], tables)
     path = f"{workspace(spark)}/orders"
@@ -160,13 +160,13 @@ def q_fk_sample_dense(spark, sf_dir):
 
 
 def q_fk_sample_lookup(spark, sf_dir):
-    parents = dirty_tables(spark, sf_dir)["customer"]
+    parents = dirty_tables(spark, sf_dir, "customer")["customer"]
     ids = _ids(spark, sf_dir)
     return sampled_keys(ids, "id", parents, "c_custkey", "value", seed=SEED, tag="gen.lookup")
 
 
 def q_dense_index(spark, sf_dir):
-    return dense_index(dirty_tables(spark, sf_dir)["customer"].select("c_custkey"), "c_custkey")
+    return dense_index(dirty_tables(spark, sf_dir, "customer")["customer"].select("c_custkey"), "c_custkey")
 
 
 def sample_table(rows: int) -> c.TableSpec:
@@ -314,7 +314,12 @@ def _on_checked(view: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _on_edge(name: str, operator: Callable, **options) -> Query:
-    return lambda spark, sf_dir: operator(EDGES[name], dirty_tables(spark, sf_dir), **options)
+    edge = EDGES[name]
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return operator(edge, dirty_tables(spark, sf_dir, edge.child, edge.parent), **options)
+
+    return query
 
 
 def q_fk_final_status(spark, sf_dir):
@@ -344,14 +349,14 @@ def q_pk_unique(spark, sf_dir):
 
 
 def q_fk_filter(spark, sf_dir):
-    tables = dirty_tables(spark, sf_dir)
+    tables = dirty_tables(spark, sf_dir, "customer", "orders")
     return cleanup.fk_filter(tables["orders"], "o_custkey", tables["customer"], "c_custkey")
 
 
 def _clean_table(**options) -> Query:
     def query(spark, sf_dir):
-        tables = dirty_tables(spark, sf_dir)
         edges = STAR.tables["lineitem"].foreign_keys
+        tables = dirty_tables(spark, sf_dir, "lineitem", *[e.parent for e in edges])
         return cleanup.fk_clean_table(tables["lineitem"], edges, tables, **options)
 
     return query
@@ -385,7 +390,7 @@ def q_table_stats_total(spark, sf_dir):
 
 
 def q_column_profile(spark, sf_dir):
-    return profile.column_profile(dirty_tables(spark, sf_dir)["orders"])
+    return profile.column_profile(dirty_tables(spark, sf_dir, "orders")["orders"])
 
 
 def q_sample_rows(spark, sf_dir):
@@ -463,7 +468,7 @@ QUERIES: dict[str, Query] = {
     "fk_final_status": q_fk_final_status,
     "fk_self": q_fk_self,
     "pk_unique": q_pk_unique,
-    "null_check": lambda s, d: integrity.null_counts(dirty_tables(s, d)["lineitem"]),
+    "null_check": lambda s, d: integrity.null_counts(dirty_tables(s, d, "lineitem")["lineitem"]),
     "fk_filter": q_fk_filter,
     "fk_clean_table": _clean_table(),
     "fk_clean_table_by_key": _clean_table(broadcast_limit=0),

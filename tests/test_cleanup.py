@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tablewright import Catalog
 from tablewright.catalog import ForeignKey, integer, pk, ref, table
@@ -62,9 +63,10 @@ def test_clean_dataset_is_left_alone(spark, tmp_path):
     assert cleaned.rewritten == () and not (tmp_path / "out").exists()
 
 
-def test_all_rows_orphaned_leaves_an_empty_table(spark, tmp_path):
+@pytest.mark.parametrize("fmt", ["parquet", "csv", "json"])
+def test_all_rows_orphaned_leaves_an_empty_table(spark, tmp_path, fmt):
     tables = chain(spark, [1], [(7, 10)], [(10, 1, 100)])
-    cleaned = fk_clean_cascade(CHAIN, tables, folder=str(tmp_path / "out"))
+    cleaned = fk_clean_cascade(CHAIN, tables, folder=str(tmp_path / "out"), fmt=fmt)
     assert rows(cleaned.tables["mid"]) == [] and rows(cleaned.tables["leaf"]) == []
 
 
@@ -86,6 +88,36 @@ def test_few_orphaned_keys_are_dropped_without_shuffling_rows(spark):
     assert "BroadcastHashJoin" in plan and "LeftAnti" in plan and "SortMergeJoin" not in plan
 
 
+def test_many_orphaned_keys_and_a_hot_key_are_split(spark):
+    """A third of all rows hold one key; with nothing broadcast, the join of
+    whole rows splits its partition, and every row comes out."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    child = spark.range(0, 300_000, 1, 8).selectExpr(
+        "if(id % 3 = 0, 7L, id) AS p", "id AS k", "repeat(md5(CAST(id AS string)), 2) AS wide"
+    )
+    tables = {"child": child, "parent": spark.range(0, 150_000).withColumnRenamed("id", "pid")}
+    edge = ForeignKey("child", "p", "parent", "pid")
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        kept = fk_clean_table(child, [edge], tables, broadcast_limit=0).groupBy().agg(
+            F.count("k").alias("rows"), F.sum(F.length("wide")).alias("chars")
+        )
+        expected = 100_000 + sum(1 for i in range(150_000) if i % 3)
+        assert tuple(kept.collect()[0]) == (expected, expected * 64)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+
+
 key = st.one_of(st.none(), st.integers(0, 6))
 
 
