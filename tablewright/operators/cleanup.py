@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import groupby, repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,25 +117,28 @@ def fk_clean_cascade(
     rewritten: list[str] = []
     sizes: dict[tuple[str, str], int] = {}
 
-    def clean(name: str) -> bool:
-        child = cleaned.get(name)
+    def clean(name: str, parents: Tables) -> DataFrame | None:
+        child = parents.get(name)
         edges = [
             e
             for e in catalog.tables[name].foreign_keys
             if (name, e.column) in dirty or e.parent in rewritten
         ]
         if child is None or not edges:
-            return False
+            return None
         kept = fk_clean_table(
-            child, edges, cleaned, broadcast_limit=broadcast_limit, sizes=sizes
+            child, edges, parents, broadcast_limit=broadcast_limit, sizes=sizes
         )
         write_table(kept, f"{folder}/{name}", fmt)
-        cleaned[name] = read_table(spark, f"{folder}/{name}", fmt, child.schema)
-        return True
+        return read_table(spark, f"{folder}/{name}", fmt, child.schema)
 
-    # Tables of one load level do not refer to each other: they run at once.
+    # Tables of one load level wait for no other of it: they run at once, and
+    # all see the tables as the levels before left them.
     with ThreadPoolExecutor(at_once) as jobs:
         for _, level in groupby(catalog.load_order(), key=catalog.levels().__getitem__):
             names = list(level)
-            rewritten += [n for n, done in zip(names, jobs.map(clean, names)) if done]
+            results = jobs.map(clean, names, repeat(dict(cleaned)))
+            done = {name: table for name, table in zip(names, results) if table is not None}
+            cleaned |= done
+            rewritten += done
     return CleanedDataset(dict(tables), cleaned, tuple(rewritten))

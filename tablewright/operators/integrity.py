@@ -170,7 +170,8 @@ def fk_validate_all(
         "nulls": "sum(if(key IS NULL, {n}, 0))",
     }
     ignored = "nulls" if null_policy == "ignore" else "0L"
-    counted = _joined_to_edges(spark, plan, measures).withColumn("total", F.expr(f"total - {ignored}"))
+    counted = _joined_to_edges(spark, plan, measures)
+    counted = counted.withColumn("total", F.expr(f"total - {ignored}"))
     return counted.selectExpr(
         *EDGE_COLUMNS,
         "total",
@@ -178,7 +179,8 @@ def fk_validate_all(
         "total - valid AS orphaned",
         "nulls",
         f"if(_readable, {percentage('valid', 'total')}, NULL) AS valid_pct",
-        "CASE WHEN NOT _readable THEN 'SKIPPED' WHEN total = valid THEN 'OK' ELSE 'FAIL' END AS status",
+        "CASE WHEN NOT _readable THEN 'SKIPPED' WHEN total = valid THEN 'OK' ELSE 'FAIL' END "
+        "AS status",
     )
 
 

@@ -117,7 +117,8 @@ def indexed_pools(values: DataFrame) -> PoolSet:
     Sorting by group and value over all tasks numbers a group of any size
     without gathering it; its first position and size are plain aggregates.
     """
-    index = materialized(dense_index(values.select("pool", "grp", "value"), "pool", "grp", "value"))
+    values = materialized(values.select("pool", "grp", "value"))
+    index = materialized(dense_index(values, "pool", "grp", "value"))
     directory = index.groupBy("pool", "grp").agg(
         F.min("idx").alias("first"), F.count(F.lit(1)).alias("size")
     )
@@ -136,7 +137,8 @@ def numbered_values(pools: PoolSet) -> DataFrame:
 def _salted(directory: DataFrame) -> DataFrame:
     """``SALT_BUCKETS`` copies of each group's one row: a group that most rows
     belong to is then met by as many tasks."""
-    return directory.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))).alias("_salt"))
+    salts = F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))
+    return directory.select("*", F.explode(salts).alias("_salt"))
 
 
 def _salt(row_id: str) -> Column:

@@ -72,7 +72,9 @@ def level_rollup(spark: SparkSession, catalog: Catalog, tables: Tables) -> DataF
     return (
         counted.rollup("load_level")
         .agg(
-            F.expr("if(grouping(load_level) = 1, 'TOTAL', CAST(load_level AS string)) AS level_name"),
+            F.expr(
+                "if(grouping(load_level) = 1, 'TOTAL', CAST(load_level AS string)) AS level_name"
+            ),
             F.expr("count(*) AS table_count"),
             F.expr(f"{total_of('row_count')} AS row_count"),
         )
@@ -122,7 +124,8 @@ def column_profile(table: DataFrame, *, distinct: str = "exact") -> DataFrame:
             measures.append(f"approx_count_distinct(`{f.name}`) AS distinct{i}")
     entries = [
         f"struct({i} AS position, rows AS row_count, nulls{i} AS null_rows, min{i} AS min_value, "
-        f"max{i} AS max_value, {f'distinct{i}' if distinct == 'approx' else '0L'} AS distinct_values)"
+        f"max{i} AS max_value, "
+        f"{f'distinct{i}' if distinct == 'approx' else '0L'} AS distinct_values)"
         for i, _ in fields
     ]
     measured = table.selectExpr(*measures).selectExpr(f"inline(array({', '.join(entries)}))")

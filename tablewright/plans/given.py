@@ -1,8 +1,9 @@
 """The given tables, and the same with faults put in.
 
-The given tables are clean, so they have no orphans to find.  Each fault is an expression both Spark SQL and the checking database read the
-same way.  All rows stay; keys are moved out of range or emptied, and some
-parents are repeated.
+The given tables are clean, so they have no orphans to find.  Each fault is an
+expression both Spark SQL and the checking database read the same way.  All
+rows stay; keys are moved out of range or emptied, and some parents are
+repeated.
 """
 
 from __future__ import annotations
