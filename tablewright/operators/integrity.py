@@ -81,20 +81,23 @@ def _key_type(child: T.DataType, parent: T.DataType) -> str:
     return child.simpleString() if child == parent else "string"
 
 
+def _entries(entries: list[tuple]) -> list[str]:
+    """(parent, key, slot) of every reference of a row, as one row each."""
+    if len(entries) == 1:
+        return [f"{value} AS {name}" for value, name in zip(entries[0], ("parent", "key", "slot"))]
+    listed = ", ".join(str(value) for entry in entries for value in entry)
+    return [f"stack({len(entries)}, {listed}) AS (parent, key, slot)"]
+
+
 def _ledger(plan: _Plan, kind: str) -> DataFrame:
     """Per (parent, key): is it a key of the parent, and how many rows of each
     reference hold it.  Each child is read once, its key columns only."""
-    by_child: dict[str, list[str]] = {}
+    by_child: dict[str, list[tuple]] = {}
     for edge, slot in plan.slots.items():
         if plan.key_type[edge] == kind:
-            entry = f"{plan.parent_number(edge)}, CAST(`{edge.column}` AS {kind}), {slot}"
+            entry = (plan.parent_number(edge), f"CAST(`{edge.column}` AS {kind})", slot)
             by_child.setdefault(edge.child, []).append(entry)
-    parts = [
-        plan.tables[child].selectExpr(
-            f"stack({len(entries)}, {', '.join(entries)}) AS (parent, key, slot)"
-        )
-        for child, entries in by_child.items()
-    ]
+    parts = [plan.tables[child].selectExpr(*_entries(e)) for child, e in by_child.items()]
     parts += [
         plan.tables[parent]
         .selectExpr(f"{number} AS parent", f"CAST(`{column}` AS {kind}) AS key", "-1 AS slot")

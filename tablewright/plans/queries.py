@@ -151,7 +151,8 @@ def q_sink_sql_all(spark, sf_dir):
 
 def q_gen_nullable_fk(spark, sf_dir):
     parents = given_table(spark, sf_dir, "customer").count()
-    return _generated(lambda i: g.nullable_fk_value(parents, 0.7, "gen.parent", i, CTX))(spark, sf_dir)
+    nullable = _generated(lambda i: g.nullable_fk_value(parents, 0.7, "gen.parent", i, CTX))
+    return nullable(spark, sf_dir)
 
 
 def q_fk_sample_dense(spark, sf_dir):
@@ -224,9 +225,9 @@ def q_gen_pool_name(spark, sf_dir):
     names = given_table(spark, sf_dir, "customer").select(
         F.lit("user_names").alias("pool"), F.lit("").alias("grp"), F.col("c_name").alias("value")
     )
-    return drawn_from_pool(
-        _ids(spark, sf_dir), "id", "user_names", indexed_pools(names), "name", seed=SEED, tag="gen.name"
-    )
+    pools = indexed_pools(names)
+    ids = _ids(spark, sf_dir)
+    return drawn_from_pool(ids, "id", "user_names", pools, "name", seed=SEED, tag="gen.name")
 
 
 def _brand_values(spark, sf_dir):
@@ -248,6 +249,7 @@ def _pool_groups(spark, sf_dir):
     """Pools as large as the given tables: users and addresses per customer,
     product values per part of a type."""
     customer = given_table(spark, sf_dir, "customer")
+    part = given_table(spark, sf_dir, "part")
     nation = given_table(spark, sf_dir, "nation")
     users = customer.agg(F.count(F.lit(1)).alias("size")).select(
         F.lit("user_names").alias("pool"),
@@ -255,7 +257,7 @@ def _pool_groups(spark, sf_dir):
         "size",
         F.lit(USER_TEMPLATE).alias("template"),
     )
-    by_type = given_table(spark, sf_dir, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("size"))
+    by_type = part.groupBy("p_type").agg(F.count(F.lit(1)).alias("size"))
     by_city = (
         customer.groupBy("c_nationkey")
         .agg(F.count(F.lit(1)).alias("size"))
@@ -263,7 +265,9 @@ def _pool_groups(spark, sf_dir):
     )
 
     def grouped(sizes, group, pools):
-        entries = [F.struct(F.lit(p).alias("pool"), F.lit(TEMPLATES[p]).alias("template")) for p in pools]
+        entries = [
+            F.struct(F.lit(p).alias("pool"), F.lit(TEMPLATES[p]).alias("template")) for p in pools
+        ]
         return sizes.select(F.col(group).alias("grp"), "size", F.inline(F.array(*entries)))
 
     return users.unionByName(

@@ -17,11 +17,13 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def workspace(spark: SparkSession) -> str:
     """A fresh folder name under ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test on one machine) falls back to
-    a temporary folder.
+    A session on one machine may do without that setting and gets a temporary
+    folder; on a cluster, where no other machine could read it, it is an error.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
         base = tempfile.mkdtemp(prefix="tablewright-")
     return f"{base.rstrip('/')}/tablewright-{uuid.uuid4().hex}"
 

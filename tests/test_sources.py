@@ -89,6 +89,23 @@ def test_workspace_is_under_the_named_folder(spark):
     assert first.startswith(base) and first != second
 
 
+class Settings:
+    """Stands in for a session where only its settings matter."""
+
+    def __init__(self, **values):
+        self.conf = self
+        self.values = {name.replace("_", "."): value for name, value in values.items()}
+
+    def get(self, name, default=None):
+        return self.values.get(name, default)
+
+
+def test_workspace_without_a_named_folder():
+    assert "tablewright-" in workspace(Settings(spark_master="local[2]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        workspace(Settings(spark_master="yarn"))
+
+
 def test_stats_show_missing_and_empty_tables(spark):
     tables = {"b": spark.range(3), "a": None, "c": spark.range(0)}
     assert [tuple(r) for r in table_stats(spark, tables).collect()] == [
