@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tablewright.llm import bpe, secrets, viterbi
 from tablewright.llm.columns import given
 from tablewright.llm.licenses import license_scan
 from tablewright.llm.quality import quality_verdicts
@@ -13,10 +16,43 @@ from tablewright.llm.quality import quality_verdicts
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.digests(given(spark, sf_dir, "documents"), path)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = viterbi.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
+    return viterbi.token_counts(given(spark, sf_dir, "documents"), pieces)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(given(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(given(spark, sf_dir, "documents"))
+
+    def named(kinds: tuple[str, ...]) -> Column:
+        chosen = F.filter("spans", lambda s: s["kind"].isin(*kinds))
+        return F.array_join(
+            F.transform(
+                chosen, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+            ),
+            ",",
+        )
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+
+    return found.select(
+        "doc_id",
+        *(number(kind).alias(f"n_{kind}") for kind in secrets.KINDS),
+        F.sha2(named(secrets.KINDS[:3]), 256).alias("base_sha256"),
+        named(secrets.KINDS).alias("spans"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(given(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -32,6 +68,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op5_bpe_codec": op5_bpe_codec,
+    "op6_token_counts": op6_token_counts,
     "op8_license_scan": op8_license_scan,
+    "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
