@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tablewright.llm.bpe import tokens
 from tablewright.llm.columns import given, materialized
+from tablewright.llm.decontamination import leaking_removed
+from tablewright.llm.nearduplicates import one_of_each
 from tablewright.llm.quality import rejected_removed
+from tablewright.llm.secrets import redacted
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +21,39 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rejected_removed(docs)
 
 
-STAGES = [("quality", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return leaking_removed(docs, given(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; every document stays."""
+    return redacted(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with the text they decode to."""
+    return tokens(docs, TOKENIZER).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded"
+    )
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("encoding", encoding),
+]
+
+# Markov models, edit distances and BPE are beyond SQL; tests/llm compares each
+# stage with a brute-force version.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +62,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _, stage in STAGES:
         docs = materialized(stage(spark, docs, sf_dir))
     return docs
-
-
-ORACLE_SQL = None

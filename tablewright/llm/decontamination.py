@@ -28,6 +28,7 @@ SHARD_CHARS = 4 << 20
 SHIFT = 9
 TABLE_BITS = 22
 BASE = np.uint64(0x9E3779B97F4A7C15)
+FACTORS = np.arange(1, 1 << 12, dtype=np.uint64) * np.uint64(2) * BASE + BASE
 
 
 @dataclass(frozen=True)
@@ -69,7 +70,7 @@ def gram_hashes(chars: np.ndarray, q: int) -> np.ndarray:
 
 
 def joined(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
-    out = left[: len(right) - size] * (BASE * np.uint64(2 * size + 1))
+    out = left[: len(right) - size] * FACTORS[size]
     out ^= right[size:]
     out ^= out >> np.uint64(29)
     return out
@@ -153,18 +154,20 @@ class Index:
     def bands(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece and first diagonal of the bands that meet the bound."""
         at, owner, place = self.matches(chars)
-        diagonal = at - place
-        width = np.maximum(self.edits[owner], 1)
-        last = diagonal // width
-        keys = []
-        for band in (last - 1, last):
-            keys.append(np.stack([owner, band, place], 1))
         if not len(at):
             return at, at
-        found = np.unique(np.concatenate(keys), axis=0)  # each place of a piece once
-        pairs, number = np.unique(found[:, :2], axis=0, return_counts=True)
-        pairs = pairs[number >= self.least[pairs[:, 0]]]
-        return pairs[:, 0], pairs[:, 1] * np.maximum(self.edits[pairs[:, 0]], 1)
+        width = np.maximum(self.edits[owner], 1)
+        last = (at - place) // width
+        # One number for piece, band and place; bands start below 0.
+        bands, places = len(chars) + 4 * self.longest, self.longest + 1
+        keys = [(owner * bands + band + 2 * self.longest) * places + place for band in (last - 1, last)]
+        found = np.unique(np.concatenate(keys)) // places  # each place of a piece once
+        cuts = np.flatnonzero(np.diff(found, prepend=-1))
+        number = np.diff(cuts, append=len(found))
+        owner, band = np.divmod(found[cuts], bands)
+        good = number >= self.least[owner]
+        owner, band = owner[good], band[good] - 2 * self.longest
+        return owner, band * np.maximum(self.edits[owner], 1)
 
 
 def aligned(piece: np.ndarray, windows: np.ndarray, width: int, opening: np.ndarray) -> np.ndarray:
@@ -194,7 +197,7 @@ def verified(chars: np.ndarray, piece: Piece, lows: np.ndarray) -> Iterator[tupl
     lows = np.maximum(lows, -width)
     if not len(lows):
         return
-    windows = padded[(lows + width)[:, None] + np.arange(size + width)]
+    windows = padded[(lows + width)[:, None] + np.arange(size + width - 1)]
     ends = aligned(piece.chars, windows, width, np.zeros((len(lows), width), np.int64))
     best = ends.argmin(axis=1)
     edits = ends[np.arange(len(lows)), best]
@@ -202,7 +205,8 @@ def verified(chars: np.ndarray, piece: Piece, lows: np.ndarray) -> Iterator[tupl
     if not len(good):
         return
     # From the end back: the diagonal that the alignment starts on.
-    closing = np.abs(np.arange(width) - (width - 1 - best[good])[:, None])
+    closing = np.arange(width) - (width - 1 - best[good])[:, None]
+    closing[closing < 0] = size
     starts = aligned(piece.chars[::-1], windows[good][:, ::-1], width, closing)
     begin = width - 1 - starts.argmin(axis=1)
     for c, b, s in zip(good.tolist(), best[good].tolist(), begin.tolist(), strict=True):

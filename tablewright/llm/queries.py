@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, secrets, viterbi
+from tablewright.llm import bpe, decontamination, nearduplicates, secrets, viterbi
 from tablewright.llm.columns import given
 from tablewright.llm.licenses import license_scan
 from tablewright.llm.quality import quality_verdicts
@@ -16,6 +16,15 @@ from tablewright.llm.quality import quality_verdicts
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = given(spark, sf_dir, "documents"), given(spark, sf_dir, "benchmark")
+    return decontamination.leaks(docs, benchmark).drop("text_key")
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearduplicates.near_duplicates(given(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return bpe.digests(given(spark, sf_dir, "documents"), path)
@@ -68,6 +77,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_decontamination": op3_decontamination,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_token_counts": op6_token_counts,
     "op8_license_scan": op8_license_scan,
