@@ -8,7 +8,15 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, decontamination, nearduplicates, secrets, viterbi
+from tablewright.llm import (
+    bpe,
+    decontamination,
+    nearduplicates,
+    passages,
+    secrets,
+    substrings,
+    viterbi,
+)
 from tablewright.llm.columns import given
 from tablewright.llm.licenses import license_scan
 from tablewright.llm.quality import quality_verdicts
@@ -16,6 +24,22 @@ from tablewright.llm.quality import quality_verdicts
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def removed(spans: str = "spans") -> Column:
+    return F.aggregate(
+        spans, F.lit(0).cast("bigint"), lambda total, s: total + s["end"] - s["start"]
+    ).alias("n_removed")
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substrings_removed(given(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        removed(),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = given(spark, sf_dir, "documents"), given(spark, sf_dir, "benchmark")
     return decontamination.leaks(docs, benchmark).drop("text_key")
@@ -35,6 +59,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.token_counts(given(spark, sf_dir, "documents"), pieces)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages_removed(given(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", removed(), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(given(spark, sf_dir, "documents"))
 
@@ -77,10 +107,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_token_counts": op6_token_counts,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
