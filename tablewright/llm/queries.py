@@ -13,6 +13,7 @@ from tablewright.llm import (
     decontamination,
     nearduplicates,
     passages,
+    quotations,
     secrets,
     substrings,
     viterbi,
@@ -24,6 +25,10 @@ from tablewright.llm.quality import quality_verdicts
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.conversations(given(spark, sf_dir, "conversations"))
+
+
 def removed(spans: str = "spans") -> Column:
     return F.aggregate(
         spans, F.lit(0).cast("bigint"), lambda total, s: total + s["end"] - s["start"]
@@ -107,6 +112,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quotation_linking": op1_quotation_linking,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_near_duplicates": op4_near_duplicates,
