@@ -40,12 +40,14 @@ SPARK_TYPES = {
 
 @dataclass(frozen=True)
 class ForeignKey:
-    """``child.column`` must hold a value of ``parent.parent_column``."""
+    """``child.column`` must hold a value of ``parent.parent_column``; a
+    ``nullable`` one may also be null."""
 
     child: str
     column: str
     parent: str
     parent_column: str
+    nullable: bool = False
 
 
 @dataclass(frozen=True)
@@ -91,7 +93,7 @@ class TableSpec:
     def nullable_keys(self) -> tuple[ForeignKey, ...]:
         """References declared as ``fk`` columns, which may be null."""
         return tuple(
-            ForeignKey(self.name, c.name, c.ref_table, c.ref_column)
+            ForeignKey(self.name, c.name, c.ref_table, c.ref_column, True)
             for c in self.columns
             if c.kind == "fk" and c.ref_table
         )
@@ -109,7 +111,7 @@ class Catalog:
             raise ValueError(
                 f"output format {self.output_format!r} is not one of {OUTPUT_FORMATS}"
             )
-        for edge in self.edges + self.nullable_edges:
+        for edge in self.all_edges:
             if edge.parent not in self.tables:
                 raise ValueError(f"{edge.child}.{edge.column}: no table {edge.parent!r}")
 
@@ -123,25 +125,50 @@ class Catalog:
         """References that rows may leave null."""
         return [edge for table in self.tables.values() for edge in table.nullable_keys]
 
+    @property
+    def all_edges(self) -> list[ForeignKey]:
+        return self.edges + self.nullable_edges
+
+    def components(self) -> list[list[str]]:
+        """Tables that reach each other over references, as one list; every list
+        after those its tables refer to."""
+        parents: dict[str, list[str]] = {name: [] for name in self.tables}
+        for edge in self.all_edges:
+            parents[edge.child].append(edge.parent)
+        reach = {name: self._reached(name, parents) for name in self.tables}
+        found: dict[str, list[str]] = {}
+        for name in self.tables:
+            mates = [n for n in reach[name] if name in reach[n]] or [name]
+            found.setdefault(min(mates), []).append(name)
+        # A component reaches strictly more tables than any it refers to.
+        return sorted(found.values(), key=lambda c: len(reach[c[0]] | set(c)))
+
+    @staticmethod
+    def _reached(name: str, parents: dict[str, list[str]]) -> set[str]:
+        seen: set[str] = set()
+        ahead = list(parents[name])
+        while ahead:
+            table = ahead.pop()
+            if table not in seen:
+                seen.add(table)
+                ahead += parents[table]
+        return seen
+
     def levels(self) -> dict[str, int]:
         """0 for tables without parents, else one more than the deepest parent.
 
-        A reference of a table to itself adds no level.  Tables on a cycle get
-        the level after every table that can be placed.
+        A reference of a table to itself adds no level.  Tables on a cycle share
+        one, above 0, and the tables that refer to them come after it.
         """
-        parents = {
-            name: {e.parent for e in table.foreign_keys + table.nullable_keys} - {name}
-            for name, table in self.tables.items()
-        }
         placed: dict[str, int] = {}
-        while len(placed) < len(parents):
-            ready = [n for n in parents if n not in placed and parents[n] <= placed.keys()]
-            if not ready:
-                top = max(placed.values(), default=-1) + 1
-                ready = [n for n in parents if n not in placed]
-                placed |= dict.fromkeys(ready, top)
-                break
-            placed |= {n: max((placed[p] + 1 for p in parents[n]), default=0) for n in ready}
+        for mates in self.components():
+            above = [
+                placed[e.parent] + 1
+                for e in self.all_edges
+                if e.child in mates and e.parent not in mates
+            ]
+            level = max(above, default=0)
+            placed |= dict.fromkeys(mates, max(level, 1) if len(mates) > 1 else level)
         return placed
 
     def load_order(self) -> list[str]:

@@ -11,12 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.catalog import Catalog, ForeignKey
-from tablewright.operators.integrity import Tables, fk_validate_all, orphan_keys
+from tablewright.operators.integrity import (
+    KEY,
+    Tables,
+    fk_validate_all,
+    joined_by_key,
+    key_comparison,
+    orphan_keys,
+)
 from tablewright.operators.profile import table_counts
 from tablewright.operators.sizing import BROADCAST_BYTES, key_bytes
 from tablewright.sources.sinks import write_table
 from tablewright.sources.tables import read_table
-from tablewright.sources.workspace import workspace
+from tablewright.sources.workspace import materialized, workspace
 
 
 def fk_filter(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
@@ -25,8 +32,10 @@ def fk_filter(child: DataFrame, column: str, parent: DataFrame, parent_column: s
     A semi join: repeated parent keys do no harm, the optimizer broadcasts the
     parent's keys when they are small and splits hot child keys when not.
     """
-    keys = parent.select(F.col(parent_column).alias(column))
-    return child.join(keys, column, "left_semi").select(*child.columns)
+    edge = ForeignKey("child", column, "parent", parent_column)
+    form = key_comparison(edge, {"child": child, "parent": parent})
+    keys = parent.selectExpr(f"{form.parent} AS {KEY}")
+    return joined_by_key(child, form.child, keys, "left_semi")
 
 
 def fk_clean_table(
@@ -55,17 +64,18 @@ def fk_clean_table(
         place = (edge.parent, edge.parent_column)
         if place not in sizes:
             sizes[place] = key_bytes(parent, edge.parent_column)
-        if sizes[place] <= broadcast_limit:
-            keys = F.broadcast(parent.select(edge.parent_column))
-            child = fk_filter(child, edge.column, keys, edge.parent_column)
+        if sizes[place] <= broadcast_limit and not edge.nullable:
+            form = key_comparison(edge, {**parents, edge.child: given})
+            keys = F.broadcast(parent.selectExpr(f"{form.parent} AS {KEY}"))
+            child = joined_by_key(child, form.child, keys, "left_semi")
         else:
             large.append(edge)
     if large:
         names = {edge.child: given for edge in large}
         for edge, bad in orphan_keys(large, {**parents, **names}).items():
-            kept = child.where(F.col(edge.column).isNotNull())
-            keys = bad.select(edge.column)
-            child = kept.join(keys, edge.column, "left_anti").select(*child.columns)
+            form = key_comparison(edge, {**parents, **names})
+            kept = joined_by_key(child, form.child, bad, "left_anti")
+            child = kept if edge.nullable else kept.where(F.col(edge.column).isNotNull())
     return child
 
 
@@ -102,43 +112,76 @@ def fk_clean_cascade(
     rewritten when one of its own references has some, or one of its parents
     lost rows.  Rewritten tables go to a new folder, in ``fmt``; the input is
     never changed, and each written table is what its children are joined to.
+    Tables that refer to themselves or to each other are cleaned round after
+    round, each round written, until one removes nothing.
     """
     present = [t for t in tables.values() if t is not None]
     if not present:
         return CleanedDataset(dict(tables), dict(tables), ())
     spark = present[0].sparkSession
     folder = folder or workspace(spark)
-    checked = fk_validate_all(spark, catalog.edges, tables)
+    checked = fk_validate_all(spark, catalog.all_edges, tables)
     dirty = {
         (row.child_table, row.fk_column)
         for row in checked.where("orphaned > 0").select("child_table", "fk_column").collect()
     }
+    references = {name: t.foreign_keys + t.nullable_keys for name, t in catalog.tables.items()}
     cleaned = dict(tables)
     rewritten: list[str] = []
     sizes: dict[tuple[str, str], int] = {}
 
-    def clean(name: str, parents: Tables) -> DataFrame | None:
-        child = parents.get(name)
-        edges = [
+    def concerned(name: str, parents: Tables, changed: set[str]) -> list[ForeignKey]:
+        """References of a table that are to be applied now."""
+        if parents.get(name) is None:
+            return []
+        return [
             e
-            for e in catalog.tables[name].foreign_keys
-            if (name, e.column) in dirty or e.parent in rewritten
+            for e in references[name]
+            if (name, e.column) in dirty or e.parent in changed or e.parent in rewritten
         ]
-        if child is None or not edges:
-            return None
-        kept = fk_clean_table(
-            child, edges, parents, broadcast_limit=broadcast_limit, sizes=sizes
+
+    def applied(name: str, edges: list[ForeignKey], parents: Tables, sized: dict) -> DataFrame:
+        return fk_clean_table(
+            parents[name], edges, parents, broadcast_limit=broadcast_limit, sizes=sized
         )
+
+    def stored(name: str, kept: DataFrame) -> DataFrame:
         write_table(kept, f"{folder}/{name}", fmt)
-        return read_table(spark, f"{folder}/{name}", fmt, child.schema)
+        return read_table(spark, f"{folder}/{name}", fmt, tables[name].schema)
+
+    def clean_one(name: str, parents: Tables) -> dict[str, DataFrame]:
+        edges = concerned(name, parents, set())
+        return {name: stored(name, applied(name, edges, parents, sizes))} if edges else {}
+
+    def clean_together(names: list[str], parents: Tables) -> dict[str, DataFrame]:
+        now, changed = dict(parents), set()
+        ahead = {n for n in names if concerned(n, now, set())}
+        while ahead:
+            lost = set()
+            for name in names:
+                if name not in ahead:
+                    continue
+                # Sizes of these tables shrink from round to round: measured anew.
+                kept = materialized(applied(name, concerned(name, now, changed), now, {}))
+                if kept.count() < now[name].count():
+                    lost.add(name)
+                now[name] = kept
+            changed |= lost
+            ahead = {n for n in names if any(e.parent in lost for e in references[n])}
+            ahead = {n for n in ahead if now.get(n) is not None}
+        return {n: stored(n, now[n]) for n in names if n in changed}
+
+    def clean(names: list[str], parents: Tables) -> dict[str, DataFrame]:
+        own = {e.parent for n in names for e in references[n]} & set(names)
+        return clean_together(names, parents) if own else clean_one(names[0], parents)
 
     # Tables of one load level wait for no other of it: they run at once, and
     # all see the tables as the levels before left them.
+    levels = catalog.levels()
+    ordered = sorted(catalog.components(), key=lambda names: levels[names[0]])
     with ThreadPoolExecutor(at_once) as jobs:
-        for _, level in groupby(catalog.load_order(), key=catalog.levels().__getitem__):
-            names = list(level)
-            results = jobs.map(clean, names, repeat(dict(cleaned)))
-            done = {name: table for name, table in zip(names, results) if table is not None}
-            cleaned |= done
-            rewritten += done
+        for _, level in groupby(ordered, key=lambda names: levels[names[0]]):
+            for done in list(jobs.map(clean, level, repeat(dict(cleaned)))):
+                cleaned |= done
+                rewritten += done
     return CleanedDataset(dict(tables), cleaned, tuple(rewritten))

@@ -14,9 +14,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablewright.catalog import ForeignKey
+from tablewright.functions.comparison import Comparison, comparison
 from tablewright.functions.literals import literal_frame
 from tablewright.operators.sizing import BROADCAST_BYTES, key_bytes
 from tablewright.sources.workspace import materialized
@@ -25,8 +25,10 @@ Tables = Mapping[str, DataFrame | None]
 
 EDGE_SCHEMA = (
     "child_table string, fk_column string, parent_table string, parent_column string, "
-    "_parent int, _slot int, _readable boolean"
+    "_parent int, _slot int, _readable boolean, _nullable boolean"
 )
+# The column of keys in comparable form; no table has one of this name.
+KEY = "_tablewright_key"
 EDGE_COLUMNS = ("child_table", "fk_column", "parent_table", "parent_column")
 
 
@@ -42,43 +44,48 @@ class _Plan:
         self.tables = tables
         self.parents: dict[tuple[str, str, str], int] = {}
         self.slots: dict[ForeignKey, int] = {}
-        self.key_type: dict[ForeignKey, str] = {}
-        used: dict[int, int] = {}
+        self.forms: dict[ForeignKey, Comparison] = {}
+        self.used: dict[int, int] = {}
         for edge in self.edges:
             if not self.readable(edge):
                 continue
-            kind = _key_type(
-                tables[edge.child].schema[edge.column].dataType,
-                tables[edge.parent].schema[edge.parent_column].dataType,
-            )
-            self.key_type[edge] = kind
+            form = key_comparison(edge, tables)
+            self.forms[edge] = form
             parent = self.parents.setdefault(
-                (edge.parent, edge.parent_column, kind), len(self.parents)
+                (edge.parent, form.parent, form.kind), len(self.parents)
             )
-            self.slots[edge] = used.get(parent, 0)
-            used[parent] = self.slots[edge] + 1
-        self.width = max(used.values(), default=0)
+            self.slots[edge] = self.used.get(parent, 0)
+            self.used[parent] = self.slots[edge] + 1
+        self.width = max(self.used.values(), default=0)
 
     def readable(self, edge: ForeignKey) -> bool:
         return None not in (self.tables.get(edge.child), self.tables.get(edge.parent))
 
     def parent_number(self, edge: ForeignKey) -> int:
-        return self.parents[(edge.parent, edge.parent_column, self.key_type[edge])]
+        form = self.forms[edge]
+        return self.parents[(edge.parent, form.parent, form.kind)]
+
+    @property
+    def kinds(self) -> list[str]:
+        return list(dict.fromkeys(form.kind for form in self.forms.values()))
 
     def edges_frame(self, spark: SparkSession) -> DataFrame:
         rows = []
         for e in self.edges:
             ok = self.readable(e)
             place = (self.parent_number(e), self.slots[e]) if ok else (None, None)
-            rows.append((e.child, e.column, e.parent, e.parent_column, *place, ok))
+            rows.append((e.child, e.column, e.parent, e.parent_column, *place, ok, e.nullable))
         return literal_frame(spark, EDGE_SCHEMA, rows)
 
 
-def _key_type(child: T.DataType, parent: T.DataType) -> str:
-    integral = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-    if isinstance(child, integral) and isinstance(parent, integral):
-        return "bigint"
-    return child.simpleString() if child == parent else "string"
+def key_comparison(edge: ForeignKey, tables: Tables) -> Comparison:
+    """How this reference's keys compare; the same for counting and for joining."""
+    return comparison(
+        tables[edge.child].schema[edge.column].dataType,
+        f"`{edge.column}`",
+        tables[edge.parent].schema[edge.parent_column].dataType,
+        f"`{edge.parent_column}`",
+    )
 
 
 def _entries(entries: list[tuple]) -> list[str]:
@@ -91,19 +98,19 @@ def _entries(entries: list[tuple]) -> list[str]:
 
 def _ledger(plan: _Plan, kind: str) -> DataFrame:
     """Per (parent, key): is it a key of the parent, and how many rows of each
-    reference hold it.  Each child is read once, its key columns only."""
-    by_child: dict[str, list[tuple]] = {}
+    reference hold it.  Each table is read once, its key columns only, whether
+    child or parent or both."""
+    by_table: dict[str, list[tuple]] = {}
     for edge, slot in plan.slots.items():
-        if plan.key_type[edge] == kind:
-            entry = (plan.parent_number(edge), f"CAST(`{edge.column}` AS {kind})", slot)
-            by_child.setdefault(edge.child, []).append(entry)
-    parts = [plan.tables[child].selectExpr(*_entries(e)) for child, e in by_child.items()]
-    parts += [
-        plan.tables[parent]
-        .selectExpr(f"{number} AS parent", f"CAST(`{column}` AS {kind}) AS key", "-1 AS slot")
-        .where("key IS NOT NULL")
-        for (parent, column, parent_kind), number in plan.parents.items()
-        if parent_kind == kind
+        if plan.forms[edge].kind == kind:
+            entry = (plan.parent_number(edge), plan.forms[edge].child, slot)
+            by_table.setdefault(edge.child, []).append(entry)
+    for (parent, form, parent_kind), number in plan.parents.items():
+        if parent_kind == kind:
+            by_table.setdefault(parent, []).append((number, form, -1))
+    parts = [
+        plan.tables[table].selectExpr(*_entries(e)).where("slot >= 0 OR key IS NOT NULL")
+        for table, e in by_table.items()
     ]
     counters = [F.expr(f"count_if(slot = {i}) AS n{i}") for i in range(plan.width)]
     entries = reduce(DataFrame.union, parts)
@@ -115,7 +122,7 @@ def _per_edge(plan: _Plan, measures: dict[str, str]) -> DataFrame | None:
     over the counter ``n`` of the reference."""
     frames = []
     slots = range(plan.width)
-    for kind in dict.fromkeys(plan.key_type.values()):
+    for kind in plan.kinds:
         sums = [
             F.expr(f"{measure.format(n=f'n{i}')} AS {name}{i}")
             for i in slots
@@ -137,11 +144,11 @@ def _joined_to_edges(spark: SparkSession, plan: _Plan, measures: dict[str, str])
     per_edge = _per_edge(plan, measures)
     if per_edge is None:
         nothing = [f"CAST(NULL AS bigint) AS {name}" for name in measures]
-        return edges.selectExpr(*EDGE_COLUMNS, "_readable", *nothing)
+        return edges.selectExpr(*EDGE_COLUMNS, "_readable", "_nullable", *nothing)
     on = (F.col("_parent") == F.col("parent")) & (F.col("_slot") == F.col("slot"))
     known = [f"if(_readable, coalesce({name}, 0L), NULL) AS {name}" for name in measures]
     return edges.join(F.broadcast(per_edge), on, "left").selectExpr(
-        *EDGE_COLUMNS, "_readable", *known
+        *EDGE_COLUMNS, "_readable", "_nullable", *known
     )
 
 
@@ -160,7 +167,8 @@ def fk_validate_all(
     """Total, valid and orphaned rows of every reference.
 
     A null key is an orphan, counted apart in ``nulls``; with
-    ``null_policy="ignore"`` it is neither total, valid nor orphan, as in SQL.
+    ``null_policy="ignore"``, and for nullable references always, it is neither
+    total, valid nor orphan, as in SQL.
     A reference whose child or parent is missing is SKIPPED, with null counts.
     """
     if null_policy not in ("orphan", "ignore"):
@@ -172,7 +180,7 @@ def fk_validate_all(
         "valid": "sum(if(present, {n}, 0))",
         "nulls": "sum(if(key IS NULL, {n}, 0))",
     }
-    ignored = "nulls" if null_policy == "ignore" else "0L"
+    ignored = "nulls" if null_policy == "ignore" else "if(_nullable, nulls, 0L)"
     counted = _joined_to_edges(spark, plan, measures)
     counted = counted.withColumn("total", F.expr(f"total - {ignored}"))
     return counted.selectExpr(
@@ -187,10 +195,15 @@ def fk_validate_all(
     )
 
 
+def _session(tables: Tables) -> SparkSession:
+    given = [t for t in tables.values() if t is not None]
+    return given[0].sparkSession if given else SparkSession.active()
+
+
 def fk_valid_count(edge: ForeignKey, tables: Tables) -> DataFrame:
-    """Total, valid, orphaned and percentage of one reference."""
-    spark = tables[edge.child].sparkSession
-    checked = fk_validate_all(spark, [edge], tables)
+    """Total, valid, orphaned and percentage of one reference; nulls where a
+    table is missing."""
+    checked = fk_validate_all(_session(tables), [edge], tables)
     return checked.select("total", "valid", "orphaned", "valid_pct")
 
 
@@ -200,12 +213,13 @@ def fk_issues(checked: DataFrame) -> DataFrame:
 
 
 def fk_summary(checked: DataFrame) -> DataFrame:
-    """Rows scanned, valid and orphaned over all references."""
+    """Rows scanned, valid and orphaned over all references; a reference that
+    was skipped leaves nothing valid."""
     return checked.selectExpr(
         f"{total_of('total')} AS scanned",
         f"{total_of('valid')} AS valid",
         f"{total_of('orphaned')} AS orphaned",
-        f"{total_of('orphaned')} = 0 AS is_valid",
+        f"{total_of('orphaned')} = 0 AND count_if(status = 'SKIPPED') = 0 AS is_valid",
     )
 
 
@@ -247,42 +261,51 @@ def orphan_keys(edges: Iterable[ForeignKey], tables: Tables) -> dict[ForeignKey,
     """Per reference, the distinct non-null child keys that no parent has.
 
     One ledger over key columns finds them for all references at once; they are
-    written, so their true size decides how rows are joined to them.  Keys keep
-    the child's type, under the child's column name, with their row counts.
+    written, so their true size decides how rows are joined to them.  Keys are in
+    comparable form, as ``KEY``, with their row counts.
     """
     plan = _Plan(edges, tables)
     found = {}
-    for kind in dict.fromkeys(plan.key_type.values()):
+    for kind in plan.kinds:
         orphans = materialized(_ledger(plan, kind).where("NOT present AND key IS NOT NULL"))
         for edge, slot in plan.slots.items():
-            if plan.key_type[edge] != kind:
+            if plan.forms[edge].kind != kind:
                 continue
-            own_type = tables[edge.child].schema[edge.column].dataType.simpleString()
             own = orphans.where(f"parent = {plan.parent_number(edge)} AND n{slot} > 0")
-            found[edge] = own.selectExpr(
-                f"CAST(key AS {own_type}) AS `{edge.column}`", f"n{slot} AS orphaned"
-            )
+            found[edge] = own.selectExpr(f"key AS {KEY}", f"n{slot} AS orphaned")
     return found
 
 
 def fk_orphan_rows(
     edge: ForeignKey, tables: Tables, *, broadcast_limit: int = BROADCAST_BYTES
-) -> DataFrame:
-    """Whole child rows that violate the reference, null keys included.
+) -> DataFrame | None:
+    """Whole child rows that violate the reference, null keys included unless
+    it is nullable; None where a table is missing, as nothing can be said.
 
     With a small parent one map-side anti join does.  With a large one, whole
     child rows are not shuffled to meet it: the orphaned keys are found first,
     and the child is joined to those, map-side when they are few.
     """
-    child = tables[edge.child]
-    parent = tables[edge.parent].select(F.col(edge.parent_column).alias(edge.column))
-    if key_bytes(parent, edge.column) <= broadcast_limit:
-        return child.join(F.broadcast(parent), edge.column, "left_anti").select(*child.columns)
-    keys = orphan_keys([edge], tables)[edge].select(edge.column)
-    unmatched = child.join(keys, edge.column, "left_semi").select(*child.columns)
+    child, parent = tables.get(edge.child), tables.get(edge.parent)
+    if child is None or parent is None:
+        return None
+    form = key_comparison(edge, tables)
+    if key_bytes(parent, edge.parent_column) <= broadcast_limit:
+        keys = parent.selectExpr(f"{form.parent} AS {KEY}")
+        found = joined_by_key(child, form.child, F.broadcast(keys), "left_anti")
+        return found.where(F.col(edge.column).isNotNull()) if edge.nullable else found
+    keys = orphan_keys([edge], tables)[edge]
+    unmatched = joined_by_key(child, form.child, keys, "left_semi")
+    if edge.nullable:
+        return unmatched
     return child.where(F.col(edge.column).isNull()).unionByName(unmatched)
 
 
+def joined_by_key(child: DataFrame, form: str, keys: DataFrame, how: str) -> DataFrame:
+    """Child rows semi or anti joined to keys in comparable form."""
+    return child.join(keys.select(KEY), F.expr(form) == F.col(KEY), how).select(*child.columns)
+
+
 def fk_orphan_count(edge: ForeignKey, tables: Tables) -> DataFrame:
     """How many child rows violate the reference, null keys included."""
     return fk_valid_count(edge, tables).select(F.col("orphaned").alias("orphaned_records"))
@@ -290,8 +313,7 @@ def fk_orphan_count(edge: ForeignKey, tables: Tables) -> DataFrame:
 
 def fk_self_check(edge: ForeignKey, tables: Tables) -> DataFrame:
     """A table referring to itself: null keys are roots, not orphans."""
-    spark = tables[edge.child].sparkSession
-    checked = fk_validate_all(spark, [edge], tables, null_policy="ignore")
+    checked = fk_validate_all(_session(tables), [edge], tables, null_policy="ignore")
     return checked.selectExpr("total + nulls AS total", "nulls", "valid", "orphaned")
 
 

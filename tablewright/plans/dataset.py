@@ -65,7 +65,7 @@ def validate(spark: SparkSession, catalog: Catalog, tables: Tables) -> dict[str,
     The data is read once: the results, one row per reference, are written and
     the views read those.
     """
-    checked = materialized(fk_validate_all(spark, catalog.edges, tables))
+    checked = materialized(fk_validate_all(spark, catalog.all_edges, tables))
     return {
         "checked": checked,
         "issues": fk_issues(checked),
@@ -75,11 +75,18 @@ def validate(spark: SparkSession, catalog: Catalog, tables: Tables) -> dict[str,
 
 
 def clean(spark: SparkSession, catalog: Catalog, root: str, target: str) -> CleanedDataset:
-    """Clean the dataset under ``root`` into ``target``, which gets the tables
-    that lost rows; ``root`` stays as it is."""
+    """Clean the dataset under ``root`` into ``target``, which gets every table:
+    those that lost rows cleaned, the others as they are; ``root`` stays."""
     fmt = catalog.output_format
     tables = read_dataset(spark, root, catalog, fmt)
-    return fk_clean_cascade(catalog, tables, folder=target, fmt=fmt)
+    cleaned = fk_clean_cascade(catalog, tables, folder=target, fmt=fmt)
+    whole = {
+        name: table
+        for name, table in cleaned.tables.items()
+        if table is not None and name not in cleaned.rewritten
+    }
+    write_dataset(whole, target, fmt)
+    return cleaned
 
 
 def report(spark: SparkSession, catalog: Catalog, tables: Tables) -> dict[str, DataFrame]:

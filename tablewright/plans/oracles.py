@@ -285,11 +285,10 @@ PROFILED = {
 def profiled() -> str:
     rows = []
     for column, kind in PROFILED.items():
-        cast = "::DECIMAL(38,2)::VARCHAR" if kind == "double" else "::VARCHAR"
         rows.append(
             f"SELECT '{column}' AS column_name, '{kind}' AS data_type, true AS nullable, "
             f"count(*)::BIGINT AS row_count, (count(*) - count({column}))::BIGINT AS null_rows, "
-            f"min({column}){cast} AS min_value, max({column}){cast} AS max_value, "
+            f"min({column})::VARCHAR AS min_value, max({column})::VARCHAR AS max_value, "
             f"count(DISTINCT {column})::BIGINT AS distinct_values FROM d_orders"
         )
     return f"{faulty('orders')} " + " UNION ALL ".join(rows)

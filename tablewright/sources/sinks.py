@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tablewright.catalog import OUTPUT_FORMATS
+from tablewright.sources.tables import CSV_OPTIONS
 
 
 def write_table(
@@ -14,9 +15,13 @@ def write_table(
     fmt: str = "csv",
     *,
     mode: str = "overwrite",
-    max_records_per_file: int = 0,
+    max_records_per_file: int = 1_000_000,
 ) -> int:
-    """Write one table and return its row count, observed while writing."""
+    """Write one table and return its row count, observed while writing.
+
+    No file has more than ``max_records_per_file`` rows: a csv file with texts is
+    read by one task, since a line break may be part of a value.
+    """
     if fmt not in OUTPUT_FORMATS:
         raise ValueError(f"format {fmt!r} is not one of {OUTPUT_FORMATS}")
     written = Observation()
@@ -27,6 +32,6 @@ def write_table(
         .option("maxRecordsPerFile", max_records_per_file)
     )
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(**CSV_OPTIONS)
     writer.save(path)
     return written.get["rows"]

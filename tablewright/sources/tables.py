@@ -3,20 +3,36 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import types as T
 
 from tablewright.catalog import OUTPUT_FORMATS, Catalog
 
 
+#: Text comes back as it was written: quotes are doubled, spaces are kept.
+CSV_OPTIONS = {
+    "header": True,
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
+def _csv(spark: SparkSession, texts: bool) -> DataFrameReader:
+    """Values may hold line breaks where there are texts; only tables without
+    any are split within a file, so written files are of bounded size."""
+    return spark.read.options(**CSV_OPTIONS, multiLine=texts)
+
+
 def read_table(
     spark: SparkSession, path: str, fmt: str, schema: T.StructType | None = None
 ) -> DataFrame | None:
     """One table, or None when nothing is stored at ``path``.
 
     With a declared schema nothing is inferred: no extra pass over the data,
-    and digits in a text column stay text.  Columns go by name: a csv file may
-    hold them in any order, lack some, or have more, which are read as text.
+    and digits in a text column stay text.  Columns go by name: a csv table may
+    hold them in any order, lack some, or have more, which are read as text; a
+    file whose header is not that of the first one fails the job that reads it.
     Parquet files bring their own schema.  Without a declared schema, csv and
     json infer theirs.
     """
@@ -29,11 +45,12 @@ def read_table(
             reader = spark.read if schema is None else spark.read.schema(schema)
             return reader.json(path)
         if schema is None:
-            return spark.read.option("header", True).option("inferSchema", True).csv(path)
+            return _csv(spark, True).option("inferSchema", True).csv(path)
         types = {f.name: f.dataType for f in schema}
         header = read_csv_text(spark, path).columns
         found = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in header])
-        return spark.read.option("header", True).schema(found).csv(path)
+        texts = any(isinstance(f.dataType, T.StringType) for f in found)
+        return _csv(spark, texts).option("enforceSchema", False).schema(found).csv(path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
@@ -42,7 +59,7 @@ def read_table(
 
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     """Every column as text, over every part file of the folder."""
-    return spark.read.option("header", True).csv(path)
+    return _csv(spark, True).csv(path)
 
 
 def read_dataset(

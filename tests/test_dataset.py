@@ -10,7 +10,7 @@ def test_generate_validate_clean_report(spark, tmp_path):
     tables = tw.read_dataset(spark, str(tmp_path / "data"), catalog)
     results = tw.validate(spark, catalog, tables)
     assert results["summary"].first().is_valid
-    assert tuple(results["final_status"].first()) == (32, 32, 0)
+    assert tuple(results["final_status"].first()) == (33, 33, 0)  # 32 references and one nullable
     assert results["issues"].isEmpty()
 
     # Lose a parent: its children's rows go, and the children of those.
@@ -21,12 +21,12 @@ def test_generate_validate_clean_report(spark, tmp_path):
     assert "Orders" in cleaned.rewritten and "Order_Items" in cleaned.rewritten
     assert "Payments" not in cleaned.rewritten
     after = tw.validate(spark, catalog, cleaned.tables)
-    assert tuple(after["final_status"].first()) == (32, 32, 0)
+    assert tuple(after["final_status"].first()) == (33, 33, 0)  # 32 references and one nullable
     assert tw.read_dataset(spark, str(tmp_path / "data"), catalog)["Orders"].count() == rows["Orders"]
 
     views = tw.report(spark, catalog, tables)
     assert views["totals"].first().total_rows == sum(rows.values())
     assert views["quality"].first().verdict == "PERFECT"
-    assert views["foreign_keys"].count() == 32
+    assert views["foreign_keys"].count() == 33
     details = tw.table_details(catalog, "Orders", tables["Orders"])
     assert details["columns"].count() == 8 and details["sample"].count() == 5
