@@ -2,17 +2,18 @@
 
 Documents with equal shingle sets are one class, and a class is posted once
 under each (coordinate, value) pair of its MinHash signature.  Two sets over the
-limit agree in at least ``threshold`` coordinates but for a chance below 1e-8,
-so they meet in the ``coordinates - threshold + 1`` rarest pairs of either: only
-that prefix is merged.  The lists of frequent pairs are skipped; candidates
-count their collisions there by comparing signatures.  Links are confirmed on
-full sets.
-
-No list is expanded into its pairs.  Each round compares the members of a list
-with one pivot, the most central member, and lists whose members are in one
-component are done.  What remains across components is compared in full once
-that is no more than the lists themselves hold, or after a fixed number of
-rounds.
+limit agree in at least ``threshold`` coordinates but for a chance of about
+1e-7, so they meet in the ``coordinates - threshold + 1`` rarest pairs of
+either: only that prefix is merged.  The lists of frequent pairs are skipped;
+candidates count their collisions there by comparing signatures.  Links are
+confirmed on full sets.
+
+No list is expanded into its pairs.  Lists that share a class are one group,
+found by linking each member of a list to its least one, so every link lies
+within a group.  Groups are dealt into bins of bounded size, and a group larger
+than a bin into blocks that meet two by two, so every pair is looked at in some
+task and no task gathers more than two blocks.  A task puts out only the links
+that span what it found.
 """
 
 from __future__ import annotations
@@ -35,13 +36,13 @@ from tablewright.llm import wordarrays as wa
 class NearSettings:
     """``words`` in a shingle; ``percent``: least similarity of a link;
     ``coordinates`` of a signature and the ``threshold`` of equal ones;
-    ``rounds`` of pivots at most before what is left is compared in full."""
+    ``bin_shingles``: shingles that a task is meant to compare at once."""
 
     words: int = 5
     percent: int = 85
-    coordinates: int = 48
-    threshold: int = 24
-    rounds: int = 4
+    coordinates: int = 64
+    threshold: int = 38
+    bin_shingles: int = 2_000_000
 
     @property
     def prefix(self) -> int:
@@ -119,38 +120,12 @@ def sketches(docs: DataFrame, settings: NearSettings) -> DataFrame:
     return keyed(docs).mapInArrow(work, schema)
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, settings: NearSettings) -> DataFrame:
-    """``class, shingles`` of the wanted classes (``class, doc_id, text_key`` of one
-    document each)."""
-    names = wanted.select(
-        F.col("class"), F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")
-    )
-    rows = (
-        keyed(docs)
-        .join(names, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
-        .select("class", "text")
-    )
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, texts in wa.byte_chunks(batches, ("class",)):
-            sets = shingle_sets(texts, settings.words)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([c for (c,) in own], pa.binary()),
-                    pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                ],
-                ["class", "shingles"],
-            )
-
-    return rows.mapInArrow(work, "class binary, shingles array<bigint>").dropDuplicates(["class"])
-
-
 def prefix_posts(classes: DataFrame, settings: NearSettings) -> DataFrame:
-    """``term, class, weight``: each class under the rarest of its pairs.
+    """``term, class``: each class under the rarest of its pairs.
 
     A pair no other class has is in the prefix but links nothing, so it only
-    takes up room there.  ``weight`` is how many classes share the pairs of
-    this one: the higher, the more central."""
+    takes up room there.  Classes that share fewer than ``threshold`` of their
+    pairs with anyone are near to none."""
     posted = classes.select("class", F.posexplode("signature").alias("k", "value")).select(
         (F.col("k").cast("bigint") * F.lit(1 << 32) + F.col("value")).alias("term"), "class"
     )
@@ -159,31 +134,11 @@ def prefix_posts(classes: DataFrame, settings: NearSettings) -> DataFrame:
     ranked = (
         posted.join(shared, "term")
         .withColumn("shared", F.count("*").over(own))
-        .withColumn("weight", F.sum("n").over(own))
         .where(F.col("shared") >= settings.threshold)
         .withColumn("rank", F.row_number().over(own.orderBy("n", "term")))
     )
     room = F.lit(settings.prefix) - (F.lit(settings.coordinates) - F.col("shared"))
-    return ranked.where(F.col("rank") <= room).select("term", "class", "weight")
-
-
-def confirmed(
-    pairs: DataFrame, classes: DataFrame, sets: DataFrame, settings: NearSettings
-) -> DataFrame:
-    """The pairs ``a, b`` that agree in enough coordinates and, on their full sets,
-    in ``percent`` of the union."""
-    one = classes.select(F.col("class").alias("a"), F.col("signature").alias("sa"))
-    two = classes.select(F.col("class").alias("b"), F.col("signature").alias("sb"))
-    equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
-    close = (
-        pairs.join(one, "a").join(two, "b").where(equal >= settings.threshold).select("a", "b")
-    )
-    whole = close.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("tb")), "b").join(
-        sets.select(F.col("class").alias("a"), F.col("shingles").alias("ta")), "a"
-    )
-    common = F.size(F.array_intersect("ta", "tb"))
-    union = F.size("ta") + F.size("tb") - common
-    return whole.where(100 * common >= settings.percent * union).select("a", "b")
+    return ranked.where(F.col("rank") <= room).select("term", "class")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -218,73 +173,130 @@ def components(links: DataFrame) -> DataFrame:
             return roots.select("node", "root")
 
 
-def across(posts: DataFrame) -> DataFrame:
-    """The posts of lists that hold more than one component."""
-    mixed = posts.groupBy("term").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    return posts.join(mixed.where("lo <> hi").select("term"), "term", "left_semi")
-
+def dealt(groups: DataFrame, settings: NearSettings) -> DataFrame:
+    """``class, bin, side``: where each class (``class, root, n_shingles``) is compared.
 
-def relabelled(posts: DataFrame, links: DataFrame) -> DataFrame:
-    """The posts with the roots that hold once these links between roots count."""
-    roots = components(links)
-    moved = posts.join(roots, posts["root"] == roots["node"], "left")
-    return moved.select("term", "class", "weight", F.coalesce(roots["root"], posts["root"]).alias("root"), "done")
+    Groups that fit a bin together share one.  A larger group is cut into blocks
+    by class, each pair of blocks has a bin of its own, and ``side`` tells the
+    two apart (null where all are compared with all)."""
+    sizes = materialized(
+        groups.groupBy("root").agg(F.sum("n_shingles").alias("size"))
+    )
+    limit = settings.bin_shingles
+    small = sizes.where(F.col("size") <= limit).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    bins = max(1, -(-2 * small // limit))
+    named = groups.join(sizes, "root")
+    together = named.where(F.col("size") <= limit).select(
+        "class",
+        F.concat(F.lit("bin "), F.pmod(F.xxhash64("root"), F.lit(bins))).alias("bin"),
+        F.lit(None).cast("boolean").alias("side"),
+    )
+    blocks = F.ceil(F.col("size") / limit)
+    alone = (
+        named.where(F.col("size") > limit)
+        .withColumn("own", F.pmod(F.xxhash64("class"), blocks))
+        .select("class", "root", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
+        .select(
+            "class",
+            F.concat_ws(" ", F.hex("root"), F.least("own", "other"), F.greatest("own", "other")).alias("bin"),
+            F.when(F.col("own") != F.col("other"), F.col("own") < F.col("other")).alias("side"),
+        )
+    )
+    return together.unionByName(alone)
+
+
+class Merger:
+    """Counts collisions of signatures through inverted lists, and confirms."""
+
+    def __init__(self, sets: list[np.ndarray], drawn: np.ndarray, sides: list, settings: NearSettings):
+        self.drawn, self.settings = drawn, settings
+        self.sides = np.array([-1 if s is None else int(s) for s in sides])
+        self.sizes = np.array([len(s) for s in sets])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        _, self.shingles = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(int(self.shingles.max()) + 1, bool)
+        self.lists, self.prefixes = self.inverted()
+
+    def inverted(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """Lists of the prefix pairs, and each row's prefix; pairs are numbered
+        from the rarest on."""
+        n, width = self.drawn.shape
+        flat = (np.arange(width, dtype=np.int64) << 32) + self.drawn.view(np.uint32)
+        _, pair, number = np.unique(flat, return_inverse=True, return_counts=True)
+        place = np.empty(len(number), np.int64)
+        place[np.argsort(number, kind="stable")] = np.arange(len(number))
+        prefix = np.sort(place[pair].reshape(n, width), axis=1)[:, : self.settings.prefix]
+        order = np.argsort(prefix.ravel(), kind="stable")
+        rows = order // prefix.shape[1]
+        cuts = np.searchsorted(prefix.ravel()[order], np.arange(len(number) + 1))
+        return [rows[a:b] for a, b in zip(cuts, cuts[1:])], prefix
+
+    def near(self, row: int, roots: np.ndarray) -> np.ndarray:
+        """Later rows of other components that are linked with this one."""
+        met = np.concatenate([self.lists[t] for t in self.prefixes[row].tolist()])
+        met = np.unique(met[met > row])
+        met = met[(roots[met] != roots[row]) & ((self.sides[met] != self.sides[row]) | (self.sides[row] < 0))]
+        agree = (self.drawn[met] == self.drawn[row]).sum(axis=1)
+        met = met[agree >= self.settings.threshold]
+        if not len(met):
+            return met
+        own = self.shingles[self.starts[row] : self.starts[row] + self.sizes[row]]
+        self.mark[own] = True
+        sizes = self.sizes[met]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(self.starts[met] - (ends - sizes), sizes)
+        common = np.add.reduceat(self.mark[self.shingles[at]].astype(np.int64), ends - sizes)
+        self.mark[own] = False
+        union = sizes + self.sizes[row] - common
+        return met[100 * common >= self.settings.percent * union]
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        """Links that span the components of these rows."""
+        roots = np.arange(len(self.sizes))
+        for row in range(len(roots)):
+            for other in self.near(row, roots).tolist():
+                if roots[other] != roots[row]:
+                    roots[roots == roots[other]] = roots[row]
+                    yield row, other
 
 
 def class_links(docs: DataFrame, classes: DataFrame, settings: NearSettings) -> DataFrame:
     """Confirmed links ``a, b`` between classes, enough to span every component."""
     posts = materialized(prefix_posts(classes, settings))
-    wanted = posts.select("class").distinct()
-    named = classes.join(wanted, "class", "left_semi").select("class", "rep.doc_id", "rep.text_key")
-    sets = materialized(full_sets(docs, named, settings))
-    sketched = materialized(classes.join(wanted, "class", "left_semi").select("class", "signature"))
-    rest = posts.select(
-        "term", "class", "weight", F.col("class").alias("root"), F.lit(False).alias("done")
+    least = posts.groupBy("term").agg(F.min("class").alias("a"), F.count("*").alias("n"))
+    meetings = posts.join(least.where("n > 1"), "term").select("a", F.col("class").alias("b"))
+    groups = components(meetings.where("a <> b").distinct()).select(
+        F.col("node").alias("class"), "root"
     )
-    found: DataFrame | None = None
-    for n in range(settings.rounds + 1):
-        rest = materialized(across(rest))
-        sizes = (
-            rest.groupBy("term", "root").agg(F.count("*").alias("n"))
-            .groupBy("term").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("s"))
-            .agg(
-                F.coalesce(F.sum("m"), F.lit(0)).alias("posts"),
-                F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.lit(0)).alias("pairs"),
-            )
-            .first()
-        )
-        if not sizes["posts"]:
-            break
-        last = n == settings.rounds or sizes["pairs"] <= 2 * sizes["posts"]
-        if last:
-            left = rest.select("term", F.col("class").alias("a"), F.col("root").alias("ra"))
-            right = rest.select("term", F.col("class").alias("b"), F.col("root").alias("rb"))
-            pairs = left.join(right, "term").where("ra < rb")
-        else:
-            pivots = rest.where("not done").groupBy("term").agg(
-                F.max_by(F.struct("class", "root"), F.struct("weight", "class")).alias("p")
-            ).select("term", F.col("p.class").alias("a"), F.col("p.root").alias("ra"))
-            pairs = rest.select("term", F.col("class").alias("b"), F.col("root").alias("rb")).join(
-                pivots, "term"
-            ).where("ra <> rb")
-        pairs = pairs.select("a", "b", "ra", "rb").distinct()
-        links = confirmed(pairs.select("a", "b"), sketched, sets, settings).join(
-            pairs, ["a", "b"]
-        )
-        links = materialized(links)
-        own = links.select("a", "b")
-        found = own if found is None else found.unionByName(own)
-        if last:
-            break
-        tested = pivots.select("term", F.col("a").alias("class"), F.lit(True).alias("pivot"))
-        rest = rest.join(tested, ["term", "class"], "left").select(
-            "term", "class", "weight", "root",
-            (F.col("done") | F.coalesce("pivot", F.lit(False))).alias("done"),
-        )
-        rest = relabelled(rest, links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    if found is None:
-        found = posts.where("false").select(F.col("class").alias("a"), F.col("class").alias("b"))
-    return found
+    groups = materialized(
+        groups.join(classes.select("class", "rep", "n_shingles", "signature"), "class")
+    )
+    places = dealt(groups.select("class", "root", "n_shingles"), settings)
+    wanted = groups.join(places, "class").select(
+        F.col("rep.doc_id").alias("_id"), F.col("rep.text_key").alias("_key"), "class", "signature", "bin", "side"
+    )
+    listed = wanted.groupBy("_id", "_key").agg(
+        F.collect_list(F.struct("class", "signature", "bin", "side")).alias("own")
+    )
+    rows = (
+        keyed(docs)
+        .dropDuplicates(["doc_id", "text_key"])
+        .join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+        .select("text", F.explode("own").alias("o"))
+        .select("text", "o.*")
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        texts = table.column("text").cast(pa.binary()).to_pylist()
+        drawn = np.array(table.column("signature").to_pylist(), np.int32)
+        sets = shingle_sets(texts, settings.words)
+        merger = Merger(sets, drawn, table.column("side").to_pylist(), settings)
+        names = table.column("class").to_pylist()
+        found = [(names[a], names[b]) for a, b in merger.links()]
+        a, b = zip(*found, strict=True) if found else ([], [])
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return rows.groupBy("bin").applyInArrow(compare, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, settings: NearSettings | None = None) -> DataFrame:
@@ -305,6 +317,7 @@ def near_duplicates(docs: DataFrame, settings: NearSettings | None = None) -> Da
             F.min("doc_id").alias("least"),
             F.min(F.struct("doc_id", "text_key")).alias("rep"),
             F.first("signature").alias("signature"),
+            F.first("n_shingles").alias("n_shingles"),
         )
     )
     roots = components(class_links(docs, classes, settings))
