@@ -22,7 +22,7 @@ from tablewright.llm.wordarrays import STEP, mixed
 
 PLACE_BITS = 24
 #: Symbols searched at once; longer texts are cut into parts that overlap by a window.
-PART = 1 << 21
+PART = 1 << 19
 #: A step's place: first window (38 bits), anchor and last window from there (12 bits each).
 FIELD = 12
 BACK = np.uint64(pow(int(STEP), -1, 1 << 64))

@@ -101,7 +101,7 @@ class SuffixAutomaton:
 
 def word_anchors(settings: PassageSettings):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in wa.byte_chunks(batches, ("doc_id", "text_key"), 2 * an.PART):
+        for rows, texts in wa.byte_chunks(batches, ("doc_id", "text_key"), 4 * an.PART):
             data, begins = wa.joined(texts)
             starts, ends = wa.word_bounds(data)
             words = wa.word_hashes(data, starts, ends)
@@ -140,7 +140,7 @@ def passages(texts: DataFrame, settings: PassageSettings) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = (1 << an.FIELD) - 1
-        for batch in batches:
+        for batch in wa.small_batches(batches):
             rows = []
             listed = zip(
                 batch.column("doc_id").to_pylist(),
@@ -278,7 +278,7 @@ def passages_removed(docs: DataFrame, settings: PassageSettings | None = None) -
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in wa.small_batches(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             found = [an.merged_spans(s) for s in batch.column("spans").to_pylist()]
             numbers, kept = [], []

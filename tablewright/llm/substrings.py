@@ -34,12 +34,12 @@ class SubstringSettings:
 
     window: int = 200
     gram: int = 40
-    run: int = 50_000
-    range_size: int = 50_000
+    run: int = 20_000
+    range_size: int = 25_000
     group_size: int = 20_000
 
 
-@dataclass
+@dataclass(slots=True)
 class Suffix:
     """``key``: the anchor's hash, then the bytes from the anchor on; ``before``:
     those before it, nearest first; windows start at most ``len(before)`` and
@@ -276,7 +276,7 @@ def sorted_runs(texts: DataFrame, ranges: int, settings: SubstringSettings) -> D
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run: list[Suffix] = []
-        for batch in batches:
+        for batch in wa.small_batches(batches):
             listed = zip(
                 batch.column("text").cast(pa.binary()).to_pylist(),
                 batch.column("own").to_pylist(),
@@ -316,7 +316,7 @@ def one_by_one(texts: DataFrame, settings: SubstringSettings) -> DataFrame:
     schema = "gram bigint, segment bigint, low bigint, one bigint, two bigint, n bigint"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in wa.small_batches(batches, 16):
             rows = []
             for text, own in zip(
                 batch.column("text").cast(pa.binary()).to_pylist(), batch.column("own").to_pylist(), strict=True
@@ -386,7 +386,7 @@ def substrings_removed(docs: DataFrame, settings: SubstringSettings | None = Non
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in wa.small_batches(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             found = [an.merged_spans(s) for s in batch.column("spans").to_pylist()]
             kept = []

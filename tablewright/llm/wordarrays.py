@@ -68,6 +68,13 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.cumsum(sizes) - sizes
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, so that little is held as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def byte_chunks(
     batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], size: int = CHUNK_BYTES
 ) -> Iterator[tuple[list[tuple], list[bytes]]]:
@@ -76,7 +83,7 @@ def byte_chunks(
     rows: list[tuple] = []
     held: list[bytes] = []
     total = 0
-    for batch in batches:
+    for batch in small_batches(batches):
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         own = zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
         for row, text in zip(own, texts, strict=True):
