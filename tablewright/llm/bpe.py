@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tablewright.llm.columns import texts
+from tablewright.llm.columns import arrow_schema, record_batch, texts
 
 # Fixed value: how byte-level vocabularies split text into words.
 WORDS = (
@@ -213,7 +213,7 @@ def coded(batches: Iterator[pa.RecordBatch], vocab: Vocabulary) -> Iterator[tupl
 def mapped(docs: DataFrame, path: str, schema: str, row: Callable) -> DataFrame:
     """``row(doc_id, ids, decoded)`` of each document, under ``schema``."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
-    names = [c.split(" ")[0] for c in schema.split(", ")]
+    shape = arrow_schema(schema)
 
     def work(batches):
         held, size = [], 0
@@ -221,13 +221,10 @@ def mapped(docs: DataFrame, path: str, schema: str, row: Callable) -> DataFrame:
             held.append(row(*document))
             size += len(document[2])
             if len(held) >= 4096 or size >= CHUNK_CHARS:
-                yield frame(held)
+                yield record_batch(held, shape)
                 held, size = [], 0
         if held:
-            yield frame(held)
-
-    def frame(held):
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], names)
+            yield record_batch(held, shape)
 
     return texts(docs).mapInArrow(work, schema)
 

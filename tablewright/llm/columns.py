@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tablewright.sources.workspace import materialized
 
-__all__ = ["given", "keyed", "materialized", "rejoined", "text_key", "texts"]
+__all__ = [
+    "arrow_schema",
+    "given",
+    "keyed",
+    "materialized",
+    "record_batch",
+    "rejoined",
+    "text_key",
+    "texts",
+]
 
 # Columns of the given tables that the queries read.
 SCHEMAS = {
@@ -49,3 +63,16 @@ def rejoined(docs: DataFrame, results: DataFrame, how: str = "left") -> DataFram
     return left.join(
         right, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_key") == F.col("_rkey")), how
     ).drop("_id", "_key", "_rid", "_rkey")
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow form of a result's declared columns."""
+    return to_arrow_schema(T.StructType.fromDDL(ddl))
+
+
+def record_batch(rows: Iterable[Sequence], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows as a batch of the declared types, also where there are none."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
+    )

@@ -17,7 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.columns import keyed, materialized, rejoined
+from tablewright.llm.columns import (
+    arrow_schema,
+    keyed,
+    materialized,
+    record_batch,
+    rejoined,
+)
 
 RESULT = (
     "doc_id bigint, text_key bigint, item_id bigint, piece bigint, start bigint, end bigint, edits bigint"
@@ -252,6 +258,7 @@ def distinct(places: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 def searched(docs: DataFrame, items: list[tuple[int, str]], settings: LeakSettings) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
+    shape = arrow_schema(RESULT)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(shared.value, settings)
@@ -266,9 +273,7 @@ def searched(docs: DataFrame, items: list[tuple[int, str]], settings: LeakSettin
                     if index:
                         rows += [(*keys[base + t], *rest) for t, *rest in leaks_in(held, index)]
                     held, size, base = [], 0, n + 1
-            names = [c.split(" ")[0] for c in RESULT.split(", ")]
-            columns = list(zip(*rows, strict=True)) or [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+            yield record_batch(rows, shape)
 
     return keyed(docs).mapInArrow(work, RESULT)
 

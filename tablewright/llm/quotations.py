@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.columns import materialized
+from tablewright.llm.columns import arrow_schema, materialized, record_batch
 
 # A line's quote marks, and lines that only announce a quote.
 MARKS = re.compile(r"[ \t]*((?:>[ \t]*)+)")
@@ -77,39 +77,21 @@ def parsed_messages(messages: DataFrame) -> DataFrame:
         "conv_id bigint, turn bigint, role string, text_key bigint, body string, n_quotes bigint, "
         "quotes array<struct<passage:int,level:int,rank:int,hash:binary>>, written array<binary>"
     )
-    quote = pa.struct(
-        [("passage", pa.int32()), ("level", pa.int32()), ("rank", pa.int32()), ("hash", pa.binary())]
-    )
-
-    names = [
-        "conv_id", "turn", "role", "text_key", "body", "n_quotes", "quotes", "written"
-    ]
+    shape = arrow_schema(schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies, numbers, quotes, written = [], [], [], []
-            for scalar in batch.column("text"):
-                body, passages = parsed(scalar.as_py() or "")
-                bodies.append(body)
-                numbers.append(len(passages))
-                quotes.append(
-                    [
-                        {"passage": n, "level": level, "rank": rank, "hash": name}
-                        for n, (level, passage) in enumerate(passages)
-                        for name, rank in units(passage).items()
-                    ]
-                )
-                written.append(list(units(body)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in ("conv_id", "turn", "role", "text_key")),
-                    pa.array(bodies, pa.string()),
-                    pa.array(numbers, pa.int64()),
-                    pa.array(quotes, pa.list_(quote)),
-                    pa.array(written, pa.list_(pa.binary())),
-                ],
-                names,
-            )
+            keys = [batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text_key")]
+            rows = []
+            for *key, text in zip(*keys, batch.column("text"), strict=True):
+                body, passages = parsed(text.as_py() or "")
+                quotes = [
+                    {"passage": n, "level": level, "rank": rank, "hash": name}
+                    for n, (level, passage) in enumerate(passages)
+                    for name, rank in units(passage).items()
+                ]
+                rows.append((*key, body, len(passages), quotes, list(units(body))))
+            yield record_batch(rows, shape)
 
     chosen = messages.select(
         F.col("conv_id").cast("bigint").alias("conv_id"),

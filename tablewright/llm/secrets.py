@@ -10,7 +10,7 @@ tables of character transitions, whose size is fixed, come to the driver.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.columns import keyed
+from tablewright.llm.columns import arrow_schema, keyed, record_batch
 
 # The base patterns, the least length of each, and their order.
 ASSIGN = re.compile(
@@ -45,7 +45,7 @@ class MarkovSettings:
     character; ``uniform``: share of each transition that stays uniform;
     ``least_chars``: shorter runs are not judged."""
 
-    threshold: float = 0.8
+    threshold: float = 0.25
     uniform: float = 0.05
     least_chars: int = 20
 
@@ -157,22 +157,7 @@ def found_spans(
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def scanned(docs: DataFrame, schema: str, row: Callable, settings: MarkovSettings) -> DataFrame:
-    table = trained(docs, settings)
-    names = [c.split(" ")[0] for c in schema.split(", ")]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [found_spans(t.as_py(), table, settings) for t in batch.column("text")]
-            rows = list(map(row, batch.column("text"), found))
-            own = [pa.array(c) for c in zip(*rows, strict=True)] if rows else []
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("text_key"), *own],
-                    ["doc_id", "text_key", *names],
-                )
-
-    return keyed(docs).mapInArrow(work, f"doc_id bigint, text_key bigint, {schema}")
+RESULT = "doc_id bigint, text_key bigint, spans array<struct<start:bigint,end:bigint,kind:string>>"
 
 
 def secrets(docs: DataFrame, settings: MarkovSettings | None = None) -> DataFrame:
@@ -182,12 +167,20 @@ def secrets(docs: DataFrame, settings: MarkovSettings | None = None) -> DataFram
     Null and empty texts have none; repeated rows stay repeated; an empty table
     gives an empty one and trains nothing.
     """
-    return scanned(
-        docs,
-        "spans array<struct<start:bigint,end:bigint,kind:string>>",
-        lambda _, found: ([{"start": s, "end": e, "kind": k} for s, e, k in found],),
-        settings or MarkovSettings(),
-    )
+    settings = settings or MarkovSettings()
+    table = trained(docs, settings)
+    shape = arrow_schema(RESULT)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = (batch.column(c).to_pylist() for c in ("doc_id", "text_key"))
+            rows = []
+            for doc_id, key, text in zip(ids, keys, batch.column("text"), strict=True):
+                found = found_spans(text.as_py(), table, settings)
+                rows.append((doc_id, key, [{"start": s, "end": e, "kind": k} for s, e, k in found]))
+            yield record_batch(rows, shape)
+
+    return keyed(docs).mapInArrow(work, RESULT)
 
 
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
