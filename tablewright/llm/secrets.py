@@ -35,6 +35,7 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 STATES = len(ALPHABET) + 1  # the last one: where a run starts or ends
+BACK_OFF = 10.0
 CODES = np.full(128, STATES - 1, np.int64)
 CODES[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 
@@ -42,11 +43,12 @@ CODES[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 @dataclass(frozen=True)
 class MarkovSettings:
     """``threshold``: least log-likelihood ratio in favour of random, in nats a
-    character; ``uniform``: share of each transition that stays uniform;
+    character; ``spread``: share of each transition that stays uniform, for
+    ordinary and for random strings, of which the samples show only a part;
     ``least_chars``: shorter runs are not judged."""
 
-    threshold: float = 0.25
-    uniform: float = 0.05
+    threshold: float = 0.8
+    spread: tuple[float, float] = (0.02, 0.5)
     least_chars: int = 20
 
 
@@ -119,11 +121,15 @@ def transition_counts(docs: DataFrame) -> DataFrame:
 
 def log_ratio(counts: np.ndarray, settings: MarkovSettings) -> np.ndarray:
     """Log of random over ordinary for each transition; ``counts`` has the
-    ordinary ones first.  Each row is mixed with the uniform one, so states that
-    a sample never showed stay possible."""
+    ordinary ones first.  Rare states back off to how often a state comes at
+    all, and each row is mixed with the uniform one, so transitions that a
+    sample never showed stay possible."""
     rows = counts.reshape(2, STATES, STATES).astype(float)
-    smoothed = (rows + 1.0 / STATES) / (rows.sum(2, keepdims=True) + 1.0)
-    mixed = (1 - settings.uniform) * smoothed + settings.uniform / STATES
+    overall = rows.sum(1, keepdims=True) + 1.0 / STATES
+    overall /= overall.sum(2, keepdims=True)
+    smoothed = (rows + BACK_OFF * overall) / (rows.sum(2, keepdims=True) + BACK_OFF)
+    share = np.array(settings.spread).reshape(2, 1, 1)
+    mixed = (1 - share) * smoothed + share / STATES
     return (np.log(mixed[1]) - np.log(mixed[0])).ravel()
 
 

@@ -1,0 +1,168 @@
+"""Tokenizing against the public libraries, secrets and quotations by hand."""
+
+import random
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer, models, pre_tokenizers
+
+from tablewright.llm import bpe, quotations, secrets, viterbi
+
+from .texts import documents, plain_rows, sample_texts
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+POOL = " aaaabc'sdtll\n\t\r\x1c\x85\xa0​ éß漢字😀09½<|endoftext|>!.\x00▁"
+
+
+def odd_texts(n=1500, seed=1):
+    rnd = random.Random(seed)
+    made = ["".join(rnd.choice(POOL) for _ in range(rnd.randrange(60))) for _ in range(n)]
+    return made + ["<|endoftext|>" * 3, "x <|endoftext|> y", "", "a" * 1001, " " * 50 + "x"]
+
+
+def test_ids_and_text_are_the_librarys():
+    vocabulary, library = bpe.Vocabulary(PATH), Tokenizer.from_file(PATH)
+    texts = odd_texts()
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    got = bpe.encoded(texts, vocabulary)
+    assert [t.tolist() for t in got] == want
+    assert [bpe.decoded(t, vocabulary) for t in got] == library.decode_batch(
+        want, skip_special_tokens=False
+    )
+
+
+def test_bpe_over_documents(spark):
+    docs = documents(spark, [*sample_texts(n=10), *odd_texts(40)], extra=True)
+    library = Tokenizer.from_file(PATH)
+    want = sorted(
+        repr((d, library.encode(t or "", add_special_tokens=False).ids, t or ""))
+        for d, t in plain_rows(docs)
+    )
+    got = bpe.tokens(docs, PATH).collect()
+    assert sorted(repr((r.doc_id, r.ids, r.decoded)) for r in got) == want
+    assert bpe.tokens(docs.where("false"), PATH).count() == 0
+    assert bpe.digests(docs, PATH).count() == len(want)
+
+
+SMALL = [("▁", -1.0), ("a", -2.0), ("b", -2.0), ("ab", -4.0), ("ba", -4.0), ("aa", -4.0)]
+SMALL += [("▁a", -3.0), ("aab", -6.0)]
+
+
+@pytest.mark.parametrize("name", ["small", "full"])
+def test_counts_are_the_unigram_tokenizers(name):
+    pieces = SMALL if name == "small" else viterbi.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
+    library = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces], 0, False))
+    library.pre_tokenizer = pre_tokenizers.Metaspace(
+        replacement="▁", prepend_scheme="always", split=True
+    )
+    rnd = random.Random(3)
+    texts = odd_texts() + ["".join(rnd.choice("aabb cz") for _ in range(20)) for _ in range(800)]
+    counter = viterbi.Counter(pieces)
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [sum(map(counter.count, viterbi.words_of(t))) for t in texts] == want
+
+
+def test_counts_over_documents(spark):
+    docs = documents(spark, sample_texts(n=5), extra=True)
+    counter = viterbi.Counter(SMALL)
+    want = sorted(
+        repr((d, sum(map(counter.count, viterbi.words_of(t or ""))))) for d, t in plain_rows(docs)
+    )
+    got = viterbi.token_counts(docs, SMALL).collect()
+    assert sorted(repr((r.doc_id, r.n_tokens)) for r in got) == want
+    assert viterbi.token_counts(docs.where("false"), SMALL).count() == 0
+
+
+KEY = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+
+
+def test_base_secrets():
+    found = secrets.base_spans
+    assert found(f'token = "{KEY}"') == [(0, 49, "assign"), (9, 49, "hex")]
+    assert found("TOKEN: abcdefghijkl Api_Key=short") == [(0, 19, "assign")]
+    assert found("ſecret=abcdefghijkl") == []
+    assert found("AKIA0123456789ABCD xAKIA012") == [(0, 18, "access")]
+    assert found("password=token=abcdefghijkl") == [(0, 27, "assign")]
+    assert found("0123456789abcde") == [] and found("0123456789abcdef") == [(0, 16, "hex")]
+    assert found("") == []
+
+
+def random_strings(rnd, n):
+    return ["".join(rnd.choice(secrets.ALPHABET) for _ in range(rnd.randrange(20, 44))) for _ in range(n)]
+
+
+def test_models_tell_held_out_samples_apart(spark):
+    rnd = random.Random(11)
+    parts = "user account get set name list index value total count order item service client".split()
+
+    def identifier():
+        joined = rnd.choice(["_", "-", ""]).join(rnd.choice(parts) for _ in range(5))
+        return joined if len(joined) >= 20 else joined + "_identifier_of_it"
+
+    rows = [
+        (i, " ".join([identifier(), f"secret = {s}", identifier(), identifier()]))
+        for i, s in enumerate(random_strings(rnd, 300))
+    ]
+    table = secrets.trained(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    limit = secrets.MarkovSettings().threshold
+    assert (secrets.scores(random_strings(rnd, 400), table) >= limit).mean() > 0.97
+    assert (secrets.scores([identifier() for _ in range(400)], table) >= limit).mean() < 0.03
+
+
+def test_secrets_over_documents(spark):
+    texts = [*sample_texts(n=10), f"key {KEY} and", f"é token={KEY}"]
+    docs = documents(spark, texts, extra=True)
+    got = {r.doc_id: r.spans for r in secrets.secrets(docs).collect()}
+    n = len(texts)
+    assert [tuple(s) for s in got[n - 2]] == [(4, 44, "hex")]
+    assert [tuple(s) for s in got[n - 1]] == [(2, 48, "assign"), (8, 48, "hex")]
+    assert secrets.secrets(docs.where("false")).count() == 0
+    clean = {r.doc_id: r for r in secrets.redacted(docs).collect()}
+    assert clean[n - 1].text == "é [SECRET]" and clean[n - 1].n_chars == 10
+    assert clean[n - 2].text == "key [SECRET] and"
+    assert all(clean[i].text == t for i, t in enumerate(texts[:3]))
+    assert secrets.redacted(docs).columns == docs.columns and None in [r.text for r in clean.values()]
+
+
+MESSAGES = [
+    (1, 0, "user", "Hello there everyone, how do I sort?\n\nSecond paragraph with details."),
+    (1, 1, "assistant", "Alice wrote:\n> hello there  everyone, how do I sort?\n\nUse orderBy on it."),
+    (1, 2, "user", "> > Second paragraph with details.\n> Use orderBy on it.\nThanks a lot!"),
+    (1, 3, "user", "An unrelated message in between."),
+    (1, 4, "assistant", "> Thanks a lot!\nyou are welcome"),
+    (2, 0, "user", "> An unrelated message in between.\nWhat is this?"),
+    (2, 0, "user", "> An unrelated message in between.\nWhat is this?"),
+    (None, 1, "user", "x"),
+    (3, None, None, None),
+    (3, 1, "user", ""),
+    (3, 2, "user", ">>> no match here at all"),
+]
+
+
+def test_conversations_in_reply_order_without_quotes(spark):
+    frame = spark.createDataFrame(MESSAGES, "conv_id long, turn long, role string, text string")
+    frame = frame.selectExpr("*", "1 AS thread", "'x' AS body")
+    got = [tuple(r) for r in quotations.conversations(frame).collect()]
+    assert got == [
+        (None, None, 1, 0, "user", "x", None, 0, 0, None, None),
+        (1, 0, 0, 0, "user", MESSAGES[0][3], None, 0, 0, None, None),
+        (1, 0, 1, 1, "assistant", "Use orderBy on it.", 0, 1, 1, 1, 0),
+        (1, 0, 2, 2, "user", "Thanks a lot!", 1, 2, 2, 1, 1),
+        (1, 0, 4, 3, "assistant", "you are welcome", 2, 1, 1, 1, 2),
+        (1, 3, 3, 0, "user", "An unrelated message in between.", None, 0, 0, None, None),
+        (2, 0, 0, 0, "user", "What is this?", None, 1, 1, 1, 3),
+        (3, None, None, 0, None, "", None, 0, 0, None, None),
+        (3, 1, 1, 0, "user", "", None, 0, 0, None, None),
+        (3, 2, 2, 0, "user", "", None, 1, 0, None, None),
+    ]
+    assert quotations.conversations(frame.where("false")).count() == 0
+
+
+def test_long_chain_of_replies(spark):
+    rows = [(1, i, "u", f"this is message number {i}") for i in range(40)]
+    rows = [
+        (c, i, r, t if not i else f"> this is message number {i - 1}\n{t}") for c, i, r, t in rows
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = quotations.conversations(frame).collect()
+    assert [(r.turn, r.thread, r.depth) for r in got] == [(i, 0, i) for i in range(40)]
