@@ -89,7 +89,8 @@ def anchor_runs(
     last = starts[np.append(at[1:], len(starts)) - 1]
     segment = (total[last + window] - total[first]) * down[first]
     shape = ((anchor - first) << FIELD | (last - first)).astype(np.uint64)
-    return Runs(first, last, anchor, hashes[anchor], mixed(segment ^ mixed(shape)))
+    # Least hashes are small numbers: mixed again, they spread over all ranges.
+    return Runs(first, last, anchor, mixed(hashes[anchor]), mixed(segment ^ mixed(shape)))
 
 
 def anchor_rows(
