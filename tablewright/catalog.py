@@ -63,6 +63,7 @@ class ColumnSpec:
     ref_table: str | None = None
     ref_column: str | None = None
     pool: str | None = None
+    pool_group: str | None = None
 
 
 @dataclass(frozen=True)
@@ -247,7 +248,7 @@ class Catalog:
         )
 
 
-def _column_from_dict(name: str, meta: dict, pool: str | None) -> ColumnSpec:
+def _column_from_dict(name: str, meta: dict, source: str | dict | None) -> ColumnSpec:
     return ColumnSpec(
         name,
         meta["type"],
@@ -259,7 +260,8 @@ def _column_from_dict(name: str, meta: dict, pool: str | None) -> ColumnSpec:
         null_ratio=meta.get("null_ratio", 0.0),
         ref_table=meta.get("ref_table"),
         ref_column=meta.get("ref_column"),
-        pool=pool,
+        pool=source.get("pool") if isinstance(source, dict) else source,
+        pool_group=source.get("group") if isinstance(source, dict) else None,
     )
 
 
@@ -289,8 +291,9 @@ def nullable_ref(name, target, null_ratio):
     return ColumnSpec(name, "fk", ref_table=parent, ref_column=column, null_ratio=null_ratio)
 
 
-def string(name, pool=None):
-    return ColumnSpec(name, "string", pool=pool)
+def string(name, pool=None, group=None):
+    """``group``: the column that names the group of the pool to draw from."""
+    return ColumnSpec(name, "string", pool=pool, pool_group=group)
 
 
 def email(name):
@@ -317,5 +320,10 @@ def timestamp(name, range_days=0):
     return ColumnSpec(name, "timestamp", range_days=range_days)
 
 
+def whole(name):
+    """Any whole number of 64 bits."""
+    return ColumnSpec(name, "long")
+
+
 def integer(name, low=0, high=1000):
     return ColumnSpec(name, "int", low=low, high=high)

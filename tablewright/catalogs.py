@@ -16,6 +16,7 @@ from tablewright.catalog import (
     string,
     table,
     timestamp,
+    whole,
 )
 
 
@@ -245,7 +246,13 @@ STAR = Catalog.of(
         decimal("l_discount"), decimal("l_tax"), string("l_returnflag"), string("l_linestatus"),
         timestamp("l_shipdate"),
     ),
-    table("documents", 0, pk("doc_id"), string("text"), string("lang"), string("source")),
+    table(
+        "documents", 0,
+        pk("doc_id"), string("text"), string("lang"), string("source"), whole("n_chars"),
+    ),
+    table("pages", 0, pk("page_id"), string("url"), string("html")),
+    table("benchmark", 0, pk("item_id"), string("text")),
+    table("conversations", 0, whole("conv_id"), whole("turn"), string("role"), string("text")),
     table("labels", 0, ref("doc_id", "documents.doc_id"), integer("quality"), integer("toxic")),
     table(
         "events", 0,

@@ -29,13 +29,17 @@ def generated_table(
     """All rows of a declared table in one projection over its row ids.
 
     Columns that name a value pool are joined in on narrow (id, slot) rows
-    before the wide projection.
+    before the wide projection; a pool's group is what another column of the
+    row holds.
     """
     ids = range_source(spark, table.rows, partitions)
     values = table_values(table, "id", ctx)
-    pooled = {c.name: c.pool for c in table.columns if c.pool} if pools else {}
+    pooled = {c.name: (c.pool, c.pool_group) for c in table.columns if c.pool} if pools else {}
     if pooled:
+        groups = {group for _, group in pooled.values() if group}
+        ids = ids.withColumns({group: values[group] for group in groups})
         ids = with_pool_values(ids, table.name, pooled, pools, ctx.seed)
+        values |= {group: F.col(group) for group in groups}
         values |= {name: F.col(f"pool_{name}") for name in pooled}
     return ids.select(*[value.alias(name) for name, value in values.items()])
 

@@ -17,16 +17,19 @@ POSITION_BITS = 33
 def dense_index(keys: DataFrame, *order: str, partitions: int | None = None) -> DataFrame:
     """Position ``idx`` of every row in the order of the given columns, from 0.
 
-    One range shuffle sorts the rows.  They are written once with their place
-    (partition, offset); the rows per partition, one number each, are summed up
-    and joined back.  No task sees more than one range of keys, and the places
-    are stored, so retries and re-planning cannot move them.
+    The rows are written with a number that breaks ties, so a value that most
+    rows hold is cut into ranges like any other.  One range shuffle sorts them;
+    they are written again with their place (partition, offset), and the rows
+    per partition, one number each, are summed up and joined back.  No task
+    sees more than one range, and numbers and places are stored, so retries and
+    re-planning cannot move them.
     """
     spark = keys.sparkSession
-    parts = partitions or partitions_for(spark, keys.count())
+    numbered = materialized(keys.withColumn("_tie", F.monotonically_increasing_id()))
+    parts = partitions or partitions_for(spark, numbered.count())
     placed = materialized(
-        keys.repartitionByRange(parts, *order)
-        .sortWithinPartitions(*order)
+        numbered.repartitionByRange(parts, *order, "_tie")
+        .sortWithinPartitions(*order, "_tie")
         .withColumn("_place", F.monotonically_increasing_id())
     )
     part = F.shiftright("_place", POSITION_BITS)

@@ -8,14 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.catalog import Catalog
+from tablewright.functions.literals import literal_frame
 from tablewright.functions.sqltext import DEFAULT_SCHEMA, insert_statements
 from tablewright.operators.integrity import Tables
-from tablewright.operators.profile import total_records
+from tablewright.operators.profile import table_counts
+
+
+def row_counts(spark: SparkSession, tables: Tables) -> dict[str, int]:
+    """Rows of every table that is there, counted once; one number a table."""
+    counted = table_counts(spark, tables).where("row_count IS NOT NULL")
+    return {row.table_name: row.row_count for row in counted.collect()}
 
 
 def script_lines(
     catalog: Catalog,
     tables: Tables,
+    counts: dict[str, int],
     *,
     schema: str = DEFAULT_SCHEMA,
     dialect: str = "mssql",
@@ -23,8 +31,8 @@ def script_lines(
 ) -> dict[str, DataFrame]:
     """Per table, in load order: a heading and one INSERT per row in column ``line``.
 
-    The heading is the only line that needs an aggregate, a row count.  It is
-    the first partition, so the part files of a written table are in order.
+    The heading is the first partition, so the part files of a written table
+    are in order.
     """
     scripts = {}
     present = [name for name in catalog.load_order() if tables.get(name) is not None]
@@ -38,47 +46,48 @@ def script_lines(
             dialect=dialect,
             quote_fk=quote_fk,
         )
-        counted = rows.agg(F.count(F.lit(1)).cast("string").alias("n"))
-        before, after = _heading(number, name)
-        lines = [F.lit(text) for text in before[:-1]]
-        lines += [F.concat(F.lit(before[-1]), F.col("n"), F.lit(after[0]))]
-        lines += [F.lit(text) for text in after[1:]]
-        heading = counted.select(F.explode(F.array(*lines)).alias("line"))
+        lines = _heading(f"{number:0{_digits(len(present))}d}", number, name, counts[name])
+        heading = literal_frame(rows.sparkSession, "line string", [(line,) for line in lines])
         scripts[name] = heading.union(statements.select(F.col("stmt").alias("line")))
     return scripts
 
 
-def _heading(number: int, table: str) -> tuple[list[str], list[str]]:
-    # The five heading lines of a table's script, around its row count.
-    before = [
+def _digits(count: int) -> int:
+    """Digits of a place among ``count``, so that names sort as numbers do."""
+    return max(2, len(str(count)))
+
+
+def _heading(place: str, number: int, table: str, rows: int) -> list[str]:
+    # The five heading lines of a table's script.
+    return [
         f"-- File Order: {number}",
         f"-- Table: {table}",
         f"-- INSERT statements for {table}",
-        "-- Generated: ",
+        f"-- Generated: {rows} rows",
+        f"-- Execute in order: {place}_{table}.sql",
     ]
-    after = [" rows", f"-- Execute in order: {number:02d}_{table}.sql"]
-    return before, after
 
 
 def write_table_scripts(scripts: dict[str, DataFrame], root: str, at_once: int = 4) -> list[str]:
     """One folder of text part files per table: ``NN_<Table>.sql``."""
+    width = _digits(len(scripts))
     numbered = enumerate(scripts.items(), start=1)
-    paths = {f"{root}/{number:02d}_{name}.sql": lines for number, (name, lines) in numbered}
+    paths = {f"{root}/{number:0{width}d}_{name}.sql": lines for number, (name, lines) in numbered}
     _write_text(paths, at_once)
     return list(paths)
 
 
 def closing_lines(
-    spark: SparkSession, scripts: dict[str, DataFrame], tables: Tables, schema: str = DEFAULT_SCHEMA
+    spark: SparkSession, counts: dict[str, int], schema: str = DEFAULT_SCHEMA
 ) -> DataFrame:
     """The end of a script over all tables: the total of its rows."""
-    total = total_records(spark, {name: tables[name] for name in scripts})
+    # The three closing lines.
     lines = [
-        F.concat(F.lit("-- Total rows inserted: "), F.format_number("total_records", 0)),
-        F.lit(f"-- Total tables: {len(scripts)}"),
-        F.lit(f"-- Schema: {schema}"),
+        f"-- Total rows inserted: {sum(counts.values()):,}",
+        f"-- Total tables: {len(counts)}",
+        f"-- Schema: {schema}",
     ]
-    return total.select(F.explode(F.array(*lines)).alias("line"))
+    return literal_frame(spark, "line string", [(line,) for line in lines])
 
 
 def write_combined_script(
@@ -88,9 +97,13 @@ def write_combined_script(
 
     Sorted by name, the part files of all folders are one script in load order;
     every partition of every table writes its own, with no shuffle and no sort.
+    What an earlier export left under ``path`` goes first.
     """
     parts = [*scripts.values(), closing]
-    _write_text({f"{path}/load_order={n:02d}": part for n, part in enumerate(parts, 1)}, at_once)
+    width = _digits(len(parts))
+    nothing = closing.where("false").withColumn("load_order", F.lit(""))
+    nothing.write.mode("overwrite").partitionBy("load_order").text(path)
+    _write_text({f"{path}/load_order={n:0{width}d}": part for n, part in enumerate(parts, 1)}, at_once)
 
 
 def _write_text(frames: dict[str, DataFrame], at_once: int) -> None:

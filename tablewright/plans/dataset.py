@@ -28,6 +28,7 @@ from tablewright.operators.profile import (
 from tablewright.operators.rows import generated_dataset
 from tablewright.operators.scripts import (
     closing_lines,
+    row_counts,
     script_lines,
     write_combined_script,
     write_table_scripts,
@@ -118,8 +119,9 @@ def export_sql(
     **options,
 ) -> list[str]:
     """INSERT scripts per table and one over all tables, parents first."""
-    scripts = script_lines(catalog, tables, schema=schema, **options)
+    counts = row_counts(spark, tables)
+    scripts = script_lines(catalog, tables, counts, schema=schema, **options)
     combined = f"{root}/consolidated_dml.sql"
     paths = write_table_scripts(scripts, root)
-    write_combined_script(scripts, closing_lines(spark, scripts, tables, schema), combined)
+    write_combined_script(scripts, closing_lines(spark, counts, schema), combined)
     return [*paths, combined]

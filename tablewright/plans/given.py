@@ -31,6 +31,8 @@ SCHEMAS = {
     "labels": "doc_id bigint, quality int, toxic int",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
     "value double, props string",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 

@@ -7,8 +7,8 @@ from tablewright.catalogs import SHOP, STAR
 from tablewright.functions.draws import MASK31, MASK32, MIX_MULTIPLIERS, MIX_SHIFTS, stream_constants
 from tablewright.functions.generators import DEFAULT_AS_OF
 from tablewright.operators.pools import TEMPLATES, USER_NAMES, USER_TEMPLATE
-from tablewright.plans.given import FAULTS, REPEATED, REPLY
-from tablewright.plans.queries import EDGES, ENUM_VALUES, QUERIES, SCRIPT_TABLES, SEED
+from tablewright.plans.given import SCHEMAS, FAULTS, REPEATED, REPLY
+from tablewright.plans.queries import EDGES, ENUM_VALUES, QUERIES, SEED
 
 AS_OF = int(DEFAULT_AS_OF.timestamp())
 ORDERS = "FROM (SELECT o_orderkey AS id FROM orders)"
@@ -158,7 +158,7 @@ SPOILED = "CASE WHEN c_mktsegment = 'MACHINERY' THEN 'x' ELSE c_acctbal::VARCHAR
 def literal(column: str, kind: str) -> str:
     if kind == "decimal":
         value = f"{column}::DECIMAL(19,2)::VARCHAR"
-    elif kind in ("pk", "fk", "int"):
+    elif kind in ("pk", "fk", "int", "long"):
         value = f"{column}::VARCHAR"
     else:
         value = f"'''' || replace({column}::VARCHAR, '''', '''''') || ''''"
@@ -174,17 +174,13 @@ def statements(name: str, columns: list[str]) -> str:
 
 # Column order of the given tables, which INSERT statements keep.
 GIVEN_COLUMNS = {
-    "region": "r_regionkey r_name",
-    "nation": "n_nationkey n_name n_regionkey",
-    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
-    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
-    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
-    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    name: " ".join(column.split(" ")[0] for column in schema.split(", "))
+    for name, schema in SCHEMAS.items()
 }
 
 
 def script(with_order: bool) -> str:
-    order = [n for n in STAR.load_order() if n in SCRIPT_TABLES]
+    order = STAR.load_order()
     parts = []
     for number, name in enumerate(order, start=1):
         head = [
@@ -196,7 +192,9 @@ def script(with_order: bool) -> str:
         ]
         stem = f"{number} AS load_order, "
         parts.append(f"SELECT {stem} unnest([{', '.join(head)}]) AS line")
-        parts.append(f"SELECT {stem} {statements(name, GIVEN_COLUMNS[name].split())} AS line FROM {name}")
+        # Text with line breaks makes one statement several lines.
+        lines = f"unnest(string_split({statements(name, GIVEN_COLUMNS[name].split())}, chr(10)))"
+        parts.append(f"SELECT {stem} {lines} AS line FROM {name}")
     if with_order:
         total = " + ".join(f"(SELECT count(*) FROM {n})" for n in order)
         foot = [

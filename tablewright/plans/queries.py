@@ -31,6 +31,7 @@ from tablewright.operators.rows import generated_dataset, generated_table, range
 from tablewright.operators.sampling import dense_index, sampled_keys
 from tablewright.operators.scripts import (
     closing_lines,
+    row_counts,
     script_lines,
     write_combined_script,
     write_table_scripts,
@@ -46,7 +47,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 SEED = 42
 CTX = g.Context(seed=SEED)
 ENUM_VALUES = ("CARD", "UPI", "NETBANKING", "COD", "O'NEIL")
-SCRIPT_TABLES = ("region", "nation", "supplier", "customer", "part", "orders")
 EDGES = {f"{e.child}.{e.column}": e for e in STAR.edges}
 
 
@@ -128,21 +128,22 @@ def q_sink_cleaned(spark, sf_dir):
 
 
 def _scripts(spark, sf_dir):
-    tables = {n: given_table(spark, sf_dir, n) for n in SCRIPT_TABLES}
-    return tables, script_lines(STAR, tables)
+    tables = star_tables(spark, sf_dir)
+    counts = row_counts(spark, tables)
+    return counts, script_lines(STAR, tables, counts)
 
 
 def q_sink_sql_text(spark, sf_dir):
     _, scripts = _scripts(spark, sf_dir)
     paths = write_table_scripts(scripts, workspace(spark))
-    return spark.read.text(paths).select(F.col("value").alias("line"))
+    return spark.read.text(paths, lineSep="\n").select(F.col("value").alias("line"))
 
 
 def q_sink_sql_all(spark, sf_dir):
-    tables, scripts = _scripts(spark, sf_dir)
+    counts, scripts = _scripts(spark, sf_dir)
     path = workspace(spark)
-    write_combined_script(scripts, closing_lines(spark, scripts, tables), path)
-    lines = spark.read.text(path)
+    write_combined_script(scripts, closing_lines(spark, counts), path)
+    lines = spark.read.text(path, lineSep="\n")
     return lines.select(F.col("load_order").cast("int"), F.col("value").alias("line"))
 
 

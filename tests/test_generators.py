@@ -135,7 +135,7 @@ def test_column_drawn_from_a_pool(spark):
     assert frame.count() == 2000
     names = frame.select("name").distinct()
     assert 480 < names.count() <= 500
-    assert names.where("name = 'Priya Sharma'").count() == 1
+    assert names.where("name = 'Tomas Okafor'").count() == 1
 
 
 def test_range_source_is_dense(spark):

@@ -25,12 +25,12 @@ def test_fallback_pools(spark):
         "delivery_partner_names": 200,
     }
     values = {(r.pool, r.grp, r.idx): r.value for r in pools.collect()}
-    assert values["user_names", "", 19] == "Sana Ahmed"
+    assert values["user_names", "", 19] == "Greta Solis"
     assert values["user_names", "", 20] == "User_0"
     assert values["user_names", "", 499] == "User_479"
     assert values["product_names", "Toys", 99] == "Toys_Product_99"
-    assert values["addresses", "Delhi", 3] == "3 Delhi Street, Delhi"
-    assert values["descriptions", "Home", 0] == "Great Home product with excellent quality"
+    assert values["addresses", "Delhi", 3] == "House 3, Old Market Road, Delhi"
+    assert values["descriptions", "Home", 0] == "A Home article made to last, batch 0"
 
 
 def test_large_group_is_spread(spark):
