@@ -453,6 +453,18 @@ ORACLES: dict[str, str] = {
         f"SELECT '{c}' AS column_name, (count(*) - count({c}))::BIGINT AS null_rows FROM d_lineitem"
         for c in STAR.tables["lineitem"].kinds
     ),
+    "fk_mixed_keys": f"""{faulty('orders', 'customer')} SELECT form, measure,
+      (SELECT count(*) FROM d_orders WHERE o_custkey IN (SELECT c_custkey FROM d_customer))::BIGINT AS n
+      FROM (SELECT unnest(['decimal', 'double', 'padded']) AS form),
+        (SELECT unnest(['valid', 'kept', 'kept_large']) AS measure)""",
+    "fk_clean_self": """WITH RECURSIVE tree AS (
+        SELECT p_partkey, CASE WHEN p_partkey > 5 THEN p_partkey // 3 END AS parent_key
+        FROM part WHERE p_partkey % 7 <> 0
+      ), alive AS (
+        SELECT * FROM tree WHERE parent_key IS NULL
+        UNION ALL SELECT t.* FROM tree t JOIN alive a ON t.parent_key = a.p_partkey
+      ) SELECT p_partkey, parent_key FROM alive""",
+    "csv_documents": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "fk_filter": f"{faulty('customer', 'orders')} SELECT * FROM d_orders "
     f"WHERE {matched(EDGES['orders.o_custkey'])}",
     "fk_clean_table": cleaned_lineitem(),

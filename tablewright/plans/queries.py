@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright import catalog as c
-from tablewright.catalog import Catalog, ForeignKey
+from tablewright.catalog import Catalog, ForeignKey, nullable_ref, pk, table
 from tablewright.catalogs import SHOP, STAR
 from tablewright.functions import generators as g
 from tablewright.functions.draws import chance, draw
@@ -428,6 +428,59 @@ def q_sql_insert(spark, sf_dir):
     return insert_statements(orders, "orders", STAR.tables["orders"].kinds)
 
 
+# Keys of one value written in other types, as SQL over the parent's key.
+KEY_FORMS = {
+    "decimal": "CAST(c_custkey AS decimal(19,2))",
+    "double": "CAST(c_custkey AS double)",
+    "padded": "lpad(CAST(c_custkey AS string), 12, '0')",
+}
+
+
+def q_fk_mixed_keys(spark, sf_dir):
+    """Whole-number keys against parents of other types: valid rows by the ledger,
+    and rows kept by each way of joining."""
+    tables = dirty_tables(spark, sf_dir, "orders", "customer")
+    edge, orders = EDGES["orders.o_custkey"], tables["orders"]
+    rows = None
+    for form, key in KEY_FORMS.items():
+        given = {"orders": orders, "customer": tables["customer"].selectExpr(f"{key} AS c_custkey")}
+        counted = {
+            "valid": integrity.fk_valid_count(edge, given).select(F.col("valid").alias("n")),
+            "kept": cleanup.fk_clean_table(orders, [edge], given).select(F.lit(1).alias("n")),
+            "kept_large": cleanup.fk_clean_table(
+                orders, [edge], given, broadcast_limit=0
+            ).select(F.lit(1).alias("n")),
+        }
+        for measure, frame in counted.items():
+            one = frame.agg(F.sum("n").cast("bigint").alias("n")).select(
+                F.lit(form).alias("form"), F.lit(measure).alias("measure"), "n"
+            )
+            rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def q_csv_documents(spark, sf_dir):
+    """Texts with line breaks and quotes, written as csv and read again."""
+    path = f"{workspace(spark)}/documents"
+    docs = given_table(spark, sf_dir, "documents")
+    write_table(docs, path, "csv")
+    return read_table(spark, path, "csv", docs.schema)
+
+
+TREE = Catalog.of(
+    "tree", table("part", 0, pk("p_partkey"), nullable_ref("parent_key", "part.p_partkey", 0.0))
+)
+
+
+def q_fk_clean_self(spark, sf_dir):
+    """A tree of parts that lost nodes: what hangs below them goes, level by level."""
+    part = given_table(spark, sf_dir, "part")
+    tree = part.selectExpr(
+        "p_partkey", "if(p_partkey <= 5, NULL, p_partkey DIV 3) AS parent_key"
+    ).where("p_partkey % 7 <> 0")
+    return cleanup.fk_clean_cascade(TREE, {"part": tree}).tables["part"]
+
+
 QUERIES: dict[str, Query] = {
     "range_source": q_range_source,
     "scan_csv": _round_trip("orders", "csv"),
@@ -475,6 +528,9 @@ QUERIES: dict[str, Query] = {
     "pk_unique": q_pk_unique,
     "null_check": lambda s, d: integrity.null_counts(dirty_tables(s, d, "lineitem")["lineitem"]),
     "fk_filter": q_fk_filter,
+    "fk_mixed_keys": q_fk_mixed_keys,
+    "fk_clean_self": q_fk_clean_self,
+    "csv_documents": q_csv_documents,
     "fk_clean_table": _clean_table(),
     "fk_clean_table_by_key": _clean_table(broadcast_limit=0),
     "fk_clean_cascade": _clean_cascade(),

@@ -18,10 +18,15 @@ CSV_OPTIONS = {
 }
 
 
+#: What stands for an empty field while a file is read; no file holds it.
+NO_TEXT = "\x00null\x00"
+
+
 def _csv(spark: SparkSession, texts: bool) -> DataFrameReader:
     """Values may hold line breaks where there are texts; only tables without
-    any are split within a file, so written files are of bounded size."""
-    return spark.read.options(**CSV_OPTIONS, multiLine=texts)
+    any are split within a file, so written files are of bounded size.  An
+    empty field is null, and a quoted empty one is the empty text."""
+    return spark.read.options(**CSV_OPTIONS, multiLine=texts, nullValue=NO_TEXT)
 
 
 def read_table(

@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tablewright import Catalog
-from tablewright.catalog import ForeignKey, integer, pk, ref, table
+from tablewright.catalog import ForeignKey, integer, nullable_ref, pk, ref, table
 from tablewright.operators.cleanup import fk_clean_cascade, fk_clean_table, fk_filter
 from tablewright.operators.integrity import fk_validate_all
 
@@ -135,3 +135,31 @@ def test_nothing_is_orphaned_after_the_cascade(spark, root, mid, pairs):
     kept_mid = {m for r, m in mid if r in root}
     expected = [x for x in leaf if x[0] in kept_mid and x[1] in root]
     assert rows(cleaned["leaf"]) == sorted(expected)
+
+
+def test_cycles_and_what_hangs_below_them_are_cleaned_to_the_end(spark, tmp_path):
+    """A and B refer to each other, C to A: losing one row unravels a whole chain."""
+    catalog = Catalog.of(
+        "cycle",
+        table("C", 0, ref("a", "A.a_id"), pk("c_id")),
+        table("A", 0, ref("b", "B.b_id"), pk("a_id")),
+        table("B", 0, ref("a", "A.a_id"), pk("b_id")),
+    )
+    assert catalog.load_order() == ["A", "B", "C"]
+    tables = {
+        "A": spark.createDataFrame([(0, 0), (1, 1), (1, 2), (2, 3), (9, 4)], "b bigint, a_id bigint"),
+        "B": spark.createDataFrame([(0, 0), (2, 1), (4, 2)], "a bigint, b_id bigint"),
+        "C": spark.createDataFrame([(0, 0), (1, 1), (3, 2)], "a bigint, c_id bigint"),
+    }
+    cleaned = fk_clean_cascade(catalog, tables, folder=str(tmp_path / "out"))
+    assert rows(cleaned.tables["A"]) == [(0, 0), (1, 1), (1, 2)]
+    assert rows(cleaned.tables["B"]) == [(0, 0), (2, 1)]
+    assert rows(cleaned.tables["C"]) == [(0, 0), (1, 1)]
+
+
+def test_self_reference_is_cleaned_to_the_end(spark, tmp_path):
+    catalog = Catalog.of("self", table("T", 0, pk("id"), nullable_ref("up", "T.id", 0.0)))
+    tree = [(i, i - 1 if i not in (0, 5) else None) for i in range(10) if i != 2]
+    tables = {"T": spark.createDataFrame(tree, "id bigint, up bigint")}
+    cleaned = fk_clean_cascade(catalog, tables, folder=str(tmp_path / "out"))
+    assert rows(cleaned.tables["T"].select("id")) == [(i,) for i in (0, 1, 5, 6, 7, 8, 9)]

@@ -4,6 +4,14 @@ from hypothesis import strategies as st
 
 from tablewright.catalog import ForeignKey
 from tablewright.operators import integrity
+from tablewright.operators.cleanup import fk_clean_table
+from tablewright.operators.integrity import (
+    fk_orphan_rows,
+    fk_summary,
+    fk_valid_count,
+    fk_validate_all,
+)
+from tablewright.operators.profile import quality_score
 
 EDGE = ForeignKey("child", "p", "parent", "id")
 CHILD = "k int, p bigint"
@@ -124,3 +132,45 @@ def test_validation_is_one_shuffle_without_joins_of_rows(spark):
     plan = integrity.fk_validate_all(spark, [EDGE], {"child": child, "parent": spark.range(50)})
     text = plan._jdf.queryExecution().toString()
     assert "SortMergeJoin" not in text and "CartesianProduct" not in text
+
+
+KEY_TYPES = {
+    "bigint": "id",
+    "int": "CAST(id AS int)",
+    "decimal(19,2)": "CAST(id AS decimal(19,2))",
+    "double": "CAST(id AS double)",
+    "text": "CAST(id AS string)",
+    "padded text": "lpad(CAST(id AS string), 5, '0')",
+    "date": "date_add(DATE '2024-01-01', CAST(id AS int))",
+    "timestamp_ntz": "CAST(date_add(DATE '2024-01-01', CAST(id AS int)) AS timestamp_ntz)",
+}
+NUMBERS = ["bigint", "int", "decimal(19,2)", "double"]
+PAIRS = [(a, b) for a in NUMBERS for b in [*NUMBERS, "padded text"]]
+PAIRS += [("text", "bigint"), ("padded text", "decimal(19,2)"), ("date", "timestamp_ntz"), ("text", "date")]
+
+
+@pytest.mark.parametrize(("child", "parent"), PAIRS)
+def test_both_ways_of_joining_agree_with_the_ledger(spark, child, parent):
+    """Ids 0-9, one of them null, against 0-6: seven have a parent."""
+    ids = spark.range(10).selectExpr("id AS n", f"if(id = 6, NULL, {KEY_TYPES[child]}) AS k")
+    tables = {"c": ids, "p": spark.range(7).selectExpr(f"{KEY_TYPES[parent]} AS k")}
+    edge = ForeignKey("c", "k", "p", "k")
+    same = child != "text" or parent != "date"
+    valid = 6 if same else 0
+    row = fk_validate_all(spark, [edge], tables).first()
+    assert (row.valid, row.orphaned, row.nulls) == (valid, 10 - valid, 1)
+    for limit in (1 << 26, 0):
+        kept = fk_clean_table(ids, [edge], tables, broadcast_limit=limit)
+        assert sorted(r.n for r in kept.collect()) == list(range(valid))
+        bad = fk_orphan_rows(edge, tables, broadcast_limit=limit)
+        assert sorted(r.n for r in bad.collect()) == list(range(valid, 10))
+
+
+def test_missing_tables_leave_nothing_valid(spark):
+    tables = {"c": spark.range(3).withColumnRenamed("id", "k"), "p": None}
+    edge = ForeignKey("c", "k", "p", "k")
+    checked = fk_validate_all(spark, [edge], tables)
+    assert not fk_summary(checked).first().is_valid
+    assert quality_score(checked).first().verdict == "ISSUES"
+    assert fk_orphan_rows(edge, tables) is None
+    assert tuple(fk_valid_count(edge, tables).first()) == (None, None, None, None)

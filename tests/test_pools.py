@@ -1,4 +1,7 @@
+from pathlib import Path
+
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.operators.pools import (
     drawn_from_group,
@@ -107,3 +110,16 @@ def test_sampled_keys_of_any_type(spark):
     assert counts.keys() == {"x", "y", "z"} and min(counts.values()) > 900
     empty = sampled_keys(ids, "id", parents.where("false"), "code", "parent", seed=1, tag="t")
     assert empty.where("parent IS NULL").count() == 3000
+
+
+def test_a_value_that_most_rows_hold_is_split(spark):
+    rows = spark.range(0, 100_000, 1, 8).selectExpr("if(id % 10 = 0, id, -1L) AS k")
+    index = dense_index(rows, "k", partitions=8)
+    assert index.selectExpr("count(*)", "min(idx)", "max(idx)", "count(DISTINCT idx)").first()[:] == (
+        100_000, 0, 99_999, 100_000,
+    )
+    assert index.where("(k = -1) <> (idx < 90000)").isEmpty()
+    folders = Path(spark.conf.get("spark.checkpoint.dir")).glob("tablewright-*")
+    written = spark.read.parquet(str(max(folders, key=lambda f: f.stat().st_mtime)))
+    sizes = written.groupBy(F.shiftright("_place", 33).alias("part")).count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) <= 2 * 100_000 / 8

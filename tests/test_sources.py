@@ -124,3 +124,12 @@ def test_approximate_profile_agrees_on_small_tables(spark):
     assert (found["s"].distinct_values, found["id"].distinct_values) == (7, 200)
     near = {r.column_name: r.distinct_values for r in approx.collect()}
     assert near["s"] == 7 and abs(near["id"] - 200) < 20
+
+
+def test_csv_returns_any_text_as_it_was(spark, tmp_path):
+    texts = ["a\nb", "c\r\nd", 'say "hi"', "back\\slash", '\\"', " spaced ", "", None, "x,y", "#z", "\n"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").repartition(3)
+    path = str(tmp_path / "t")
+    assert write_table(frame, path, "csv") == len(texts)
+    back = read_table(spark, path, "csv", frame.schema)
+    assert sorted(back.collect()) == sorted(frame.collect(), key=lambda r: r.id)
