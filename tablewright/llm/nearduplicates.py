@@ -121,16 +121,17 @@ def sketches(docs: DataFrame, settings: NearSettings) -> DataFrame:
 
 
 def prefix_posts(classes: DataFrame, settings: NearSettings) -> DataFrame:
-    """``term, class``: each class under the rarest of its pairs.
+    """``term, id``: each class, by a short hash of its name, under the rarest of its
+    pairs.  Classes that share an id by chance are only grouped together.
 
     A pair no other class has is in the prefix but links nothing, so it only
     takes up room there.  Classes that share fewer than ``threshold`` of their
     pairs with anyone are near to none."""
-    posted = classes.select("class", F.posexplode("signature").alias("k", "value")).select(
-        (F.col("k").cast("bigint") * F.lit(1 << 32) + F.col("value")).alias("term"), "class"
+    posted = classes.select("id", F.posexplode("signature").alias("k", "value")).select(
+        (F.col("k").cast("bigint") * F.lit(1 << 32) + F.col("value")).alias("term"), "id"
     )
     shared = materialized(posted.groupBy("term").agg(F.count("*").alias("n")).where("n > 1"))
-    own = W.partitionBy("class")
+    own = W.partitionBy("id")
     ranked = (
         posted.join(shared, "term")
         .withColumn("shared", F.count("*").over(own))
@@ -138,7 +139,7 @@ def prefix_posts(classes: DataFrame, settings: NearSettings) -> DataFrame:
         .withColumn("rank", F.row_number().over(own.orderBy("n", "term")))
     )
     room = F.lit(settings.prefix) - (F.lit(settings.coordinates) - F.col("shared"))
-    return ranked.where(F.col("rank") <= room).select("term", "class")
+    return ranked.where(F.col("rank") <= room).select("term", "id")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -198,7 +199,7 @@ def dealt(groups: DataFrame, settings: NearSettings) -> DataFrame:
         .select("class", "root", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
         .select(
             "class",
-            F.concat_ws(" ", F.hex("root"), F.least("own", "other"), F.greatest("own", "other")).alias("bin"),
+            F.concat_ws(" ", "root", F.least("own", "other"), F.greatest("own", "other")).alias("bin"),
             F.when(F.col("own") != F.col("other"), F.col("own") < F.col("other")).alias("side"),
         )
     )
@@ -263,13 +264,13 @@ class Merger:
 def class_links(docs: DataFrame, classes: DataFrame, settings: NearSettings) -> DataFrame:
     """Confirmed links ``a, b`` between classes, enough to span every component."""
     posts = materialized(prefix_posts(classes, settings))
-    least = posts.groupBy("term").agg(F.min("class").alias("a"), F.count("*").alias("n"))
-    meetings = posts.join(least.where("n > 1"), "term").select("a", F.col("class").alias("b"))
+    least = posts.groupBy("term").agg(F.min("id").alias("a"), F.count("*").alias("n"))
+    meetings = posts.join(least.where("n > 1"), "term").select("a", F.col("id").alias("b"))
     groups = components(meetings.where("a <> b").distinct()).select(
-        F.col("node").alias("class"), "root"
+        F.col("node").alias("id"), "root"
     )
     groups = materialized(
-        groups.join(classes.select("class", "rep", "n_shingles", "signature"), "class")
+        groups.join(classes.select("id", "class", "rep", "n_shingles", "signature"), "id")
     )
     places = dealt(groups.select("class", "root", "n_shingles"), settings)
     wanted = groups.join(places, "class").select(
@@ -319,6 +320,7 @@ def near_duplicates(docs: DataFrame, settings: NearSettings | None = None) -> Da
             F.first("signature").alias("signature"),
             F.first("n_shingles").alias("n_shingles"),
         )
+        .withColumn("id", F.xxhash64("class"))
     )
     roots = components(class_links(docs, classes, settings))
     rooted = classes.select("class", "least").join(
