@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import types as T
@@ -68,11 +70,22 @@ def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dataset(
-    spark: SparkSession, root: str, catalog: Catalog, fmt: str | None = None
+    spark: SparkSession,
+    root: str,
+    catalog: Catalog,
+    fmt: str | None = None,
+    *,
+    at_once: int = 8,
 ) -> dict[str, DataFrame | None]:
-    """Every declared table under ``root``; missing ones are None."""
+    """Every declared table under ``root``; missing ones are None.
+
+    Looking for a table and at a file's header takes a small job; a few run at
+    once.
+    """
     fmt = fmt or catalog.output_format
-    return {
-        name: read_table(spark, f"{root}/{name}", fmt, table.schema)
-        for name, table in catalog.tables.items()
-    }
+
+    def read(name: str) -> DataFrame | None:
+        return read_table(spark, f"{root}/{name}", fmt, catalog.tables[name].schema)
+
+    with ThreadPoolExecutor(at_once) as jobs:
+        return dict(zip(catalog.tables, jobs.map(read, catalog.tables)))
