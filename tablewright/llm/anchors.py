@@ -129,17 +129,36 @@ def last_of(place: Column) -> Column:
     return place.bitwiseAND((1 << FIELD) - 1)
 
 
-def anchors(docs: DataFrame, work: Callable[[Iterator], Iterator]) -> DataFrame:
-    return keyed(docs).mapInArrow(work, SCHEMA)
+@dataclass(frozen=True)
+class Texts:
+    """Documents by ``doc_id`` and ``text_key``.  Where no id comes twice, which only
+    the ids need be read for, the second is 0 and adds nothing to what is sent."""
+
+    rows: DataFrame
+    distinct: DataFrame
+
+    @classmethod
+    def of(cls, docs: DataFrame) -> Texts:
+        rows = keyed(docs)
+        if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+            rows = rows.withColumn("text_key", F.lit(0).cast("bigint"))
+            return cls(rows, rows)
+        return cls(rows, rows.dropDuplicates(["doc_id", "text_key"]))
 
 
-def repeated(found: DataFrame, again: Column) -> DataFrame:
-    """The anchors whose gram occurs again, as ``again`` over all its anchors says.
+def anchors(texts: Texts, work: Callable[[Iterator], Iterator]) -> DataFrame:
+    return texts.rows.mapInArrow(work, SCHEMA)
+
+
+def repeated(found: DataFrame) -> DataFrame:
+    """The anchors whose gram occurs again.
 
     Grams are counted first, in each task before the shuffle; only then do
     anchors with their places cross the network, and what stays is written.
     """
-    grams = materialized(found.groupBy("gram").agg(again.alias("again")).where("again").select("gram"))
+    grams = materialized(
+        found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    )
     return materialized(found.join(grams, "gram"))
 
 
@@ -153,27 +172,24 @@ def segment_classes(members: DataFrame) -> DataFrame:
     )
 
 
-def with_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def with_texts(texts: Texts, classes: DataFrame) -> DataFrame:
     """``text`` and ``own``, the classes (place, gram, segment, n) that it stands for."""
     listed = classes.groupBy(
         F.col("rep.doc_id").alias("_id"), F.col("rep.text_key").alias("_key")
     ).agg(F.collect_list(F.struct("rep.place", "gram", "segment", "n")).alias("own"))
     return (
-        keyed(docs)
-        .dropDuplicates(["doc_id", "text_key"])
-        .join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+        texts.distinct.join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
         .select("doc_id", "text", "own")
     )
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def with_spans(texts: Texts, spans: DataFrame) -> DataFrame:
     """``doc_id, text, spans``: every document with its ``low, high`` places of windows."""
     listed = spans.groupBy(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")
     ).agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     return (
-        keyed(docs)
-        .join(
+        texts.rows.join(
             listed,
             F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")),
             "left",

@@ -226,12 +226,12 @@ def one_by_one(found: DataFrame, settings: PassageSettings) -> DataFrame:
     )
 
 
-def repeated_passages(docs: DataFrame, settings: PassageSettings) -> DataFrame:
+def repeated_passages(texts: an.Texts, settings: PassageSettings) -> DataFrame:
     """``doc_id, text_key, low, high``: words covered by windows that also start in
     a document with a smaller id."""
-    named = docs.where("doc_id IS NOT NULL")
+    named = an.Texts(*(t.where("doc_id IS NOT NULL") for t in (texts.rows, texts.distinct)))
     found = an.anchors(named, word_anchors(settings))
-    members = an.repeated(found, F.min("doc_id") < F.max("doc_id"))
+    members = an.repeated(found)
     classes = an.segment_classes(members)
     sizes = classes.groupBy("gram").agg(F.count("*").alias("m"))
     groups = materialized(sizes.where(F.col("m") > settings.group_size)).select("gram")
@@ -272,7 +272,8 @@ def passages_removed(docs: DataFrame, settings: PassageSettings | None = None) -
     count against each other; an empty table gives an empty one.
     """
     settings = settings or PassageSettings()
-    spans = materialized(repeated_passages(docs, settings))
+    texts = an.Texts.of(docs)
+    spans = materialized(repeated_passages(texts, settings))
     schema = (
         "doc_id bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, kept string"
     )
@@ -301,4 +302,4 @@ def passages_removed(docs: DataFrame, settings: PassageSettings | None = None) -
                 ["doc_id", "n_words", "spans", "kept"],
             )
 
-    return an.with_spans(docs, spans).mapInArrow(work, schema)
+    return an.with_spans(texts, spans).mapInArrow(work, schema)

@@ -346,21 +346,21 @@ def one_by_one(texts: DataFrame, settings: SubstringSettings) -> DataFrame:
     )
 
 
-def repeated_windows(docs: DataFrame, settings: SubstringSettings) -> DataFrame:
+def repeated_windows(texts: an.Texts, settings: SubstringSettings) -> DataFrame:
     """``doc_id, text_key, low, high``: byte ranges covered by repeated windows."""
-    found = an.anchors(docs, byte_anchors(settings))
-    members = an.repeated(found, F.count("*") > 1)
+    found = an.anchors(texts, byte_anchors(settings))
+    members = an.repeated(found)
     classes = an.segment_classes(members)
     groups = materialized(
         classes.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > settings.group_size)
     ).select("gram")
     usual = classes.join(groups, "gram", "left_anti")
     ranges = max(1, -(-usual.count() // settings.range_size))
-    runs = sorted_runs(an.with_texts(docs, usual), ranges, settings)
+    runs = sorted_runs(an.with_texts(texts, usual), ranges, settings)
     verdicts = merged(runs, settings)
     if groups.limit(1).count():
         large = classes.join(groups, "gram", "left_semi")
-        verdicts = verdicts.unionByName(one_by_one(an.with_texts(docs, large), settings))
+        verdicts = verdicts.unionByName(one_by_one(an.with_texts(texts, large), settings))
     anchor = an.first_of(F.col("place")) + an.anchor_of(F.col("place"))
     return members.join(materialized(verdicts), ["gram", "segment"]).select(
         "doc_id",
@@ -380,7 +380,8 @@ def substrings_removed(docs: DataFrame, settings: SubstringSettings | None = Non
     copies of each other; an empty table gives an empty one.
     """
     settings = settings or SubstringSettings()
-    spans = materialized(repeated_windows(docs, settings))
+    texts = an.Texts.of(docs)
+    spans = materialized(repeated_windows(texts, settings))
     schema = (
         "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
     )
@@ -406,4 +407,4 @@ def substrings_removed(docs: DataFrame, settings: SubstringSettings | None = Non
                 ["doc_id", "n_bytes", "spans", "kept"],
             )
 
-    return an.with_spans(docs, spans).mapInArrow(work, schema)
+    return an.with_spans(texts, spans).mapInArrow(work, schema)
