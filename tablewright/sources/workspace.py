@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+DROP_SHUFFLE_FILES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def workspace(spark: SparkSession) -> str:
@@ -28,9 +31,24 @@ def workspace(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tablewright-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffle_files_dropped(spark: SparkSession) -> Iterator[None]:
+    """Jobs begun in here leave no shuffle files behind: what they wrote is read
+    from then on, and the disk they took is free for the next."""
+    if spark.conf.get(DROP_SHUFFLE_FILES, "true") == "true":  # set by the user, or unknown
+        yield
+        return
+    spark.conf.set(DROP_SHUFFLE_FILES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(DROP_SHUFFLE_FILES, "false")
+
+
 def materialized(frame: DataFrame, folder: str | None = None) -> DataFrame:
     """Write the frame once as parquet and continue from the written table."""
     spark = frame.sparkSession
     path = folder or workspace(spark)
-    frame.write.mode("overwrite").parquet(path)
+    with shuffle_files_dropped(spark):
+        frame.write.mode("overwrite").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
