@@ -113,7 +113,63 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base
 FROM worded w LEFT JOIN by_base b ON w.r = b.r LEFT JOIN by_all a ON w.r = a.r
 LEFT JOIN best m ON w.r = m.r"""
 
+PASSAGES = """
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), placed AS (
+  SELECT r, doc_id, unnest(words) AS w, unnest(range(len(words))) AS i FROM docs
+), keyed AS (
+  SELECT r, doc_id, i, w, string_agg(w, ' ') OVER ahead AS k, count(*) OVER ahead AS n FROM placed
+  WINDOW ahead AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+), firsts AS (
+  SELECT k, min(doc_id) AS m FROM keyed WHERE n = 13 GROUP BY k
+), marked AS (
+  SELECT d.r, d.i, d.w, CASE WHEN n = 13 AND m < doc_id THEN d.i END AS hit
+  FROM keyed d LEFT JOIN firsts f ON d.k = f.k
+), judged AS (
+  SELECT r, i, w, coalesce(max(hit) OVER (PARTITION BY r ORDER BY i) >= i - 12, false) AS gone FROM marked
+), kept AS (
+  SELECT r, count(*) FILTER (gone) AS n, string_agg(w, ' ' ORDER BY i) FILTER (NOT gone) AS text
+  FROM judged GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.r = k.r"""
+
+NEAR = """
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents
+), placed AS (
+  SELECT r, unnest(words) AS w, unnest(range(len(words))) AS i, len(words) AS size FROM docs
+), keyed AS (
+  SELECT r, i, size, string_agg(w, ' ') OVER ahead AS k, count(*) OVER ahead AS n FROM placed
+  WINDOW ahead AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)
+), sets AS (
+  SELECT DISTINCT r, k FROM keyed WHERE n = 5 OR size < 5 AND i = 0
+), sizes AS (
+  SELECT r, count(*) AS n FROM sets GROUP BY r
+), common AS (
+  SELECT a.r AS x, b.r AS y, count(*) AS c FROM sets a JOIN sets b ON a.k = b.k AND a.r < b.r GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN sizes p ON x = p.r JOIN sizes q ON y = q.r
+  WHERE 100 * c >= 85 * (p.n + q.n - c)
+), edges AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT r, r AS other FROM docs UNION SELECT reach.r, y FROM reach JOIN edges ON other = x
+), least AS (
+  SELECT reach.r, min(d.doc_id) AS component FROM reach JOIN docs d ON other = d.r GROUP BY reach.r
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component AS component_id,
+  doc_id IS NOT DISTINCT FROM component AS kept
+FROM docs d JOIN least l ON d.r = l.r LEFT JOIN sizes s ON d.r = s.r"""
+
 ORACLES = {
+    "op4_near_duplicates": NEAR,
+    "op7_substring_dedup": PASSAGES,
     "op8_license_scan": LICENSES,
     "op10_quality_rules": QUALITY,
 }
