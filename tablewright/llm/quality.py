@@ -27,7 +27,9 @@ REPEAT_PERCENT = 50
 @dataclass(frozen=True)
 class HostRules:
     """A host whose shrunk failure rate is over ``max_rate`` is held to the
-    stricter limits: its documents that fail one of them go.
+    stricter limits: its documents that fail one of them go.  ``weighted``: a
+    document that is k times over a limit goes on any host whose rate is over
+    ``max_rate / k``, so the worse it is the less its host has to say.
 
     ``symbol_percent``: symbols in a hundred words; ``dup_line_percent``: lines
     that repeat an earlier one; ``strict_repeat_percent``: words in repeated
@@ -38,6 +40,7 @@ class HostRules:
     dup_line_percent: int = 30
     strict_repeat_percent: int = 30
     word_chars: tuple[int, int] = (2, 15)
+    weighted: bool = True
 
 
 def measured(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -129,6 +132,19 @@ def strict_failure(rules: HostRules) -> Column:
     )
 
 
+def excess(rules: HostRules) -> Column:
+    """How many times over its worst strict limit a document is; over 1 where it
+    fails one.  Only for documents with words."""
+    n = F.col("n_words")
+    return F.greatest(
+        100 * F.col("n_symbols") / (rules.symbol_percent * n),
+        100 * F.col("n_dup_lines") / (rules.dup_line_percent * F.col("n_lines")),
+        100 * F.col("n_repeat_words") / (rules.strict_repeat_percent * n),
+        rules.word_chars[0] * n / F.col("word_chars"),
+        F.col("word_chars") / (rules.word_chars[1] * n),
+    )
+
+
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     """Prior counts of failures and passes by the method of moments over the
     hosts' rates; one row comes to the driver.  Hosts without spread, or none,
@@ -168,9 +184,10 @@ def quality_verdicts(
     """One row a document: counts, ``base_failed``, ``strict_failed``, ``host_rate``, ``host_failed`` and
     ``kept``.
 
-    A document goes when it fails a base rule, or when its host's shrunk rate
-    is too high and it fails a strict rule itself; a good document of a bad
-    host stays.  An empty table gives an empty result.
+    A document goes when it fails a base rule, or when it fails a strict rule
+    and its host's shrunk rate, weighted by its own excess unless the rules say
+    otherwise, is too high; a good document of a bad host stays.  An empty
+    table gives an empty result.
     """
     rules = rules or HostRules()
     features = materialized(
@@ -182,9 +199,12 @@ def quality_verdicts(
     )
     verdicts = host_verdicts(features, rules).select("_host", "host_rate", "host_failed")
     joined = features.join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
-    return joined.withColumn(
-        "kept", ~F.col("base_failed") & ~(F.col("host_failed") & F.col("strict_failed"))
-    )
+    too_bad = F.col("host_failed")
+    if rules.weighted:
+        # Documents without words fail a base rule.
+        over = F.when(~F.col("base_failed"), excess(rules) * F.col("host_rate") > rules.max_rate)
+        too_bad = too_bad | F.coalesce(over, F.lit(False))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~(too_bad & F.col("strict_failed")))
 
 
 def rejected_removed(docs: DataFrame) -> DataFrame:

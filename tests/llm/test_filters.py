@@ -63,6 +63,28 @@ def test_bad_host_is_held_to_stricter_limits(spark):
     assert HostRules().max_rate == 0.5
 
 
+def test_plain_junk_goes_on_an_ordinary_host(spark):
+    rnd = random.Random(3)
+
+    def good():
+        return " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(80))
+
+    # Junk on every fifth document of each host, as hosts are where none is bad.
+    rows = [
+        (i, " ".join(f"{w}***" for w in good().split()) if i % 5 == 0 else good(), f"h{i % 4}")
+        for i in range(400)
+    ]
+    slight = " ".join(w + "%" * (i % 5 < 2) for i, w in enumerate(good().split()))  # 40 in a hundred
+    rows.append((400, slight, "h0"))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in quality_verdicts(frame).collect()}
+    assert not any(r.host_failed or r.base_failed for r in got.values())
+    assert all(got[i].kept == (i % 5 != 0) for i in range(400))
+    assert got[400].strict_failed and got[400].kept
+    plain = quality_verdicts(frame, rules=HostRules(weighted=False))
+    assert plain.where("NOT kept").count() == 0
+
+
 def plain_base(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text or ""))
     found = [
