@@ -39,9 +39,9 @@ class NearSettings:
     ``bin_shingles``: shingles that a task is meant to compare at once."""
 
     words: int = 5
-    percent: int = 85
+    percent: int = 80
     coordinates: int = 64
-    threshold: int = 38
+    threshold: int = 33
     bin_shingles: int = 2_000_000
 
     @property

@@ -51,7 +51,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearduplicates.near_duplicates(given(spark, sf_dir, "documents")).drop("text_key")
+    settings = nearduplicates.NearSettings(percent=85, threshold=38)
+    return nearduplicates.near_duplicates(given(spark, sf_dir, "documents"), settings).drop("text_key")
 
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,19 @@ def test_one_document_of_each_group_stays(docs):
     assert sorted(linked, key=repr) == sorted(want, key=repr)
 
 
+def test_documents_alike_by_four_fifths_are_linked(spark):
+    first = [f"w{i}" for i in range(60)]
+    rows = [(0, " ".join(first)), (1, " ".join([*first[:30], "other", *first[31:]]))]
+    rows += [(2, " ".join([*first[:20], "x", *first[21:40], "y", *first[41:]]))]
+    shared = 51 / (56 + 56 - 51)
+    assert 0.8 <= shared < 0.85
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert [r.component_id for r in near_duplicates(frame).orderBy("doc_id").collect()] == [0, 0, 2]
+    assert {r.doc_id for r in one_of_each(frame).collect()} == {0, 2}
+    at_85 = near_duplicates(frame, NearSettings(percent=85, threshold=38))
+    assert [r.component_id for r in at_85.orderBy("doc_id").collect()] == [0, 1, 2]
+
+
 def plain_strings(texts, window):
     places = {}
     for i, t in enumerate(texts):
