@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tablewright.llm.columns import arrow_schema, materialized, record_batch
 
@@ -107,9 +108,10 @@ def parsed_messages(messages: DataFrame) -> DataFrame:
 
 
 def links(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, text_key, n_linked, to_conv, to_turn``: how many passages of a
+    """``conv_id, turn, text_key, n_linked, to_conv, to_turn, up``: how many passages of a
     message have an original, and the best one: of the least level, then the
-    largest unit, then in the same conversation.
+    largest unit, then in the same conversation.  ``up`` is the turn of the best
+    one in the same conversation, whatever others there are elsewhere.
 
     In its own conversation only an earlier turn is an original; elsewhere any
     message is, the least by conversation and turn.
@@ -127,14 +129,21 @@ def links(messages: DataFrame) -> DataFrame:
         .groupBy("conv_id", "hash")
         .agg(F.min("turn").alias("first"))
     )
-    anywhere = wanted.groupBy("hash").agg(
-        F.min(F.struct("conv_id", F.col("first").alias("turn"))).alias("other")
+    # The least two conversations of each text, so that one is not the quote's own.
+    place = F.struct("conv_id", F.col("first").alias("turn"))
+    anywhere = (
+        wanted.withColumn("n", F.row_number().over(W.partitionBy("hash").orderBy("conv_id")))
+        .where("n <= 2")
+        .groupBy("hash")
+        .agg(F.min(F.when(F.col("n") == 1, place)).alias("other"), F.min(F.when(F.col("n") == 2, place)).alias("next"))
     )
     matched = (
         quotes.join(wanted, ["conv_id", "hash"], "left")
         .withColumn("first", F.when(F.col("first") < F.col("turn"), F.col("first")))
         .join(anywhere, "hash", "left")
-        .withColumn("other", F.when(~F.col("other.conv_id").eqNullSafe(F.col("conv_id")), F.col("other")))
+        .withColumn(
+            "other", F.when(F.col("other.conv_id").eqNullSafe(F.col("conv_id")), F.col("next")).otherwise(F.col("other"))
+        )
         .where("first IS NOT NULL OR other IS NOT NULL")
     )
     inside = F.col("first").isNotNull()

@@ -166,3 +166,19 @@ def test_long_chain_of_replies(spark):
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = quotations.conversations(frame).collect()
     assert [(r.turn, r.thread, r.depth) for r in got] == [(i, 0, i) for i in range(40)]
+
+
+def test_an_original_elsewhere_is_found_from_the_least_conversation(spark):
+    rows = [
+        (1, 0, "u", "> a passage that comes up often\nfirst"),
+        (1, 1, "u", "a passage that comes up often"),
+        (2, 0, "u", "a passage that comes up often"),
+        (3, 5, "u", "a passage that comes up often"),
+        (2, 1, "u", "> a passage that comes up often\nsecond"),
+        (4, 0, "u", "> a passage that comes up often\nthird"),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in quotations.conversations(frame).collect()}
+    sources = {k: (r.n_linked, r.source_conv, r.source_turn) for k, r in got.items() if r.n_quotes}
+    assert sources == {(1, 0): (1, 2, 0), (2, 1): (1, 2, 0), (4, 0): (1, 1, 1)}
+    assert got[1, 0].reply_to is None and got[2, 1].reply_to == 0
