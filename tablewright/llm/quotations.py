@@ -154,10 +154,15 @@ def links(messages: DataFrame) -> DataFrame:
         F.when(inside, F.col("conv_id")).otherwise(F.col("other.conv_id")).alias("to_conv"),
         F.when(inside, F.col("first")).otherwise(F.col("other.turn")).alias("to_turn"),
     )
-    by_passage = matched.groupBy("conv_id", "turn", "text_key", "passage").agg(F.min(best).alias("b"))
+    own = F.when(inside, F.struct("level", "rank", "first"))
+    by_passage = matched.groupBy("conv_id", "turn", "text_key", "passage").agg(
+        F.min(best).alias("b"), F.min(own).alias("own")
+    )
     return by_passage.groupBy("conv_id", "turn", "text_key").agg(
-        F.count("*").alias("n_linked"), F.min("b").alias("b")
-    ).select("conv_id", "turn", "text_key", "n_linked", "b.to_conv", "b.to_turn")
+        F.count("*").alias("n_linked"), F.min("b").alias("b"), F.min("own").alias("own")
+    ).select(
+        "conv_id", "turn", "text_key", "n_linked", "b.to_conv", "b.to_turn", F.col("own.first").alias("up")
+    )
 
 
 def threads(replies: DataFrame) -> DataFrame:
@@ -188,8 +193,9 @@ def conversations(messages: DataFrame) -> DataFrame:
     """Conversations without quotes, in order of replies: ``conv_id, thread, turn, depth, role, body,
     reply_to, n_quotes, n_linked, source_conv, source_turn``.
 
-    A message that quotes an earlier turn replies to it (``reply_to``) and stands
-    in its thread; any other opens a thread of its own turn.  ``source_*`` is the
+    A message that quotes an earlier turn replies to it (``reply_to``, of several
+    the best quote's) and stands in its thread, also where a better original is
+    elsewhere; any other opens a thread of its own turn.  ``source_*`` is the
     original of its best quote, in whatever conversation.  Rows are sorted by
     conversation, thread and turn, so each reply comes after what it replies
     to; the sort is by ranges of all three, so a long conversation is no single
@@ -199,9 +205,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     """
     told = materialized(parsed_messages(messages))
     linked = materialized(links(told))
-    replies = linked.where("to_conv = conv_id AND to_turn < turn").groupBy("conv_id", "turn").agg(
-        F.min("to_turn").alias("up")
-    )
+    replies = linked.where("up IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("up").alias("up"))
     chains = threads(replies)
     a = linked.withColumnsRenamed({"conv_id": "_c", "turn": "_t", "text_key": "_k"})
     b = chains.withColumnsRenamed({"conv_id": "_cc", "turn": "_tt"})
@@ -221,9 +225,7 @@ def conversations(messages: DataFrame) -> DataFrame:
             F.coalesce("depth", F.lit(0).cast("bigint")).alias("depth"),
             "role",
             "body",
-            F.when(
-                (F.col("to_conv") == F.col("conv_id")) & (F.col("to_turn") < F.col("turn")), F.col("to_turn")
-            ).alias("reply_to"),
+            F.col("up").alias("reply_to"),
             "n_quotes",
             F.coalesce("n_linked", F.lit(0).cast("bigint")).alias("n_linked"),
             F.col("to_conv").alias("source_conv"),

@@ -182,3 +182,19 @@ def test_an_original_elsewhere_is_found_from_the_least_conversation(spark):
     sources = {k: (r.n_linked, r.source_conv, r.source_turn) for k, r in got.items() if r.n_quotes}
     assert sources == {(1, 0): (1, 2, 0), (2, 1): (1, 2, 0), (4, 0): (1, 1, 1)}
     assert got[1, 0].reply_to is None and got[2, 1].reply_to == 0
+
+
+def test_a_better_original_elsewhere_breaks_no_thread(spark):
+    lines = ["the first line of three", "the second line of three", "the third line of three"]
+    rows = [
+        (1, 0, "u", "\n".join(lines)),
+        (1, 1, "u", f"> {lines[0]}\n> {lines[1]}\nan answer"),
+        (1, 2, "u", "> an answer\nyes, an answer"),
+        (2, 0, "u", "\n".join(lines[:2])),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = [
+        (r.thread, r.turn, r.depth, r.reply_to, r.source_conv)
+        for r in quotations.conversations(frame).where("conv_id = 1").collect()
+    ]
+    assert got == [(0, 0, 0, None, None), (0, 1, 1, 0, 2), (0, 2, 2, 1, 1)]
