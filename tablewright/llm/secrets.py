@@ -34,6 +34,7 @@ KINDS = ("assign", "access", "hex", "markov")
 # Runs that the models look at: the characters of identifiers and keys.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+MARKS = "+/_=-"  # those of them that part words
 STATES = len(ALPHABET) + 1  # the last one: where a run starts or ends
 BACK_OFF = 10.0
 CODES = np.full(128, STATES - 1, np.int64)
@@ -45,7 +46,7 @@ class MarkovSettings:
     """``threshold``: least log-likelihood ratio in favour of random, in nats a
     character; ``spread``: share of each transition that stays uniform, for
     ordinary and for random strings, of which the samples show only a part;
-    ``least_chars``: shorter runs are not judged."""
+    ``least_chars``: shorter runs and stretches are not judged."""
 
     threshold: float = 0.8
     spread: tuple[float, float] = (0.02, 0.5)
@@ -77,6 +78,23 @@ def labelled_runs(text: str) -> tuple[list[tuple[int, int, str]], list[re.Match]
     return spans, runs
 
 
+def uncovered(text: str, spans: list[tuple[int, int, str]], least: int) -> list[tuple[int, int]]:
+    """The parts of all runs that no base span covers, of ``least`` characters and more."""
+    parts = []
+    covered = sorted((s, e) for s, e, _ in spans)
+    for run in RUN.finditer(text):
+        at, end = run.span()
+        for s, e in covered:
+            if s >= end:
+                break
+            if s - at >= least:
+                parts.append((at, s))
+            at = max(at, e)
+        if end - at >= least:
+            parts.append((at, end))
+    return parts
+
+
 def coded(strings: list[str]) -> np.ndarray:
     """State numbers of all strings, each closed by the boundary state."""
     return CODES[np.frombuffer(("\n".join(strings) + "\n").encode("ascii", "replace"), np.uint8)]
@@ -149,17 +167,57 @@ def scores(strings: list[str], table: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, np.cumsum(sizes) - sizes) / sizes
 
 
+def best_stretch(gains: np.ndarray, least: int) -> tuple[int, int] | None:
+    """The part of ``least`` and more characters whose gains have the largest sum,
+    if that is not below 0."""
+    if len(gains) < least:
+        return None
+    sums = np.concatenate([[0.0], np.cumsum(gains)])
+    before = np.minimum.accumulate(sums[: len(sums) - least])
+    over = sums[least:] - before
+    end = int(over.argmax())
+    if over[end] < 0:
+        return None
+    return int(sums[: end + 1].argmin()), end + least
+
+
+def stretches(part: str, table: np.ndarray, settings: MarkovSettings) -> list[tuple[int, int]]:
+    """Random stretches of a string that is not random as a whole: the best one, then
+    those of what is left on either side.  A stretch goes on to the next mark
+    between words, so no end of a key is left over."""
+    states = coded([part])[:-1]
+    values = table[np.concatenate([[STATES - 1], states[:-1]]) * STATES + states]
+    gains = values - settings.threshold
+    found, open_parts = [], [(0, len(part))]
+    while open_parts:
+        low, high = open_parts.pop()
+        best = best_stretch(gains[low:high], settings.least_chars)
+        if best is None:
+            continue
+        start, end = low + best[0], low + best[1]
+        while start > low and part[start - 1] not in MARKS and part[start] not in MARKS:
+            start -= 1
+        while end < high and part[end] not in MARKS and part[end - 1] not in MARKS:
+            end += 1
+        found.append((start, end))
+        open_parts += [(low, start), (end, high)]
+    return found
+
+
 def found_spans(
     text: str, table: np.ndarray, settings: MarkovSettings
 ) -> list[tuple[int, int, str]]:
-    """All spans, ordered by start and then by kind as listed."""
-    spans, runs = labelled_runs(text)
-    runs = [r for r in runs if r.end() - r.start() >= settings.least_chars]
-    if runs:
-        high = scores([r.group() for r in runs], table) >= settings.threshold
-        spans = spans + [
-            (r.start(), r.end(), "markov") for r, h in zip(runs, high.tolist(), strict=True) if h
-        ]
+    """All spans, ordered by start and then by kind as listed.
+
+    What base spans leave of a run is judged by itself.  A part is random as a
+    whole, or else the stretches of it that are."""
+    spans = base_spans(text)
+    parts = uncovered(text, spans, settings.least_chars)
+    if parts:
+        high = scores([text[s:e] for s, e in parts], table) >= settings.threshold
+        for (start, end), whole in zip(parts, high.tolist(), strict=True):
+            own = [(0, end - start)] if whole else stretches(text[start:end], table, settings)
+            spans += [(start + s, start + e, "markov") for s, e in own]
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
