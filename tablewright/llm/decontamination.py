@@ -31,6 +31,8 @@ RESULT = (
 CHUNK_CHARS = 4 << 20
 # Characters of benchmark text that are sent to every task at once.
 SHARD_CHARS = 4 << 20
+# Shared q-grams that are looked at together.
+MATCHES = 4 << 20
 SHIFT = 9
 TABLE_BITS = 22
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -140,22 +142,43 @@ class Index:
         """Position in the text, piece, and position in the piece of shared
         q-grams in neighbourhoods that share enough of them."""
         at, entry = self.postings(chars)
+        # A match lies within two neighbouring blocks, being shorter than one.
+        shift = max(SHIFT, int(self.longest + self.widest).bit_length())
+        block = at >> shift
+        total = np.cumsum(self.number[entry])
+        found, low = [], 0
+        while low < len(at):
+            # Whole blocks of about MATCHES entries, seen with the blocks around them.
+            done = total[low - 1] if low else 0
+            last = block[min(max(np.searchsorted(total, done + MATCHES), low), len(at) - 1)]
+            a, b, high = np.searchsorted(block, [block[low] - 1, last + 2, last + 1])
+            each, owner, place = self.expanded(at[a:b], entry[a:b])
+            own = each >> shift
+            held = self.enough(own, owner) & (own >= block[low]) & (own <= last)
+            found.append((each[held], owner[held], place[held]))
+            low = high
+        if not found:
+            return at, at, at
+        return tuple(map(np.concatenate, zip(*found)))
+
+    def expanded(self, at: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         number = self.number[entry]
         each = np.repeat(at, number)
         ends = np.cumsum(number)
         slot = np.arange(len(each)) - np.repeat(ends - number, number)
         slot += np.repeat(self.first[entry], number)
-        owner, place = self.owner[slot], self.place[slot]
-        # A match lies within two neighbouring blocks, being shorter than one.
-        shift = max(SHIFT, int(self.longest + self.widest).bit_length())
-        block, n = each >> shift, len(self.pieces)
-        blocks = (len(chars) >> shift) + 2
-        counts = np.bincount(block * n + owner, minlength=blocks * n).reshape(blocks, n)
-        around = counts + np.vstack([counts[1:], np.zeros((1, n), counts.dtype)])
-        enough = around >= self.least
-        enough[1:] |= enough[:-1].copy()
-        held = enough[block, owner]
-        return each[held], owner[held], place[held]
+        return each, self.owner[slot], self.place[slot]
+
+    def enough(self, block: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Which entries are in a block that shares enough with the piece together
+        with a neighbour; only pairs of block and piece that occur are counted."""
+        n = len(self.pieces)
+        pairs, pair, counts = np.unique(block * n + owner, return_inverse=True, return_counts=True)
+        after = np.minimum(np.searchsorted(pairs, pairs + n), len(pairs) - 1)
+        follows = pairs[after] == pairs + n
+        good = counts + np.where(follows, counts[after], 0) >= self.least[pairs % n]
+        good[after[follows & good]] = True
+        return good[pair]
 
     def bands(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece and first diagonal of the bands that meet the bound."""

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -192,6 +193,42 @@ def test_large_benchmark_is_searched_in_shards(spark, monkeypatch):
     assert sorted(dc.leaks(docs, bench).collect()) == whole and whole
 
 
+@pytest.mark.parametrize("limit", [1, 300, 1 << 22])
+def test_blocks_are_counted_alike_however_they_are_cut(monkeypatch, limit):
+    rnd = random.Random(6)
+    pieces = dc.pieces_of(list(enumerate(ITEMS)), dc.LeakSettings())
+    index = dc.Index(pieces, dc.LeakSettings())
+    texts = sample_texts(n=6)[:6]
+    text = " ".join(f"{t} {edited(rnd, ITEMS[i % 2], i)}" for i, t in enumerate(texts))
+    chars = dc.codes(text)
+    monkeypatch.setattr(dc, "MATCHES", limit)
+    got = set(zip(*(x.tolist() for x in index.matches(chars))))
+    each, owner, place = index.expanded(*index.postings(chars))
+    shift = max(dc.SHIFT, int(index.longest + index.widest).bit_length())
+    n = len(pieces)
+    counts = np.zeros(((len(chars) >> shift) + 3, n), int)
+    np.add.at(counts, (each >> shift, owner), 1)
+    around = counts[:-1] + counts[1:] >= index.least
+    around[1:] |= around[:-1].copy()
+    held = around[each >> shift, owner]
+    assert got == set(zip(each[held].tolist(), owner[held].tolist(), place[held].tolist())) and got
+
+
+def test_large_benchmark_needs_no_table_of_blocks_and_pieces():
+    rnd = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    items = [(i, "".join(rnd.choices(letters, k=3000))) for i in range(700)]
+    index = dc.Index(dc.pieces_of(items, dc.LeakSettings()), dc.LeakSettings())
+    texts = ["".join(rnd.choices(letters, k=1 << 20)) for _ in range(2)] + [items[5][1][200:600]]
+    tracemalloc.start()
+    found = list(dc.leaks_in(texts, index))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # A dense table would have 4,096 blocks x 42,000 pieces, 1.3 GB for one array.
+    assert peak < 500e6
+    assert {(t, item) for t, item, *_ in found} == {(2, 5)}
+
+
 @pytest.mark.parametrize("q", [1, 2, 3, 5, 8])
 def test_gram_hashes_depend_on_the_grams_alone(q):
     chars = dc.codes("abcabcabdabc")
