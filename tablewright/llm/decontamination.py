@@ -29,8 +29,8 @@ RESULT = (
     "doc_id bigint, text_key bigint, item_id bigint, piece bigint, start bigint, end bigint, edits bigint"
 )
 CHUNK_CHARS = 4 << 20
-# Characters of benchmark text that are sent to every task at once.
-SHARD_CHARS = 4 << 20
+# Characters of benchmark text that are sent to every task at once; each is in ten pieces.
+SHARD_CHARS = 4 << 20 >> 2
 # Shared q-grams that are looked at together.
 MATCHES = 4 << 20
 SHIFT = 9
@@ -41,13 +41,15 @@ FACTORS = np.arange(1, 1 << 12, dtype=np.uint64) * np.uint64(2) * BASE + BASE
 
 @dataclass(frozen=True)
 class LeakSettings:
-    """``q``: characters of a q-gram; ``piece`` and ``step``: how items are cut;
+    """``q``: characters of a q-gram; ``piece`` and ``step``: how items are cut,
+    by no more than the edits of a piece, so that nine tenths of one lie in any
+    part of an item that long;
     ``edit_share``: edits allowed for each character of a piece; items of fewer
     than ``least_chars`` characters are no evidence and are not searched."""
 
     q: int = 8
     piece: int = 100
-    step: int = 50
+    step: int = 10
     edit_share: float = 0.1
     least_chars: int = 24
 
@@ -262,9 +264,10 @@ def leaks_in(chunk: list[str], index: Index) -> Iterator[tuple[int, int, int, in
         for start, end, edits in verified(chars, piece, low[owner == number]):
             places.add((start, end, edits))
         for start, end, edits in distinct(places):
-            text = int(np.searchsorted(begins, start, "right")) - 1
+            # The ends may lie in the gaps around a text, the middle does not.
+            text = int(np.searchsorted(begins, (start + end) // 2, "right")) - 1
             at = starts[text]
-            yield text, piece.item_id, piece.start, start - at, min(end - at, len(chunk[text])), edits
+            yield text, piece.item_id, piece.start, max(start - at, 0), min(end - at, len(chunk[text])), edits
 
 
 def distinct(places: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

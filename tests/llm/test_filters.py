@@ -193,6 +193,15 @@ def test_large_benchmark_is_searched_in_shards(spark, monkeypatch):
     assert sorted(dc.leaks(docs, bench).collect()) == whole and whole
 
 
+def test_parts_of_an_item_are_found_wherever_they_begin():
+    rnd = random.Random(8)
+    item = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=337))
+    settings = dc.LeakSettings()
+    index = dc.Index(dc.pieces_of([(0, item)], settings), settings)
+    texts = [f"{'0123456789' * 20}{item[i : i + 90]}{'0123456789' * 20}" for i in range(len(item) - 89)]
+    assert {t for t, *_ in dc.leaks_in(texts, index)} == set(range(len(texts)))
+
+
 @pytest.mark.parametrize("limit", [1, 300, 1 << 22])
 def test_blocks_are_counted_alike_however_they_are_cut(monkeypatch, limit):
     rnd = random.Random(6)
