@@ -33,6 +33,8 @@ CHUNK_CHARS = 4 << 20
 SHARD_CHARS = 4 << 20 >> 2
 # Shared q-grams that are looked at together.
 MATCHES = 4 << 20
+# Candidates that are aligned together.
+CANDIDATES = 1 << 15
 SHIFT = 9
 TABLE_BITS = 22
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -128,8 +130,9 @@ class Index:
         self.maybe[self.grams >> np.uint64(64 - TABLE_BITS)] = True
         self.least = np.array([p.least for p in pieces])
         self.edits = np.array([p.edits for p in pieces])
+        self.sizes = np.array([len(p.chars) for p in pieces])
         self.widest = int(self.edits.max())
-        self.longest = max(len(p.chars) for p in pieces)
+        self.longest = int(self.sizes.max())
 
     def postings(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the text whose q-gram is in the index, and its entry."""
@@ -201,48 +204,66 @@ class Index:
         return owner, band * np.maximum(self.edits[owner], 1)
 
 
-def aligned(piece: np.ndarray, windows: np.ndarray, width: int, opening: np.ndarray) -> np.ndarray:
-    """Edits of the whole piece against each window on ``width`` diagonals.
+def aligned(pieces: np.ndarray, windows: np.ndarray, opening: np.ndarray) -> np.ndarray:
+    """Edits of each whole piece against its window, one candidate a row.
 
     Row c of ``windows`` starts at the lowest diagonal of candidate c;
     ``opening`` is the cost of starting on each diagonal.  The result has the
     cost of ending on each.
     """
-    steps = np.arange(width)
+    width = opening.shape[1]
+    steps = np.arange(width, dtype=opening.dtype)
     cost = opening
-    for j, char in enumerate(piece):
-        moved = cost + (windows[:, j : j + width] != char)
-        moved[:, :-1] = np.minimum(moved[:, :-1], cost[:, 1:] + 1)
-        cost = np.minimum.accumulate(moved - steps, axis=1) + steps
+    for j in range(pieces.shape[1]):
+        moved = cost + (windows[:, j : j + width] != pieces[:, j : j + 1])
+        np.minimum(moved[:, :-1], cost[:, 1:] + 1, out=moved[:, :-1])
+        moved -= steps
+        cost = np.minimum.accumulate(moved, axis=1) + steps
     return cost
 
 
-def verified(chars: np.ndarray, piece: Piece, lows: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """``(start, end, edits)`` in the text of the piece, for the bands starting on
-    the diagonals ``lows`` that hold it within its edits."""
-    size, width = len(piece.chars), 2 * max(piece.edits, 1) + 1
+def verified(
+    chars: np.ndarray, index: Index, owner: np.ndarray, low: np.ndarray
+) -> Iterator[tuple[int, int, int, int]]:
+    """``(piece, start, end, edits)`` in the text, for the bands of the pieces
+    ``owner`` starting on the diagonals ``low`` that hold them within their edits.
+    Candidates whose pieces are of one length and budget are aligned together."""
+    edge = 2 * max(index.widest, 1) + 1
     padded = np.concatenate(
-        [np.full(width, 0xFFFFFFFF, np.uint32), chars, np.full(size + 2 * width, 0xFFFFFFFF, np.uint32)]
+        [np.full(edge, 0xFFFFFFFF, np.uint32), chars, np.full(index.longest + 2 * edge, 0xFFFFFFFF, np.uint32)]
     )
-    lows = lows[(lows > -size - width) & (lows < len(chars))]
-    lows = np.maximum(lows, -width)
-    if not len(lows):
-        return
-    windows = padded[(lows + width)[:, None] + np.arange(size + width - 1)]
-    ends = aligned(piece.chars, windows, width, np.zeros((len(lows), width), np.int64))
+    sizes, edits = index.sizes[owner], index.edits[owner]
+    for size, most in set(zip(sizes.tolist(), edits.tolist(), strict=True)):
+        width = 2 * max(most, 1) + 1
+        own = (sizes == size) & (edits == most) & (low > -size - width) & (low < len(chars))
+        numbers, lows = owner[own], np.maximum(low[own], -width)
+        for at in range(0, len(lows), CANDIDATES):
+            part = slice(at, at + CANDIDATES)
+            yield from placed(padded, edge, index, numbers[part], lows[part], size, most)
+
+
+def placed(
+    padded: np.ndarray, edge: int, index: Index, owner: np.ndarray, lows: np.ndarray, size: int, most: int
+) -> Iterator[tuple[int, int, int, int]]:
+    """The candidates of one length that align within ``most`` edits."""
+    width = 2 * max(most, 1) + 1
+    kinds, kind = np.unique(owner, return_inverse=True)
+    pieces = np.stack([index.pieces[n].chars for n in kinds.tolist()])[kind]
+    windows = padded[(lows + edge)[:, None] + np.arange(size + width - 1)]
+    ends = aligned(pieces, windows, np.zeros((len(lows), width), np.int32))
     best = ends.argmin(axis=1)
-    edits = ends[np.arange(len(lows)), best]
-    good = np.flatnonzero(edits <= piece.edits)
+    cost = ends[np.arange(len(lows)), best]
+    good = np.flatnonzero(cost <= most)
     if not len(good):
         return
     # From the end back: the diagonal that the alignment starts on.
-    closing = np.arange(width) - (width - 1 - best[good])[:, None]
+    closing = np.arange(width, dtype=np.int32) - (width - 1 - best[good])[:, None].astype(np.int32)
     closing[closing < 0] = size
-    starts = aligned(piece.chars[::-1], windows[good][:, ::-1], width, closing)
-    begin = width - 1 - starts.argmin(axis=1)
-    for c, b, s in zip(good.tolist(), best[good].tolist(), begin.tolist(), strict=True):
-        low = int(lows[c])
-        yield max(low + s, 0), low + b + size, int(edits[c])
+    starts = aligned(pieces[good][:, ::-1], windows[good][:, ::-1], closing)
+    begin = lows[good] + width - 1 - starts.argmin(axis=1)
+    end = lows[good] + best[good] + size
+    found = (owner[good], np.maximum(begin, 0), end, cost[good])
+    yield from zip(*(column.tolist() for column in found), strict=True)
 
 
 def leaks_in(chunk: list[str], index: Index) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -256,14 +277,13 @@ def leaks_in(chunk: list[str], index: Index) -> Iterator[tuple[int, int, int, in
         parts += [own, gap]
         total += len(own) + len(gap)
     chars = np.concatenate(parts)
-    owner, low = index.bands(chars)
+    places: dict[int, set[tuple[int, int, int]]] = {}
+    for number, *place in verified(chars, index, *index.bands(chars)):
+        places.setdefault(number, set()).add(tuple(place))
     begins = np.array(starts)
-    for number in np.unique(owner).tolist():
+    for number in sorted(places):
         piece = index.pieces[number]
-        places = set()
-        for start, end, edits in verified(chars, piece, low[owner == number]):
-            places.add((start, end, edits))
-        for start, end, edits in distinct(places):
+        for start, end, edits in distinct(places[number]):
             # The ends may lie in the gaps around a text, the middle does not.
             text = int(np.searchsorted(begins, (start + end) // 2, "right")) - 1
             at = starts[text]
