@@ -167,9 +167,39 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component AS component_id,
   doc_id IS NOT DISTINCT FROM component AS kept
 FROM docs d JOIN least l ON d.r = l.r LEFT JOIN sizes s ON d.r = s.r"""
 
+# What parts terms for the search, and letters to fold.
+_TERMS = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+_FOLDED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SEARCH = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_FOLDED.format("coalesce(text, '')")}, '{_TERMS}') AS words FROM documents
+), counts AS (
+  SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(words) AS t FROM docs) GROUP BY ALL
+), totals AS (
+  SELECT count(*) AS n_docs, sum(len(words))::BIGINT AS n_terms FROM docs WHERE len(words) > 0
+), weights AS (
+  SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counts, totals GROUP BY t, n_docs
+), items AS (
+  SELECT row_number() OVER () AS i, item_id, list_distinct(regexp_extract_all({_FOLDED.format("text")}, '{_TERMS}')) AS words
+  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)
+), shares AS (
+  SELECT r, doc_id, 50 + (50 * len(words) * n_docs) // n_terms AS m FROM docs, totals WHERE len(words) > 0
+), scores AS (
+  SELECT i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM (SELECT i, item_id, unnest(words) AS t FROM items) q
+  JOIN weights USING (t) JOIN counts USING (t) JOIN shares USING (r) GROUP BY ALL
+), placed AS (
+  SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+  FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50"""
+
 ORACLES = {
     "op4_near_duplicates": NEAR,
     "op7_substring_dedup": PASSAGES,
     "op8_license_scan": LICENSES,
     "op10_quality_rules": QUALITY,
+    "op11_ranked_search": SEARCH,
 }

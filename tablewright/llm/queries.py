@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablewright.llm import (
     bpe,
     decontamination,
+    lexical,
     nearduplicates,
     passages,
     quotations,
@@ -114,6 +115,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = given(spark, sf_dir, "documents"), given(spark, sf_dir, "benchmark")
+    return lexical.ranked_search(docs, items).drop("text_key")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quotation_linking": op1_quotation_linking,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -125,4 +131,5 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": op8_license_scan,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_ranked_search": op11_ranked_search,
 }
