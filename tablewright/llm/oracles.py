@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+from tablewright.llm.languages import (
+    HASH_BITS,
+    LOG_SCALE,
+    SPACE,
+    THREE,
+    TWO,
+    UNDETERMINED,
+    LanguageSettings,
+)
 from tablewright.llm.licenses import K, MERGE, MIN_SCORE, PHRASES, TEMPLATES
 from tablewright.llm.quality import MIN_WORDS, REPEAT_PERCENT, HostRules
 
@@ -196,10 +205,68 @@ WITH docs AS (
 )
 SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50"""
 
+# The unsigned crc32 of a whole number's decimal digits, bit by bit.
+_CRC32 = """xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all({}::VARCHAR, '.'), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+      lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+_TRAINING = LanguageSettings()
+_BUCKET = f"(({{}}) % {1 << HASH_BITS} // {(1 << HASH_BITS) // _TRAINING.buckets})::INT"
+
+LANGUAGES = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text,
+    coalesce({_CRC32.format("doc_id")} % {_TRAINING.held_out[1]} = {_TRAINING.held_out[0]}, false) AS held_out
+  FROM documents
+), placed AS (
+  SELECT r, unnest(chars) AS c, unnest(range(len(chars))) AS i
+  FROM (SELECT r, regexp_extract_all(text, '(?s).') AS chars FROM docs)
+), coded AS (
+  SELECT r, i, CASE WHEN regexp_matches(c, '\\p{{L}}') THEN unicode(lower(c)) ELSE {SPACE} END::BIGINT AS x
+  FROM placed
+), around AS (
+  SELECT r, x, coalesce(lag(x) OVER w, {SPACE}) AS p, coalesce(lead(x) OVER w, {SPACE}) AS n FROM coded
+  WINDOW w AS (PARTITION BY r ORDER BY i)
+), grams AS (
+  SELECT r, {_BUCKET.format(f"p * {THREE[0]} + x * {THREE[1]} + n * {THREE[2]}")} AS b FROM around WHERE x <> {SPACE}
+  UNION ALL
+  SELECT r, {_BUCKET.format(f"x * {TWO[0]} + n * {TWO[1]}")} FROM around WHERE x <> {SPACE}
+  UNION ALL
+  SELECT r, {_BUCKET.format(f"p * {TWO[0]} + x * {TWO[1]}")} FROM around WHERE x <> {SPACE} AND p = {SPACE}
+), held AS (
+  SELECT r, b, count(*) AS k FROM grams GROUP BY ALL
+), learned AS (
+  SELECT r, lang FROM docs WHERE NOT held_out AND doc_id IS NOT NULL AND lang IS NOT NULL
+), known AS (
+  SELECT lang, count(*) AS docs FROM learned GROUP BY lang
+), counts AS (
+  SELECT lang, b, sum(k) AS n FROM held JOIN learned USING (r) GROUP BY ALL
+), sums AS (
+  SELECT lang, docs, coalesce(sum(n), 0) AS total FROM known LEFT JOIN counts USING (lang) GROUP BY ALL
+), shares AS (
+  SELECT lang, b, floor({LOG_SCALE} * ln((coalesce(n, 0) + {_TRAINING.smoothing})
+    / (total + {_TRAINING.smoothing * _TRAINING.buckets})))::BIGINT AS v
+  FROM sums CROSS JOIN (SELECT DISTINCT b FROM held) LEFT JOIN counts USING (lang, b)
+), scores AS (
+  SELECT r, lang, sum(k * v)::BIGINT + any_value(prior) AS score
+  FROM held JOIN shares USING (b)
+  JOIN (SELECT lang, floor({LOG_SCALE} * ln(docs / sum(docs) OVER ()))::BIGINT AS prior FROM known) USING (lang)
+  GROUP BY r, lang
+), best AS (
+  SELECT r, lang, 1 / sum(exp((score - top) / {LOG_SCALE})) OVER (PARTITION BY r) AS sure,
+    row_number() OVER (PARTITION BY r ORDER BY score DESC, lang) AS rank
+  FROM (SELECT *, max(score) OVER (PARTITION BY r) AS top FROM scores)
+)
+SELECT doc_id, held_out, coalesce(b.lang, '{UNDETERMINED}') AS lang_pred,
+  coalesce(round(sure, 6), 0)::DOUBLE AS score
+FROM docs d LEFT JOIN best b ON d.r = b.r AND rank = 1"""
+
 ORACLES = {
     "op4_near_duplicates": NEAR,
     "op7_substring_dedup": PASSAGES,
     "op8_license_scan": LICENSES,
     "op10_quality_rules": QUALITY,
     "op11_ranked_search": SEARCH,
+    "op12_language_id": LANGUAGES,
 }

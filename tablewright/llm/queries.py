@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablewright.llm import (
     bpe,
     decontamination,
+    languages,
     lexical,
     nearduplicates,
     passages,
@@ -120,6 +121,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_search(docs, items).drop("text_key")
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.languages(given(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quotation_linking": op1_quotation_linking,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -132,4 +137,5 @@ QUERIES: dict[str, Query] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
     "op11_ranked_search": op11_ranked_search,
+    "op12_language_id": op12_language_id,
 }
