@@ -12,6 +12,7 @@ from tablewright.llm.languages import (
     LanguageSettings,
 )
 from tablewright.llm.licenses import K, MERGE, MIN_SCORE, PHRASES, TEMPLATES
+from tablewright.llm.manifest import FAN, FIELDS
 from tablewright.llm.quality import MIN_WORDS, REPEAT_PERCENT, HostRules
 
 RULES = HostRules()
@@ -262,6 +263,60 @@ SELECT doc_id, held_out, coalesce(b.lang, '{UNDETERMINED}') AS lang_pred,
   coalesce(round(sure, 6), 0)::DOUBLE AS score
 FROM docs d LEFT JOIN best b ON d.r = b.r AND rank = 1"""
 
+def _written(text: str) -> str:
+    fields = [text if f == "text" else f"{f}::VARCHAR" for f in FIELDS]
+    return " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields)
+
+
+_STEP = f"""pos // {FAN}, (n + {FAN - 1}) // {FAN},
+    sha256(array_to_string(digests[1:pos % {FAN}] || [digest] || digests[pos % {FAN} + 2:], '')),
+    proof || array_to_string(digests[1:pos % {FAN}] || digests[pos % {FAN} + 2:], '')"""
+
+MANIFEST = f"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, sha256({_written("text")}) AS leaf,
+    CASE WHEN {_CRC32.format("doc_id")} % 3 = 0 AND text IS NOT NULL
+      THEN sha256({_written(_FOLDED.format("text"))}) END AS altered
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree
+  FROM leaves
+), nodes AS (
+  SELECT tree, 0 AS level, pos, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // {FAN}, (n + {FAN - 1}) // {FAN}, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM nodes WHERE n > 1 GROUP BY tree, level, pos // {FAN}, n
+), tops AS (
+  SELECT 0 AS level, tree AS pos, count(*) OVER () AS n, digest FROM nodes WHERE n = 1
+  UNION ALL
+  SELECT level + 1, pos // {FAN}, (n + {FAN - 1}) // {FAN}, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM tops WHERE n > 1 GROUP BY level, pos // {FAN}, n
+), runs AS (
+  SELECT tree, level, pos // {FAN} AS run, list(digest ORDER BY pos) AS digests
+  FROM nodes WHERE n > 1 GROUP BY tree, level, pos // {FAN}
+), top_runs AS (
+  SELECT level, pos // {FAN} AS run, list(digest ORDER BY pos) AS digests
+  FROM tops WHERE n > 1 GROUP BY level, pos // {FAN}
+), climbed AS (
+  SELECT r, tree, 0 AS level, pos, n, coalesce(altered, leaf) AS digest, '' AS proof FROM placed
+  UNION ALL
+  SELECT r, c.tree, c.level + 1, {_STEP}
+  FROM climbed c JOIN runs s ON c.tree = s.tree AND c.level = s.level AND c.pos // {FAN} = s.run
+  WHERE n > 1
+), over AS (
+  SELECT r, 0 AS level, c.tree AS pos, t.n, c.digest, proof
+  FROM climbed c JOIN (SELECT count(*) AS n FROM tops WHERE level = 0) t ON true WHERE c.n = 1
+  UNION ALL
+  SELECT r, o.level + 1, {_STEP}
+  FROM over o JOIN top_runs s ON o.level = s.level AND o.pos // {FAN} = s.run
+  WHERE n > 1
+)
+SELECT doc_id, leaf, s.digest AS subroot, t.digest AS root, sha256(proof) AS proof_sha256,
+  o.digest AS folded_root, o.digest = t.digest AS verified
+FROM placed p JOIN over o ON p.r = o.r AND o.n = 1
+JOIN nodes s ON p.tree = s.tree AND s.n = 1 JOIN tops t ON t.n = 1"""
+
 ORACLES = {
     "op4_near_duplicates": NEAR,
     "op7_substring_dedup": PASSAGES,
@@ -269,4 +324,5 @@ ORACLES = {
     "op10_quality_rules": QUALITY,
     "op11_ranked_search": SEARCH,
     "op12_language_id": LANGUAGES,
+    "op13_merkle_manifest": MANIFEST,
 }

@@ -13,6 +13,7 @@ from tablewright.llm import (
     decontamination,
     languages,
     lexical,
+    manifest,
     nearduplicates,
     passages,
     quotations,
@@ -125,6 +126,10 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.languages(given(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.checked(given(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quotation_linking": op1_quotation_linking,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -138,4 +143,5 @@ QUERIES: dict[str, Query] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_ranked_search": op11_ranked_search,
     "op12_language_id": op12_language_id,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
