@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.catalog import Catalog, ForeignKey
+from tablewright.operators.hierarchy import lost_keys
 from tablewright.operators.integrity import (
     KEY,
     Tables,
@@ -23,7 +24,7 @@ from tablewright.operators.profile import table_counts
 from tablewright.operators.sizing import BROADCAST_BYTES, key_bytes
 from tablewright.sources.sinks import write_table
 from tablewright.sources.tables import read_table
-from tablewright.sources.workspace import materialized, workspace
+from tablewright.sources.workspace import workspace
 
 
 def fk_filter(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
@@ -112,8 +113,8 @@ def fk_clean_cascade(
     rewritten when one of its own references has some, or one of its parents
     lost rows.  Rewritten tables go to a new folder, in ``fmt``; the input is
     never changed, and each written table is what its children are joined to.
-    Tables that refer to themselves or to each other are cleaned round after
-    round, each round written, until one removes nothing.
+    Of tables that refer to themselves or to each other only the keys are
+    followed, to the end (`hierarchy.lost_keys`); their rows are written once.
     """
     present = [t for t in tables.values() if t is not None]
     if not present:
@@ -130,19 +131,15 @@ def fk_clean_cascade(
     rewritten: list[str] = []
     sizes: dict[tuple[str, str], int] = {}
 
-    def concerned(name: str, parents: Tables, changed: set[str]) -> list[ForeignKey]:
+    def concerned(name: str, parents: Tables) -> list[ForeignKey]:
         """References of a table that are to be applied now."""
         if parents.get(name) is None:
             return []
-        return [
-            e
-            for e in references[name]
-            if (name, e.column) in dirty or e.parent in changed or e.parent in rewritten
-        ]
+        return [e for e in references[name] if (name, e.column) in dirty or e.parent in rewritten]
 
-    def applied(name: str, edges: list[ForeignKey], parents: Tables, sized: dict) -> DataFrame:
+    def applied(name: str, edges: list[ForeignKey], parents: Tables) -> DataFrame:
         return fk_clean_table(
-            parents[name], edges, parents, broadcast_limit=broadcast_limit, sizes=sized
+            parents[name], edges, parents, broadcast_limit=broadcast_limit, sizes=sizes
         )
 
     def stored(name: str, kept: DataFrame) -> DataFrame:
@@ -150,26 +147,28 @@ def fk_clean_cascade(
         return read_table(spark, f"{folder}/{name}", fmt, tables[name].schema)
 
     def clean_one(name: str, parents: Tables) -> dict[str, DataFrame]:
-        edges = concerned(name, parents, set())
-        return {name: stored(name, applied(name, edges, parents, sizes))} if edges else {}
+        edges = concerned(name, parents)
+        return {name: stored(name, applied(name, edges, parents))} if edges else {}
 
     def clean_together(names: list[str], parents: Tables) -> dict[str, DataFrame]:
-        now, changed = dict(parents), set()
-        ahead = {n for n in names if concerned(n, now, set())}
-        while ahead:
-            lost = set()
-            for name in names:
-                if name not in ahead:
-                    continue
-                # Sizes of these tables shrink from round to round: measured anew.
-                kept = materialized(applied(name, concerned(name, now, changed), now, {}))
-                if kept.count() < now[name].count():
-                    lost.add(name)
-                now[name] = kept
-            changed |= lost
-            ahead = {n for n in names if any(e.parent in lost for e in references[n])}
-            ahead = {n for n in ahead if now.get(n) is not None}
-        return {n: stored(n, now[n]) for n in names if n in changed}
+        now = {name: parents[name] for name in names if parents.get(name) is not None}
+        if not any(concerned(name, parents) for name in now):
+            return {}
+        inner = [e for name in now for e in references[name] if e.parent in now]
+        for name in now:
+            outer = [e for e in concerned(name, parents) if e.parent not in names]
+            now[name] = applied(name, outer, parents)
+        lost = lost_keys(inner, now) if inner else None
+        done = {}
+        for name, kept in now.items():
+            for edge in (e for e in inner if e.child == name):
+                gone = lost.keys.withColumnRenamed("node", KEY)
+                kept = joined_by_key(kept, lost.nodes[edge], gone, "left_anti")
+                kept = kept if edge.nullable else kept.where(F.col(edge.column).isNotNull())
+            # Counting reads keys; whole rows are written once, and only where some go.
+            if kept.count() < parents[name].count():
+                done[name] = stored(name, kept)
+        return done
 
     def clean(names: list[str], parents: Tables) -> dict[str, DataFrame]:
         own = {e.parent for n in names for e in references[n]} & set(names)

@@ -350,16 +350,55 @@ def shop() -> str:
     )
 
 
+# Which keys each key of a tree leads to, itself only around a ring.
+REACHED = """reach AS (
+        SELECT p_partkey AS start, parent_key AS goal FROM tree
+        WHERE parent_key IN (SELECT p_partkey FROM tree)
+        UNION
+        SELECT start, parent_key FROM reach JOIN tree ON goal = p_partkey
+        WHERE parent_key IN (SELECT p_partkey FROM tree)
+      ), on_ring AS (
+        SELECT start AS p_partkey FROM reach WHERE start = goal
+      ), ring AS (
+        SELECT start AS p_partkey, min(goal::VARCHAR) AS low
+        FROM reach WHERE goal IN (SELECT p_partkey FROM on_ring) GROUP BY start
+      )"""
+
+
 def self_check() -> str:
     parent = draw("self.parent", "p_partkey", "2 * (SELECT count(*) FROM part)")
     return f"""
-      WITH tree AS (SELECT p_partkey, CASE WHEN NOT {chance('self.null', 'p_partkey', 0.3)}
-                           THEN {parent} END AS parent_key FROM part)
+      WITH RECURSIVE tree AS (SELECT p_partkey, CASE WHEN NOT {chance('self.null', 'p_partkey', 0.3)}
+                           THEN {parent} END AS parent_key FROM part),
+      rooted AS (
+        SELECT p_partkey, 0 AS depth FROM tree WHERE parent_key IS NULL
+        UNION ALL SELECT t.p_partkey, depth + 1 FROM tree t JOIN rooted r ON t.parent_key = r.p_partkey
+      ), {REACHED}
       SELECT count(*)::BIGINT AS total, (count(*) - count(parent_key))::BIGINT AS nulls,
-        count(p.pk)::BIGINT AS valid, (count(parent_key) - count(p.pk))::BIGINT AS orphaned
+        count(p.pk)::BIGINT AS valid, (count(parent_key) - count(p.pk))::BIGINT AS orphaned,
+        (SELECT count(DISTINCT low) FROM ring JOIN on_ring USING (p_partkey))::BIGINT AS rings,
+        (SELECT max(depth) FROM rooted)::BIGINT AS max_depth,
+        (count(*) - (SELECT count(*) FROM rooted))::BIGINT AS unrooted
       FROM tree LEFT JOIN (SELECT p_partkey AS pk FROM part) p ON parent_key = p.pk"""
 
 
+HIERARCHY = f"""WITH RECURSIVE tree AS (
+        SELECT p_partkey, CASE WHEN p_partkey % 50 >= 45 THEN p_partkey - p_partkey % 5 + (p_partkey + 1) % 5
+          WHEN p_partkey > 5 THEN p_partkey // 3 END AS parent_key
+        FROM part WHERE p_partkey % 7 <> 0
+      ), ended AS (
+        SELECT p_partkey, CASE WHEN parent_key IS NULL THEN 'root' ELSE 'missing' END AS state,
+          CASE WHEN parent_key IS NULL THEN 0 ELSE 1 END AS depth, coalesce(parent_key, p_partkey) AS last
+        FROM tree WHERE parent_key IS NULL OR parent_key NOT IN (SELECT p_partkey FROM tree)
+        UNION ALL
+        SELECT t.p_partkey, state, depth + 1, last FROM tree t JOIN ended e ON t.parent_key = e.p_partkey
+      ), {REACHED}
+      SELECT p_partkey::VARCHAR AS node, parent_key::VARCHAR AS parent, coalesce(state, 'ring') AS state,
+        depth::BIGINT AS depth, coalesce(last::VARCHAR, low) AS last,
+        p_partkey IN (SELECT p_partkey FROM on_ring) AS on_ring
+      FROM tree LEFT JOIN ended USING (p_partkey) LEFT JOIN ring USING (p_partkey)"""
+
+
 def level_totals() -> str:
     level = " ".join(f"WHEN '{t}' THEN '{n}'" for t, n in STAR.levels().items())
     return f"""
@@ -443,6 +482,7 @@ ORACLES: dict[str, str] = {
     "sum(CASE WHEN parent_table <> 'documents' THEN orphaned ELSE 0 END)::BIGINT AS orphaned "
     "FROM checked",
     "fk_self": self_check(),
+    "fk_hierarchy": HIERARCHY,
     "pk_unique": """
       SELECT o_orderkey, count(*)::BIGINT AS rows FROM (
         SELECT CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderkey END AS o_orderkey FROM (

@@ -15,7 +15,7 @@ from tablewright.functions import generators as g
 from tablewright.functions.draws import chance, draw
 from tablewright.functions.sqltext import insert_statements, sql_literal
 from tablewright.functions.types import cast_failures, typed_projection
-from tablewright.operators import cleanup, integrity, profile
+from tablewright.operators import cleanup, hierarchy, integrity, profile
 from tablewright.operators.pools import (
     TEMPLATES,
     USER_TEMPLATE,
@@ -340,7 +340,18 @@ def q_fk_self(spark, sf_dir):
     missing = chance(SEED, "self.null", "p_partkey", 0.3)
     tree = part.selectExpr("p_partkey", f"if({missing}, NULL, {drawn}) AS parent_key")
     edge = ForeignKey("part", "parent_key", "part", "p_partkey")
-    return integrity.fk_self_check(edge, {"part": tree})
+    return hierarchy.fk_self_summary(edge, {"part": tree})
+
+
+def q_fk_hierarchy(spark, sf_dir):
+    """A tree of parts in which some lead around in rings of five, after some were lost."""
+    tree = given_table(spark, sf_dir, "part").where("p_partkey % 7 <> 0").selectExpr(
+        "p_partkey",
+        "CASE WHEN p_partkey % 50 >= 45 THEN p_partkey - p_partkey % 5 + (p_partkey + 1) % 5 "
+        "WHEN p_partkey > 5 THEN p_partkey DIV 3 END AS parent_key",
+    )
+    edge = ForeignKey("part", "parent_key", "part", "p_partkey")
+    return hierarchy.fk_hierarchy(edge, {"part": tree})
 
 
 def q_pk_unique(spark, sf_dir):
@@ -525,6 +536,7 @@ QUERIES: dict[str, Query] = {
     "fk_orphan_count": _on_edge("lineitem.l_partkey", integrity.fk_orphan_count),
     "fk_final_status": q_fk_final_status,
     "fk_self": q_fk_self,
+    "fk_hierarchy": q_fk_hierarchy,
     "pk_unique": q_pk_unique,
     "null_check": lambda s, d: integrity.null_counts(dirty_tables(s, d, "lineitem")["lineitem"]),
     "fk_filter": q_fk_filter,
