@@ -12,6 +12,7 @@ from tablewright.llm.decontamination import leaking_removed
 from tablewright.llm.nearduplicates import one_of_each
 from tablewright.llm.quality import rejected_removed
 from tablewright.llm.secrets import redacted
+from tablewright.sources.workspace import scratch, workspace
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -57,8 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what each keeps is written for the next."""
+    """All stages over the documents; what each keeps is written for the next, and what
+    it wrote on the way is deleted then."""
     docs = given(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = materialized(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            docs = materialized(stage(spark, docs, sf_dir), workspace(spark))
     return docs

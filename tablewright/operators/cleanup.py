@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass
-from itertools import groupby, repeat
+from itertools import groupby
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.catalog import Catalog, ForeignKey
@@ -21,10 +22,10 @@ from tablewright.operators.integrity import (
     orphan_keys,
 )
 from tablewright.operators.profile import table_counts
-from tablewright.operators.sizing import BROADCAST_BYTES, key_bytes
+from tablewright.operators.sizing import BROADCAST_BYTES, Account, BroadcastBudget, key_bytes
 from tablewright.sources.sinks import write_table
 from tablewright.sources.tables import read_table
-from tablewright.sources.workspace import workspace
+from tablewright.sources.workspace import scratch, workspace
 
 
 def fk_filter(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
@@ -46,26 +47,32 @@ def fk_clean_table(
     *,
     broadcast_limit: int = BROADCAST_BYTES,
     sizes: dict[tuple[str, str], int] | None = None,
+    account: Account | None = None,
 ) -> DataFrame:
     """Rows whose every key has its parent; references to missing tables are skipped.
 
-    References to parents that measurably fit every executor become map-side
-    semi joins in one pass.  For all others together, one pass over key columns
-    finds the orphaned keys; dropping those is map-side again when they are
-    few, so whole rows are shuffled only when orphaned keys are many.
-    ``sizes`` keeps measured key sizes by (parent, column) between calls.
+    References to parents whose keys measurably fit every executor, all of them
+    together, become map-side semi joins in one pass, smallest parents first.
+    For all others together, one pass over key columns finds the orphaned keys;
+    dropping those is map-side again when they are few, so whole rows are
+    shuffled only when orphaned keys are many.  ``sizes`` keeps measured key
+    sizes by (parent, column) between calls; ``account`` is the share of a
+    budget that other jobs draw on as well, in place of ``broadcast_limit``.
     """
+    if account is None:
+        with BroadcastBudget(broadcast_limit).account() as own:
+            return fk_clean_table(child, edges, parents, sizes=sizes, account=own)
     sizes = {} if sizes is None else sizes
     given = child
     large = []
-    for edge in edges:
-        parent = parents.get(edge.parent)
-        if parent is None:
-            continue
+    present = [e for e in edges if parents.get(e.parent) is not None]
+    for edge in present:
         place = (edge.parent, edge.parent_column)
         if place not in sizes:
-            sizes[place] = key_bytes(parent, edge.parent_column)
-        if sizes[place] <= broadcast_limit and not edge.nullable:
+            sizes[place] = key_bytes(parents[edge.parent], edge.parent_column)
+    for edge in sorted(present, key=lambda e: sizes[e.parent, e.parent_column]):
+        parent, size = parents[edge.parent], sizes[edge.parent, edge.parent_column]
+        if not edge.nullable and account.grants(size):
             form = key_comparison(edge, {**parents, edge.child: given})
             keys = F.broadcast(parent.selectExpr(f"{form.parent} AS {KEY}"))
             child = joined_by_key(child, form.child, keys, "left_semi")
@@ -113,6 +120,8 @@ def fk_clean_cascade(
     rewritten when one of its own references has some, or one of its parents
     lost rows.  Rewritten tables go to a new folder, in ``fmt``; the input is
     never changed, and each written table is what its children are joined to.
+    Tables cleaned at once share ``broadcast_limit``; what they wrote on the way
+    is deleted at the end.
     Of tables that refer to themselves or to each other only the keys are
     followed, to the end (`hierarchy.lost_keys`); their rows are written once.
     """
@@ -120,7 +129,21 @@ def fk_clean_cascade(
     if not present:
         return CleanedDataset(dict(tables), dict(tables), ())
     spark = present[0].sparkSession
-    folder = folder or workspace(spark)
+    with scratch(spark):
+        return _cascaded(
+            spark, catalog, tables, folder or workspace(spark), fmt, BroadcastBudget(broadcast_limit), at_once
+        )
+
+
+def _cascaded(
+    spark: SparkSession,
+    catalog: Catalog,
+    tables: Tables,
+    folder: str,
+    fmt: str,
+    budget: BroadcastBudget,
+    at_once: int,
+) -> CleanedDataset:
     checked = fk_validate_all(spark, catalog.all_edges, tables)
     dirty = {
         (row.child_table, row.fk_column)
@@ -137,27 +160,25 @@ def fk_clean_cascade(
             return []
         return [e for e in references[name] if (name, e.column) in dirty or e.parent in rewritten]
 
-    def applied(name: str, edges: list[ForeignKey], parents: Tables) -> DataFrame:
-        return fk_clean_table(
-            parents[name], edges, parents, broadcast_limit=broadcast_limit, sizes=sizes
-        )
+    def applied(name: str, edges: list[ForeignKey], parents: Tables, account: Account) -> DataFrame:
+        return fk_clean_table(parents[name], edges, parents, sizes=sizes, account=account)
 
     def stored(name: str, kept: DataFrame) -> DataFrame:
         write_table(kept, f"{folder}/{name}", fmt)
         return read_table(spark, f"{folder}/{name}", fmt, tables[name].schema)
 
-    def clean_one(name: str, parents: Tables) -> dict[str, DataFrame]:
+    def clean_one(name: str, parents: Tables, account: Account) -> dict[str, DataFrame]:
         edges = concerned(name, parents)
-        return {name: stored(name, applied(name, edges, parents))} if edges else {}
+        return {name: stored(name, applied(name, edges, parents, account))} if edges else {}
 
-    def clean_together(names: list[str], parents: Tables) -> dict[str, DataFrame]:
+    def clean_together(names: list[str], parents: Tables, account: Account) -> dict[str, DataFrame]:
         now = {name: parents[name] for name in names if parents.get(name) is not None}
         if not any(concerned(name, parents) for name in now):
             return {}
         inner = [e for name in now for e in references[name] if e.parent in now]
         for name in now:
             outer = [e for e in concerned(name, parents) if e.parent not in names]
-            now[name] = applied(name, outer, parents)
+            now[name] = applied(name, outer, parents, account)
         lost = lost_keys(inner, now) if inner else None
         done = {}
         for name, kept in now.items():
@@ -172,7 +193,10 @@ def fk_clean_cascade(
 
     def clean(names: list[str], parents: Tables) -> dict[str, DataFrame]:
         own = {e.parent for n in names for e in references[n]} & set(names)
-        return clean_together(names, parents) if own else clean_one(names[0], parents)
+        with budget.account() as account:
+            if own:
+                return clean_together(names, parents, account)
+            return clean_one(names[0], parents, account)
 
     # Tables of one load level wait for no other of it: they run at once, and
     # all see the tables as the levels before left them.
@@ -180,7 +204,9 @@ def fk_clean_cascade(
     ordered = sorted(catalog.components(), key=lambda names: levels[names[0]])
     with ThreadPoolExecutor(at_once) as jobs:
         for _, level in groupby(ordered, key=lambda names: levels[names[0]]):
-            for done in list(jobs.map(clean, level, repeat(dict(cleaned)))):
+            before = dict(cleaned)
+            begun = [jobs.submit(copy_context().run, clean, names, before) for names in level]
+            for done in [job.result() for job in begun]:
                 cleaned |= done
                 rewritten += done
     return CleanedDataset(dict(tables), cleaned, tuple(rewritten))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 ROWS_PER_PARTITION = 2_000_000
 MIN_ROWS_PER_PARTITION = 50_000
 
-# Keys held by every executor at once; far below what a hash relation may take.
+# Keys held by every executor at once, of all joins together; far below what a hash
+# relation may take.
 BROADCAST_BYTES = 64 << 20
 FIXED_KEY_BYTES = 32
 
@@ -30,3 +35,44 @@ def key_bytes(keys: DataFrame, column: str) -> int:
     if isinstance(keys.schema[column].dataType, (T.StringType, T.BinaryType)):
         size += f" + coalesce(sum(octet_length(`{column}`)), 0)"
     return keys.selectExpr(size).first()[0]
+
+
+class BroadcastBudget:
+    """Bytes that the hash relations of jobs running at once may take together.
+
+    Jobs ask an account for the measured size of each relation; what does not
+    fit beside those of the other jobs is refused and has to be joined another
+    way.  An account gives back all it was granted when its job is done.
+    """
+
+    def __init__(self, limit: int = BROADCAST_BYTES):
+        self.limit = limit
+        self.granted = 0
+        self._lock = threading.Lock()
+
+    @contextmanager
+    def account(self) -> Iterator[Account]:
+        account = Account(self)
+        try:
+            yield account
+        finally:
+            with self._lock:
+                self.granted -= account.held
+
+    def take(self, size: int) -> bool:
+        with self._lock:
+            if self.granted + size > self.limit:
+                return False
+            self.granted += size
+            return True
+
+
+class Account:
+    def __init__(self, budget: BroadcastBudget):
+        self.budget = budget
+        self.held = 0
+
+    def grants(self, size: int) -> bool:
+        granted = self.budget.take(size)
+        self.held += size if granted else 0
+        return granted

@@ -35,7 +35,7 @@ from tablewright.operators.scripts import (
 )
 from tablewright.sources.sinks import write_table
 from tablewright.sources.tables import read_dataset
-from tablewright.sources.workspace import materialized
+from tablewright.sources.workspace import materialized, scratch
 
 
 def write_dataset(
@@ -56,8 +56,9 @@ def write_dataset(
 
 def generate(spark: SparkSession, catalog: Catalog, root: str, **options) -> dict[str, int]:
     """Generate and write every declared table in the catalog's format."""
-    tables = generated_dataset(spark, catalog, **options)
-    return write_dataset(tables, root, catalog.output_format)
+    with scratch(spark):
+        tables = generated_dataset(spark, catalog, **options)
+        return write_dataset(tables, root, catalog.output_format)
 
 
 def validate(spark: SparkSession, catalog: Catalog, tables: Tables) -> dict[str, DataFrame]:

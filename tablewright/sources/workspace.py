@@ -1,15 +1,19 @@
 """Intermediate tables in the shared folder the cluster names.
 
 Writing an intermediate result cuts its lineage, so it survives the loss of
-any executor, and gives the optimizer its true size for the next plan.
+any executor, and gives the optimizer its true size for the next plan.  Within
+`scratch` the folders written are deleted at its end; outside they stay, since
+what is returned may still be read from them.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +29,8 @@ def workspace(spark: SparkSession) -> str:
     """
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        # local-cluster[...] has executors of its own, in other processes
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
         base = tempfile.mkdtemp(prefix="tablewright-")
     return f"{base.rstrip('/')}/tablewright-{uuid.uuid4().hex}"
@@ -45,10 +50,37 @@ def shuffle_files_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(DROP_SHUFFLE_FILES, "false")
 
 
+# Folders written in the innermost `scratch` of this context; None outside of any.
+_FOLDERS: ContextVar[list[str] | None] = ContextVar("scratch_folders", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end, also after a failure, every folder that `materialized`
+    named itself in here.  For work whose results are written elsewhere by then;
+    threads take part if they are started in a copy of the context."""
+    folders: list[str] = []
+    before = _FOLDERS.set(folders)
+    try:
+        yield
+    finally:
+        _FOLDERS.reset(before)
+        for folder in folders:
+            delete(spark, folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Removes a folder from whatever file system it is on, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialized(frame: DataFrame, folder: str | None = None) -> DataFrame:
     """Write the frame once as parquet and continue from the written table."""
     spark = frame.sparkSession
     path = folder or workspace(spark)
+    if folder is None and _FOLDERS.get() is not None:
+        _FOLDERS.get().append(path)
     with shuffle_files_dropped(spark):
         frame.write.mode("overwrite").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
