@@ -39,6 +39,8 @@ PAIR_BYTES = 64
 # Terms of documents, and cells of documents by items, that are held at once.
 TERMS = 1 << 20
 CELLS = 1 << 22
+# Parts of an item's documents that are ranked each for itself first.
+PARTS = 8
 
 SKETCH = "doc_id bigint, text_key bigint, size bigint, places array<int>, peaks array<int>"
 PAIRS = "doc_id bigint, text_key bigint, item int, bound double"
@@ -206,6 +208,18 @@ def highest(pairs: pa.Table, top: int, floor: np.ndarray) -> pa.Table:
     return pairs.take(pa.array(order[rank < top]))
 
 
+def best_of(rows: DataFrame, top: int, value: str) -> DataFrame:
+    """The first ``top`` rows of each item by descending value, with their ``rank``: of
+    parts of its documents first, so no task sorts more than ``PARTS * top`` rows of
+    an item in the end, however many are alike."""
+    order = F.desc(value), "doc_id", "text_key"
+    part = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(PARTS))
+    for group in (("item", part), ("item",)):
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        rows = rows.withColumn("rank", rank).where(F.col("rank") <= top)
+    return rows
+
+
 def highest_bounds(sketched: DataFrame, lookup: Lookup, top: int) -> DataFrame:
     """The ``top`` documents of the highest bounds above 0 of each item: of every
     task first, then of all, so what is sorted in the end is a few pairs a task."""
@@ -225,9 +239,7 @@ def highest_bounds(sketched: DataFrame, lookup: Lookup, top: int) -> DataFrame:
         if held:
             yield from highest(pa.concat_tables(held), top, floor).combine_chunks().to_batches()
 
-    best = sketched.mapInArrow(work, PAIRS)
-    order = Window.partitionBy("item").orderBy(F.desc("bound"), "doc_id", "text_key")
-    return best.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top).drop("_rank")
+    return best_of(sketched.mapInArrow(work, PAIRS), top, "bound").drop("rank")
 
 
 def bounds_from(sketched: DataFrame, lookup: Lookup, least: np.ndarray) -> DataFrame:
@@ -275,12 +287,7 @@ def scored(docs: DataFrame, pairs: DataFrame, lookup: Lookup) -> DataFrame:
 
 def ranked(scores: DataFrame, top: int) -> DataFrame:
     """The ``top`` scores above 0 of each item with their ``rank``."""
-    order = Window.partitionBy("item").orderBy(F.desc("score"), "doc_id", "text_key")
-    return (
-        scores.where("score > 0")
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= top)
-    )
+    return best_of(scores.where("score > 0"), top, "score")
 
 
 def looked_up(
