@@ -22,6 +22,8 @@ from tablewright.operators.sizing import BROADCAST_BYTES, key_bytes
 from tablewright.sources.workspace import materialized
 
 Tables = Mapping[str, DataFrame | None]
+# Key ledgers by the type of their keys.
+Ledgers = Mapping[str, DataFrame]
 
 EDGE_SCHEMA = (
     "child_table string, fk_column string, parent_table string, parent_column string, "
@@ -36,7 +38,7 @@ def total_of(column: str) -> str:
     return f"coalesce(sum({column}), 0L)"
 
 
-class _Plan:
+class Plan:
     """Numbers the parents and the references into each of them."""
 
     def __init__(self, edges: Iterable[ForeignKey], tables: Tables):
@@ -96,10 +98,12 @@ def _entries(entries: list[tuple]) -> list[str]:
     return [f"stack({len(entries)}, {listed}) AS (parent, key, slot)"]
 
 
-def _ledger(plan: _Plan, kind: str) -> DataFrame:
+def key_ledger(plan: Plan, kind: str, tables: Tables | None = None) -> DataFrame | None:
     """Per (parent, key): is it a key of the parent, and how many rows of each
     reference hold it.  Each table is read once, its key columns only, whether
-    child or parent or both."""
+    child or parent or both.  ``tables`` are rows to read in place of the plan's;
+    tables that it lacks add nothing, and None comes back if all do."""
+    tables = plan.tables if tables is None else tables
     by_table: dict[str, list[tuple]] = {}
     for edge, slot in plan.slots.items():
         if plan.forms[edge].kind == kind:
@@ -109,16 +113,19 @@ def _ledger(plan: _Plan, kind: str) -> DataFrame:
         if parent_kind == kind:
             by_table.setdefault(parent, []).append((number, form, -1))
     parts = [
-        plan.tables[table].selectExpr(*_entries(e)).where("slot >= 0 OR key IS NOT NULL")
+        tables[table].selectExpr(*_entries(e)).where("slot >= 0 OR key IS NOT NULL")
         for table, e in by_table.items()
+        if tables.get(table) is not None
     ]
+    if not parts:
+        return None
     counters = [F.expr(f"count_if(slot = {i}) AS n{i}") for i in range(plan.width)]
     entries = reduce(DataFrame.union, parts)
     return entries.groupBy("parent", "key").agg(F.expr("min(slot) < 0 AS present"), *counters)
 
 
-def _per_edge(plan: _Plan, measures: dict[str, str]) -> DataFrame | None:
-    """Sum the ledger up per reference.  ``measures`` are aggregates by name,
+def _per_edge(plan: Plan, measures: dict[str, str], ledgers: Ledgers | None) -> DataFrame | None:
+    """Sum the ledgers up per reference.  ``measures`` are aggregates by name,
     over the counter ``n`` of the reference."""
     frames = []
     slots = range(plan.width)
@@ -128,7 +135,8 @@ def _per_edge(plan: _Plan, measures: dict[str, str]) -> DataFrame | None:
             for i in slots
             for name, measure in measures.items()
         ]
-        totals = _ledger(plan, kind).groupBy("parent").agg(*sums)
+        ledger = key_ledger(plan, kind) if ledgers is None else ledgers[kind]
+        totals = ledger.groupBy("parent").agg(*sums)
         rows = [
             f"struct({i} AS slot, {', '.join(f'{name}{i} AS {name}' for name in measures)})"
             for i in slots
@@ -137,11 +145,13 @@ def _per_edge(plan: _Plan, measures: dict[str, str]) -> DataFrame | None:
     return reduce(DataFrame.union, frames) if frames else None
 
 
-def _joined_to_edges(spark: SparkSession, plan: _Plan, measures: dict[str, str]) -> DataFrame:
+def _joined_to_edges(
+    spark: SparkSession, plan: Plan, measures: dict[str, str], ledgers: Ledgers | None = None
+) -> DataFrame:
     """One row per declared reference, measures 0 where no row was seen and
     null where a table is missing; both sides are bounded by the catalog."""
     edges = plan.edges_frame(spark)
-    per_edge = _per_edge(plan, measures)
+    per_edge = _per_edge(plan, measures, ledgers)
     if per_edge is None:
         nothing = [f"CAST(NULL AS bigint) AS {name}" for name in measures]
         return edges.selectExpr(*EDGE_COLUMNS, "_readable", "_nullable", *nothing)
@@ -171,17 +181,22 @@ def fk_validate_all(
     total, valid nor orphan, as in SQL.
     A reference whose child or parent is missing is SKIPPED, with null counts.
     """
+    return validated(spark, Plan(edges, tables), null_policy)
+
+
+def validated(
+    spark: SparkSession, plan: Plan, null_policy: str = "orphan", ledgers: Ledgers | None = None
+) -> DataFrame:
+    """`fk_validate_all` over the plan's tables, or over ledgers kept of them."""
     if null_policy not in ("orphan", "ignore"):
         raise ValueError(f"null policy {null_policy!r} is neither 'orphan' nor 'ignore'")
-    plan = _Plan(edges, tables)
-
     measures = {
         "total": "sum({n})",
         "valid": "sum(if(present, {n}, 0))",
         "nulls": "sum(if(key IS NULL, {n}, 0))",
     }
     ignored = "nulls" if null_policy == "ignore" else "if(_nullable, nulls, 0L)"
-    counted = _joined_to_edges(spark, plan, measures)
+    counted = _joined_to_edges(spark, plan, measures, ledgers)
     counted = counted.withColumn("total", F.expr(f"total - {ignored}"))
     return counted.selectExpr(
         *EDGE_COLUMNS,
@@ -237,7 +252,7 @@ def fk_final_status(checked: DataFrame) -> DataFrame:
 
 def fk_fan_in(spark: SparkSession, edges: Iterable[ForeignKey], tables: Tables) -> DataFrame:
     """Per reference: parent keys, how many are referenced, children per key."""
-    plan = _Plan(edges, tables)
+    plan = Plan(edges, tables)
 
     measures = {
         "parents": "count_if(present)",
@@ -264,10 +279,10 @@ def orphan_keys(edges: Iterable[ForeignKey], tables: Tables) -> dict[ForeignKey,
     written, so their true size decides how rows are joined to them.  Keys are in
     comparable form, as ``KEY``, with their row counts.
     """
-    plan = _Plan(edges, tables)
+    plan = Plan(edges, tables)
     found = {}
     for kind in plan.kinds:
-        orphans = materialized(_ledger(plan, kind).where("NOT present AND key IS NOT NULL"))
+        orphans = materialized(key_ledger(plan, kind).where("NOT present AND key IS NOT NULL"))
         for edge, slot in plan.slots.items():
             if plan.forms[edge].kind != kind:
                 continue

@@ -470,6 +470,7 @@ ORACLES: dict[str, str] = {
     f"count(*) FILTER (WHERE {matched(SUPPLIER)})::BIGINT AS valid FROM d_lineitem) SELECT total, valid, "
     f"(total - valid)::BIGINT AS orphaned, {percent('valid', 'total')} AS valid_pct FROM counted",
     "fk_validate_all": f"{checked()} SELECT * FROM checked",
+    "fk_validate_append": f"{checked()} SELECT * FROM checked",
     "fk_issues": f"{checked()} SELECT {ISSUES}, orphaned FROM checked WHERE orphaned > 0",
     "fk_summary": f"{checked()} SELECT sum(total)::BIGINT AS scanned, sum(valid)::BIGINT AS valid, "
     "sum(orphaned)::BIGINT AS orphaned, sum(orphaned) = 0 AS is_valid FROM checked",
