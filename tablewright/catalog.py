@@ -64,6 +64,13 @@ class ColumnSpec:
     ref_column: str | None = None
     pool: str | None = None
     pool_group: str | None = None
+    single_line: bool = False
+
+    @property
+    def one_line(self) -> bool:
+        """Whether its texts are promised to hold no line break, or have none by nature."""
+        breaks = any("\n" in v or "\r" in v for v in self.values)
+        return self.single_line or self.kind in ("email", "phone") or self.kind == "enum" and not breaks
 
 
 @dataclass(frozen=True)
@@ -106,6 +113,8 @@ class Catalog:
     tables: dict[str, TableSpec]
     seed: int = 42
     output_format: str = "csv"
+    #: A promise for every text column: generated text, of pools without line breaks.
+    single_line_text: bool = False
 
     def __post_init__(self):
         if self.output_format not in OUTPUT_FORMATS:
@@ -130,6 +139,10 @@ class Catalog:
     def all_edges(self) -> list[ForeignKey]:
         return self.edges + self.nullable_edges
 
+    def single_line(self, name: str) -> set[str]:
+        """Columns of a table that are promised to hold no line break."""
+        return {c.name for c in self.tables[name].columns if self.single_line_text or c.one_line}
+
     def components(self) -> list[list[str]]:
         """Tables that reach each other over references, as one list; every list
         after those its tables refer to."""
@@ -212,6 +225,7 @@ class Catalog:
             tables,
             config.get("seed", 42),
             config.get("output_format", "csv").lower(),
+            config.get("single_line_text", False),
         )
 
     @classmethod
@@ -262,6 +276,7 @@ def _column_from_dict(name: str, meta: dict, source: str | dict | None) -> Colum
         ref_column=meta.get("ref_column"),
         pool=source.get("pool") if isinstance(source, dict) else source,
         pool_group=source.get("group") if isinstance(source, dict) else None,
+        single_line=meta.get("single_line", False),
     )
 
 
@@ -291,9 +306,10 @@ def nullable_ref(name, target, null_ratio):
     return ColumnSpec(name, "fk", ref_table=parent, ref_column=column, null_ratio=null_ratio)
 
 
-def string(name, pool=None, group=None):
-    """``group``: the column that names the group of the pool to draw from."""
-    return ColumnSpec(name, "string", pool=pool, pool_group=group)
+def string(name, pool=None, group=None, single_line=False):
+    """``group``: the column that names the group of the pool to draw from;
+    ``single_line``: no value holds a line break, so csv files can be split."""
+    return ColumnSpec(name, "string", pool=pool, pool_group=group, single_line=single_line)
 
 
 def email(name):

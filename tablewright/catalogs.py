@@ -209,6 +209,7 @@ SHOP = Catalog.of(
         decimal("total_operational_cost", 50000, 1500000),
         decimal("net_profit_loss", -1000000, 2000000), timestamp("calculated_date", 365),
     ),
+    single_line_text=True,
 )
 
 # The given star tables and the references that hold among them.  Row counts

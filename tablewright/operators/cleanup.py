@@ -165,7 +165,9 @@ def _cascaded(
 
     def stored(name: str, kept: DataFrame) -> DataFrame:
         write_table(kept, f"{folder}/{name}", fmt)
-        return read_table(spark, f"{folder}/{name}", fmt, tables[name].schema)
+        return read_table(
+            spark, f"{folder}/{name}", fmt, tables[name].schema, single_line=catalog.single_line(name)
+        )
 
     def clean_one(name: str, parents: Tables, account: Account) -> dict[str, DataFrame]:
         edges = concerned(name, parents)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +56,8 @@ QUOTED_ITEM = r"""["']([^"']+)["']"""
 NUMBERED_ITEM = r"(?mdU)^\s*\d+\.\s*(.+)$"
 
 CHUNK = 100_000
-SALT_BUCKETS = 32
+# Shares that the rows of one task are made of; a larger group is cut into shares.
+SHARES = 32
 
 
 def fallback_groups(spark: SparkSession) -> DataFrame:
@@ -140,23 +142,32 @@ def numbered_values(pools: PoolSet) -> DataFrame:
 
 def _met(rows: DataFrame, row_id: str, groups: DataFrame, on: list[str]) -> DataFrame:
     """Rows with their group's one row, or nulls: broadcast where the groups
-    measurably fit every executor, else in salted copies, so that a group that
-    most rows belong to is met by many tasks."""
+    measurably fit every executor, else by a join in which no group is more than
+    a small share of a task.
+
+    Rows are counted by group first.  A group, or the rows without one, of more
+    than a share is cut into as many parts as it has shares, by the rows' ids, and
+    only its row is copied for them; there are never more such groups than
+    ``SHARES`` times the tasks, so they go by broadcast.
+    """
     if key_bytes(groups, on[-1]) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(groups), on, "left")
-    salted = rows.withColumn("_salt", _salt(row_id))
-    return salted.join(_salted(groups), [*on, "_salt"], "left").drop("_salt")
-
-
-def _salted(directory: DataFrame) -> DataFrame:
-    """``SALT_BUCKETS`` copies of each group's one row: a group that most rows
-    belong to is then met by as many tasks."""
-    salts = F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))
-    return directory.select("*", F.explode(salts).alias("_salt"))
-
-
-def _salt(row_id: str) -> Column:
-    return F.pmod(F.col(row_id), F.lit(SALT_BUCKETS)).cast("int")
+    sizes = materialized(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")))
+    total = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, total // (SHARES * tasks))
+    parts = F.ceil(F.col("_rows") / share).cast("int").alias("_parts")
+    heavy = F.broadcast(
+        sizes.where(F.col("_rows") > share).select(*(F.col(c).alias(f"_of_{c}") for c in on), parts)
+    )
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on))
+    own = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(row_id), F.col("_parts")))
+    dealt = rows.join(heavy, same, "left").withColumn("_part", F.coalesce(own, F.lit(0)).cast("int"))
+    copies = groups.join(heavy, same, "left").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    )
+    extra = ["_parts", *(f"_of_{c}" for c in on)]
+    return dealt.drop(*extra).join(copies.drop(*extra), [*on, "_part"], "left").drop("_part")
 
 
 def drawn_from_group(

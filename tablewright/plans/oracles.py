@@ -416,6 +416,7 @@ ISSUES = "child_table, fk_column, parent_table, parent_column"
 ORACLES: dict[str, str] = {
     "range_source": "SELECT unnest(range((SELECT count(*) FROM orders))) AS id",
     "scan_csv": declared("orders"),
+    "scan_csv_split": declared("customer"),
     "scan_parquet": "SELECT * FROM lineitem",
     "scan_json": declared("supplier"),
     "scan_csv_strings": f"SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey, "

@@ -89,6 +89,23 @@ def _round_trip(name: str, fmt: str) -> Query:
     return query
 
 
+def q_scan_csv_split(spark, sf_dir):
+    """One file of a table whose texts are promised to be single lines, read by tasks of
+    64 kB each."""
+    path = f"{workspace(spark)}/customer"
+    customer = _declared(given_table(spark, sf_dir, "customer"), "customer")
+    write_table(customer.coalesce(1), path, "csv")
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 64 << 10)
+    try:
+        texts = {f.name for f in customer.schema if isinstance(f.dataType, T.StringType)}
+        rows = read_table(spark, path, "csv", customer.schema, single_line=texts)
+        return _plain(materialized(rows))
+    finally:
+        spark.conf.set(size, before)
+
+
 # Scans and sinks
 
 
@@ -508,6 +525,7 @@ def q_fk_clean_self(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     "range_source": q_range_source,
     "scan_csv": _round_trip("orders", "csv"),
+    "scan_csv_split": q_scan_csv_split,
     "scan_parquet": q_scan_parquet,
     "scan_json": _round_trip("supplier", "json"),
     "scan_csv_strings": _customer_texts,

@@ -19,8 +19,8 @@ def write_table(
 ) -> int:
     """Write one table and return its row count, observed while writing.
 
-    No file has more than ``max_records_per_file`` rows: a csv file with texts is
-    read by one task, since a line break may be part of a value.
+    No file has more than ``max_records_per_file`` rows: a csv file with texts that
+    are not promised to be single lines is read by one task.
     """
     if fmt not in OUTPUT_FORMATS:
         raise ValueError(f"format {fmt!r} is not one of {OUTPUT_FORMATS}")

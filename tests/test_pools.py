@@ -3,6 +3,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.operators import pools as module
 from tablewright.operators.pools import (
     drawn_from_group,
     fallback_groups,
@@ -123,3 +124,46 @@ def test_a_value_that_most_rows_hold_is_split(spark):
     written = spark.read.parquet(str(max(folders, key=lambda f: f.stat().st_mtime)))
     sizes = written.groupBy(F.shiftright("_place", 33).alias("part")).count().collect()
     assert len(sizes) == 8 and max(r["count"] for r in sizes) <= 2 * 100_000 / 8
+
+
+@pytest.mark.parametrize("hot", ["hot", None, "absent"])
+def test_one_group_of_most_rows_is_met_by_all_tasks(spark, monkeypatch, hot):
+    """With nothing broadcast, no task gets over twice the mean of the rows, whether the
+    hot group has values, is not there, or is null; and rows and draws are the same."""
+    values = spark.createDataFrame(
+        [("brands", g, f"{g}-{k}") for g in ("hot", "b", "c") for k in range(7)],
+        "pool string, grp string, value string",
+    )
+    pools = indexed_pools(values)
+    group = F.when(F.col("id") % 10 != 0, F.lit(hot)).otherwise(F.element_at(F.array(F.lit("b"), F.lit("c")), (F.col("id") % 2 + 1).cast("int")))
+    rows = spark.range(40_000).select("id", group.alias("g"))
+    want = drawn_from_group(rows, "id", "g", "brands", pools, "brand", seed=1, tag="t")
+    monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        groups = pools.directory.where("pool = 'brands'").select(F.col("grp").alias("g"), "first", "size")
+        met = module._met(rows, "id", groups, ["g"])
+        counts = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(counts) == 40_000 and max(counts) <= 2 * 40_000 / 8
+        got = drawn_from_group(rows, "id", "g", "brands", pools, "brand", seed=1, tag="t")
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        even = module._met(spark.range(8000).select("id", F.lit("b").alias("g")).limit(0), "id", groups, ["g"])
+        assert even.count() == 0
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+
+
+def test_groups_that_are_not_heavy_are_met_once(spark, monkeypatch):
+    monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    rows = spark.range(5000).select("id", F.expr("CAST(id % 1000 AS string)").alias("g"))
+    groups = spark.range(1000).select(F.col("id").cast("string").alias("g"), F.lit(0).alias("first"))
+    met = module._met(rows, "id", groups, ["g"])
+    assert met.columns == ["g", "id", "first"]
+    assert met.count() == 5000 and met.where("first IS NULL").count() == 0

@@ -1,13 +1,14 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.catalog import Catalog, decimal, integer, phone, pk, string, table, timestamp
+from tablewright.catalog import Catalog, decimal, email, enum, integer, phone, pk, string, table, timestamp
+from tablewright.catalogs import SHOP
 from tablewright.functions.types import cast_failures, sql_type, typed_projection
 from tablewright.operators.profile import column_profile, table_stats
 from tablewright.operators.rows import generated_dataset
 from tablewright.plans.dataset import write_dataset
 from tablewright.sources.sinks import write_table
-from tablewright.sources.tables import read_csv_text, read_dataset, read_table
+from tablewright.sources.tables import broken_lines, read_csv_text, read_dataset, read_table
 from tablewright.sources.workspace import workspace
 
 ONE = Catalog.of(
@@ -133,3 +134,74 @@ def test_csv_returns_any_text_as_it_was(spark, tmp_path):
     assert write_table(frame, path, "csv") == len(texts)
     back = read_table(spark, path, "csv", frame.schema)
     assert sorted(back.collect()) == sorted(frame.collect(), key=lambda r: r.id)
+
+
+SMALL = "spark.sql.files.maxPartitionBytes"
+
+
+@pytest.fixture
+def small_splits(spark):
+    before = spark.conf.get(SMALL)
+    spark.conf.set(SMALL, 4096)
+    yield
+    spark.conf.set(SMALL, before)
+
+
+GENERATED = Catalog.of(
+    "made", table("T", 3000, pk("id"), string("name"), phone("phone"), integer("n", 0, 9)),
+    single_line_text=True,
+)
+
+
+def test_one_file_of_generated_text_is_read_by_many_tasks(spark, tmp_path, small_splits):
+    frame = generated_dataset(spark, GENERATED)["T"].withColumn("name", F.expr("concat(name, ', \"x\" ', id)"))
+    write_table(frame.coalesce(1), str(tmp_path / "T"), "csv")
+    back = read_dataset(spark, str(tmp_path), GENERATED)["T"]
+    assert back.rdd.getNumPartitions() > 5
+    assert back.count() == 3000 and back.columns == frame.columns
+    assert sorted(back.collect()) == sorted(frame.collect())
+    whole = read_table(spark, str(tmp_path / "T"), "csv", GENERATED.tables["T"].schema)
+    assert whole.rdd.getNumPartitions() == 1 and sorted(whole.collect()) == sorted(frame.collect())
+    texts = read_csv_text(spark, str(tmp_path / "T"), single_line=True)
+    assert texts.rdd.getNumPartitions() > 5 and texts.count() == 3000
+    assert broken_lines(spark, str(tmp_path / "T")) == 0
+
+
+@pytest.mark.parametrize("column", ["a", "b"])
+@pytest.mark.parametrize("text", ["x\ny", "x\r\ny", "\n", "1\n\n\n2", 'say "x"\n"y"'])
+def test_a_broken_promise_fails(spark, tmp_path, column, text):
+    rows = [(n, "plain", "text, too") for n in range(50)]
+    frame = spark.createDataFrame(rows, "id bigint, a string, b string")
+    frame = frame.withColumn(column, F.when(F.col("id") == 30, F.lit(text)).otherwise(F.col(column)))
+    write_table(frame.coalesce(1), str(tmp_path / "t"), "csv")
+    broken = read_table(spark, str(tmp_path / "t"), "csv", frame.schema, single_line=["a", "b"])
+    for job in (broken.count, broken.collect, broken.select("id").distinct().count):
+        with pytest.raises(Exception, match="promised to be on a single line"):
+            job()
+    assert broken_lines(spark, str(tmp_path / "t")) >= 2
+    for kept in ((), ["a"], ["b"]):
+        back = read_table(spark, str(tmp_path / "t"), "csv", frame.schema, single_line=kept)
+        assert sorted(back.collect()) == sorted(frame.collect())
+
+
+def test_numbers_that_are_none_break_no_promise(spark, tmp_path):
+    frame = spark.createDataFrame([("1", "x"), ("none", "y"), ("3", None)], "n string, t string")
+    write_table(frame.coalesce(1), str(tmp_path / "t"), "csv")
+    schema = "n bigint, t string"
+    schema = spark.createDataFrame([], schema).schema
+    back = read_table(spark, str(tmp_path / "t"), "csv", schema, single_line=["t"])
+    assert sorted(back.collect(), key=repr) == sorted([(1, "x"), (None, "y"), (3, None)], key=repr)
+
+
+def test_promises_of_a_catalog():
+    catalog = Catalog.of(
+        "p", table("T", 1, pk("id"), string("free"), string("line", single_line=True), phone("phone"), enum("e", "a\nb")),
+        table("U", 1, pk("id"), enum("e", "a", "b"), email("mail")),
+    )
+    assert catalog.single_line("T") >= {"line", "phone"} and not catalog.single_line("T") & {"free", "e"}
+    assert catalog.single_line("U") >= {"e", "mail"}
+    assert SHOP.single_line("Users") >= {"name", "email", "phone_number"}
+    declared = Catalog.from_dict(
+        {"tables": {"T": {"row_count": 1, "columns": {"a": {"type": "string", "single_line": True}, "b": {"type": "string"}}}}}
+    )
+    assert declared.single_line("T") == {"a"}
