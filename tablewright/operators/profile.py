@@ -97,16 +97,16 @@ def sample_rows(table: DataFrame, *order: str, rows: int = 5) -> DataFrame:
     return table.orderBy(*order).limit(rows)
 
 
-def _ordered(kind: T.DataType) -> bool:
+def has_order(kind: T.DataType) -> bool:
     """Whether values of the type have extremes."""
     if isinstance(kind, T.ArrayType):
-        return _ordered(kind.elementType)
+        return has_order(kind.elementType)
     if isinstance(kind, T.StructType):
-        return all(_ordered(f.dataType) for f in kind)
+        return all(has_order(f.dataType) for f in kind)
     return not isinstance(kind, (T.MapType, T.VariantType, T.CalendarIntervalType))
 
 
-def _value(name: str, kind: T.DataType) -> str:
+def value_text(name: str, kind: T.DataType) -> str:
     """A column's values as text that is equal where they are: 0.0 for -0.0, and
     maps by their entries in order."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
@@ -114,10 +114,20 @@ def _value(name: str, kind: T.DataType) -> str:
     if isinstance(kind, T.MapType):
         return f"to_json(array_sort(map_entries(`{name}`)))"
     if isinstance(kind, (T.ArrayType, T.StructType)):
-        return f"to_json(struct(`{name}`))" if _ordered(kind) else f"CAST(`{name}` AS string)"
+        return f"to_json(struct(`{name}`))" if has_order(kind) else f"CAST(`{name}` AS string)"
     return f"CAST(`{name}` AS string)"
 
 
+def distinct_counts(table: DataFrame) -> DataFrame:
+    """``position, n``: distinct values of every column that has any."""
+    pairs = ", ".join(
+        f"struct({i} AS position, if(`{f.name}` IS NULL, NULL, {value_text(f.name, f.dataType)}) AS v)"
+        for i, f in enumerate(table.schema.fields)
+    )
+    values = table.selectExpr(f"inline(array({pairs}))").where("v IS NOT NULL").distinct()
+    return values.groupBy("position").agg(F.expr("count(*) AS n"))
+
+
 def column_profile(table: DataFrame, *, distinct: str = "exact") -> DataFrame:
     """Type, nullability, rows, nulls, distinct values and extremes per column.
 
@@ -135,10 +145,10 @@ def column_profile(table: DataFrame, *, distinct: str = "exact") -> DataFrame:
     for i, f in fields:
         measures.append(f"count_if(`{f.name}` IS NULL) AS nulls{i}")
         for name in ("min", "max"):
-            found = f"CAST({name}(`{f.name}`) AS string)" if _ordered(f.dataType) else "CAST(NULL AS string)"
+            found = f"CAST({name}(`{f.name}`) AS string)" if has_order(f.dataType) else "CAST(NULL AS string)"
             measures.append(f"{found} AS {name}{i}")
         if distinct == "approx":
-            measures.append(f"approx_count_distinct({_value(f.name, f.dataType)}) AS distinct{i}")
+            measures.append(f"approx_count_distinct({value_text(f.name, f.dataType)}) AS distinct{i}")
     entries = [
         f"struct({i} AS position, rows AS row_count, nulls{i} AS null_rows, min{i} AS min_value, "
         f"max{i} AS max_value, "
@@ -153,15 +163,9 @@ def column_profile(table: DataFrame, *, distinct: str = "exact") -> DataFrame:
     )
     profile = described.join(F.broadcast(measured), "position")
     if distinct == "exact":
-        pairs = ", ".join(
-            f"struct({i} AS position, if(`{f.name}` IS NULL, NULL, {_value(f.name, f.dataType)}) AS v)"
-            for i, f in fields
-        )
-        values = table.selectExpr(f"inline(array({pairs}))").where("v IS NOT NULL").distinct()
-        counted = values.groupBy("position").agg(F.expr("count(*) AS n"))
         profile = (
             profile.drop("distinct_values")
-            .join(F.broadcast(counted), "position", "left")
+            .join(F.broadcast(distinct_counts(table)), "position", "left")
             .withColumn("distinct_values", F.expr("coalesce(n, 0L)"))
             .drop("n")
         )

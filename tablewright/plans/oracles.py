@@ -292,6 +292,28 @@ def profiled() -> str:
     return f"{faulty('orders')} " + " UNION ALL ".join(rows)
 
 
+def profiled_bounded() -> str:
+    rows = []
+    for column, kind in PROFILED.items():
+        number, true = f"count(DISTINCT {column})::BIGINT", "true"
+        measures = (
+            "count(*)::BIGINT", f"(count(*) - count({column}))::BIGINT",
+            f"min({column})::VARCHAR", f"max({column})::VARCHAR",
+        )
+        merged = ("NULL", "NULL", "NULL", "NULL") if column == "o_orderpriority" else measures
+        if column == "o_orderpriority":
+            true = "NULL"
+        rows.append(
+            f"SELECT '{column}' AS column_name, '{kind}' AS data_type, {measures[0]} AS row_count, "
+            f"{measures[1]} AS null_rows, {measures[2]} AS min_value, {measures[3]} AS max_value, "
+            f"{number} >= 5000 AS estimated, CASE WHEN {number} < 5000 THEN {number} END AS distinct_values, "
+            f"true AS within, {true}::BOOLEAN AS merged_within, {merged[0]}::BIGINT AS merged_rows, "
+            f"{merged[1]}::BIGINT AS merged_nulls, {merged[2]}::VARCHAR AS merged_min, "
+            f"{merged[3]}::VARCHAR AS merged_max FROM d_orders"
+        )
+    return f"{faulty('orders')} " + " UNION ALL ".join(rows)
+
+
 def counts(tables) -> str:
     return " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, count(*)::BIGINT AS row_count FROM {t}" for t in tables
@@ -524,6 +546,7 @@ ORACLES: dict[str, str] = {
     "table_stats_total": "SELECT sum(row_count)::BIGINT AS total_rows, "
     f"sum(column_count)::BIGINT AS total_columns FROM ({stats()})",
     "column_profile": profiled(),
+    "column_profile_bounded": profiled_bounded(),
     "sample_rows": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5",
     "row_count": "SELECT count(*)::BIGINT AS row_count FROM lineitem",
     "fk_report": f"{checked()} SELECT {ISSUES}, status, valid, total, valid_pct, orphaned FROM checked",

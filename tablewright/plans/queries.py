@@ -15,7 +15,7 @@ from tablewright.functions import generators as g
 from tablewright.functions.draws import chance, draw
 from tablewright.functions.sqltext import insert_statements, sql_literal
 from tablewright.functions.types import cast_failures, typed_projection
-from tablewright.operators import cleanup, hierarchy, integrity, profile
+from tablewright.operators import cleanup, hierarchy, integrity, profile, sketches
 from tablewright.operators.ledger import fk_ledger
 from tablewright.operators.pools import (
     TEMPLATES,
@@ -439,6 +439,29 @@ def q_column_profile(spark, sf_dir):
     return profile.column_profile(dirty_tables(spark, sf_dir, "orders")["orders"])
 
 
+def q_column_profile_bounded(spark, sf_dir):
+    """Orders by status, sketched part by part, merged, and counted where few; estimates
+    are shown only as whether the true number is within their bounds."""
+    orders = dirty_tables(spark, sf_dir, "orders")["orders"]
+    limit = 5000
+    profiled = sketches.bounded_profile(orders, exact_below=limit)
+    parts = materialized(sketches.column_sketches(orders, "o_orderpriority"))
+    fields = [f for f in orders.schema if f.name != "o_orderpriority"]
+    merged = sketches.merged_profile(parts, fields).select(
+        "column_name", F.col("row_count").alias("merged_rows"), F.col("null_rows").alias("merged_nulls"),
+        F.col("min_value").alias("merged_min"), F.col("max_value").alias("merged_max"),
+        F.col("distinct_low").alias("low"), F.col("distinct_high").alias("high"),
+    )
+    true = profile.column_profile(orders).select("column_name", F.col("distinct_values").alias("true"))
+    within = [F.col("true").between(F.col(a), F.col(b)) for a, b in (("distinct_low", "distinct_high"), ("low", "high"))]
+    return profiled.join(true, "column_name").join(merged, "column_name", "left").select(
+        "column_name", "data_type", "row_count", "null_rows", "min_value", "max_value", "estimated",
+        F.when(~F.col("estimated"), F.col("distinct_values")).alias("distinct_values"),
+        within[0].alias("within"), within[1].alias("merged_within"),
+        "merged_rows", "merged_nulls", "merged_min", "merged_max",
+    )
+
+
 def q_sample_rows(spark, sf_dir):
     return profile.sample_rows(given_table(spark, sf_dir, "orders"), "o_orderkey")
 
@@ -583,6 +606,7 @@ QUERIES: dict[str, Query] = {
     "table_stats": q_table_stats,
     "table_stats_total": q_table_stats_total,
     "column_profile": q_column_profile,
+    "column_profile_bounded": q_column_profile_bounded,
     "sample_rows": q_sample_rows,
     "row_count": lambda s, d: profile.row_count(given_table(s, d, "lineitem")),
     "fk_report": _on_checked(profile.fk_report),
