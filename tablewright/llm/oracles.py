@@ -59,10 +59,19 @@ WITH docs AS (
   SELECT m, least(greatest(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1 END, 1), 1e6) AS w
   FROM moments
 ), judged AS (
-  SELECT host, (failed + m * w) / (docs + w) > {RULES.max_rate} AS host_failed FROM hosts, prior
-), verdicts AS (
-  SELECT s.*, host_failed, NOT base_failed AND NOT (host_failed AND strict_failed) AS kept
+  SELECT host, (failed + m * w) / (docs + w) AS rate FROM hosts, prior
+), weighed AS (
+  SELECT s.*, rate, rate > {RULES.max_rate} AS host_failed,
+    CASE WHEN NOT base_failed THEN greatest(
+      100 * n_symbols / ({RULES.symbol_percent} * n_words),
+      100 * n_dup_lines / ({RULES.dup_line_percent} * n_lines),
+      100 * n_repeat_words / ({RULES.strict_repeat_percent} * n_words),
+      {RULES.word_chars[0]} * n_words / word_chars, word_chars / ({RULES.word_chars[1]} * n_words)) END AS excess
   FROM strict s JOIN judged j ON s.host IS NOT DISTINCT FROM j.host
+), verdicts AS (
+  SELECT *, NOT base_failed AND NOT (
+    strict_failed AND (host_failed OR coalesce(excess * rate > {RULES.max_rate}, false))) AS kept
+  FROM weighed
 )"""
 
 QUALITY = f"""{QUALITY_TABLES}
