@@ -28,8 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tablewright.llm.columns import keyed, materialized, rejoined
 from tablewright.llm import wordarrays as wa
+from tablewright.llm.columns import keyed, materialized, rejoined
+from tablewright.operators.sizing import BROADCAST_BYTES
+
+# What a term with its count, and the id of a row, take in a hash relation at most.
+TERM_BYTES, ID_BYTES = 32, 64
+# Posts of a term from which on it goes by broadcast.
+HOT_POSTS = 1000
 
 
 @dataclass(frozen=True)
@@ -76,25 +82,33 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray], settings: NearSettings) -> np.ndarray:
-    """One row of coordinates for each set that is not empty."""
+    """One row of coordinates for each set that is not empty: the least hash, whole.
+
+    Least hashes crowd at the low end of their range, so the upper bits of
+    unrelated sets agree by chance the more often the larger the corpus is; all
+    64 bits together do not."""
     full = [s for s in sets if len(s)]
     if not full:
-        return np.zeros((0, settings.coordinates), np.int32)
+        return np.zeros((0, settings.coordinates), np.int64)
     flat = np.concatenate(full)
     sizes = np.array([len(s) for s in full])
     begins = np.cumsum(sizes) - sizes
-    out = np.empty((len(full), settings.coordinates), np.uint32)
+    out = np.empty((len(full), settings.coordinates), np.uint64)
     for k, factor in enumerate(multipliers(settings)):
-        high = (flat * factor >> np.uint64(32)).astype(np.uint32)
-        out[:, k] = np.minimum.reduceat(high, begins)
-    return out.view(np.int32)
+        out[:, k] = np.minimum.reduceat(flat * factor, begins)
+    return out.view(np.int64)
+
+
+def short(drawn: np.ndarray) -> np.ndarray:
+    """Signatures to compare row by row: the lower halves, which are spread evenly."""
+    return drawn.astype(np.uint32).view(np.int32)
 
 
 def sketches(docs: DataFrame, settings: NearSettings) -> DataFrame:
     """``doc_id, text_key, n_shingles, class, signature``; class and signature are
     null for an empty set."""
     schema = (
-        "doc_id bigint, text_key bigint, n_shingles bigint, class binary, signature array<int>"
+        "doc_id bigint, text_key bigint, n_shingles bigint, class binary, signature array<bigint>"
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +126,7 @@ def sketches(docs: DataFrame, settings: NearSettings) -> DataFrame:
                     pa.array(keys, pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(names, pa.binary()),
-                    pa.array([next(rest) if len(s) else None for s in sets], pa.list_(pa.int32())),
+                    pa.array([next(rest) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
                 ["doc_id", "text_key", "n_shingles", "class", "signature"],
             )
@@ -128,12 +142,12 @@ def prefix_posts(classes: DataFrame, settings: NearSettings) -> DataFrame:
     takes up room there.  Classes that share fewer than ``threshold`` of their
     pairs with anyone are near to none."""
     posted = classes.select("id", F.posexplode("signature").alias("k", "value")).select(
-        (F.col("k").cast("bigint") * F.lit(1 << 32) + F.col("value")).alias("term"), "id"
+        F.xxhash64("k", "value").alias("term"), "id"
     )
     shared = materialized(posted.groupBy("term").agg(F.count("*").alias("n")).where("n > 1"))
     own = W.partitionBy("id")
     ranked = (
-        posted.join(shared, "term")
+        joined_by_term(posted, shared)
         .withColumn("shared", F.count("*").over(own))
         .where(F.col("shared") >= settings.threshold)
         .withColumn("rank", F.row_number().over(own.orderBy("n", "term")))
@@ -142,6 +156,22 @@ def prefix_posts(classes: DataFrame, settings: NearSettings) -> DataFrame:
     return ranked.where(F.col("rank") <= room).select("term", "id")
 
 
+def joined_by_term(posts: DataFrame, counted: DataFrame) -> DataFrame:
+    """Posts with what is known of their term (``term, n`` and more; written).
+
+    Terms that very many hold go by broadcast, so no task gets all posts of one.
+    They are those of over ``limit`` posts, which grows with the posts: there
+    are never more than fit ``BROADCAST_BYTES``."""
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    limit = max(HOT_POSTS, total * TERM_BYTES // BROADCAST_BYTES)
+    hot = F.broadcast(counted.where(F.col("n") > limit))
+    rest = posts.join(hot.select("term"), "term", "left_anti")
+    columns = [*posts.columns, *(c for c in counted.columns if c != "term")]
+    return posts.join(hot, "term").select(columns).unionByName(
+        rest.join(counted.where(F.col("n") <= limit), "term").select(columns)
+    )
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root``: the least node that each linked node (columns ``a, b``)
     reaches.  Every step takes the least root among the neighbours and then
@@ -264,8 +294,8 @@ class Merger:
 def class_links(docs: DataFrame, classes: DataFrame, settings: NearSettings) -> DataFrame:
     """Confirmed links ``a, b`` between classes, enough to span every component."""
     posts = materialized(prefix_posts(classes, settings))
-    least = posts.groupBy("term").agg(F.min("id").alias("a"), F.count("*").alias("n"))
-    meetings = posts.join(least.where("n > 1"), "term").select("a", F.col("id").alias("b"))
+    least = posts.groupBy("term").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    meetings = joined_by_term(posts, materialized(least)).select("a", F.col("id").alias("b"))
     groups = components(meetings.where("a <> b").distinct()).select(
         F.col("node").alias("id"), "root"
     )
@@ -279,17 +309,25 @@ def class_links(docs: DataFrame, classes: DataFrame, settings: NearSettings) ->
     listed = wanted.groupBy("_id", "_key").agg(
         F.collect_list(F.struct("class", "signature", "bin", "side")).alias("own")
     )
+    # Only texts that are compared leave their place, as long as their ids are few enough.
+    listed = materialized(listed)
+    asked, same = listed.select("_id", "_key"), (
+        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
+    )
+    if asked.count() * ID_BYTES <= BROADCAST_BYTES:
+        asked = F.broadcast(asked)
     rows = (
         keyed(docs)
+        .join(asked, same, "left_semi")
         .dropDuplicates(["doc_id", "text_key"])
-        .join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+        .join(listed, same)
         .select("text", F.explode("own").alias("o"))
         .select("text", "o.*")
     )
 
     def compare(table: pa.Table) -> pa.Table:
         texts = table.column("text").cast(pa.binary()).to_pylist()
-        drawn = np.array(table.column("signature").to_pylist(), np.int32)
+        drawn = short(np.array(table.column("signature").to_pylist(), np.int64))
         sets = shingle_sets(texts, settings.words)
         merger = Merger(sets, drawn, table.column("side").to_pylist(), settings)
         names = table.column("class").to_pylist()

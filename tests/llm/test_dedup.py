@@ -1,8 +1,19 @@
 """Near duplicates, repeated strings and repeated passages against plain versions."""
 
+import random
+
+import numpy as np
 import pytest
 
-from tablewright.llm.nearduplicates import NearSettings, near_duplicates, one_of_each
+from tablewright.llm import nearduplicates
+from tablewright.llm.nearduplicates import (
+    NearSettings,
+    near_duplicates,
+    one_of_each,
+    prefix_posts,
+    shingle_sets,
+    signatures,
+)
 from tablewright.llm.passages import PassageSettings, SuffixAutomaton, passages_removed
 from tablewright.llm.substrings import LoserTree, Suffix, SubstringSettings, substrings_removed
 
@@ -47,6 +58,36 @@ def test_documents_alike_by_four_fifths_are_linked(spark):
     assert [r.component_id for r in at_85.orderBy("doc_id").collect()] == [0, 1, 2]
 
 
+def test_unrelated_documents_do_not_meet_however_many_there_are(spark):
+    """2,000 documents with hashes 14 bits narrower stand for 30 million: no least hash
+    agrees by chance, so nothing is posted.  Upper halves alone, narrowed alike,
+    would post nearly all."""
+    rnd = random.Random(8)
+    texts = [" ".join(f"{rnd.getrandbits(40):x}" for _ in range(334)).encode() for _ in range(2000)]
+    settings = NearSettings()
+    drawn = signatures(shingle_sets(texts, settings.words), settings).view(np.uint64)
+
+    def posted(values):
+        rows = [(n, row) for n, row in enumerate(values.astype(np.int64).tolist())]
+        classes = spark.createDataFrame(rows, "id bigint, signature array<bigint>")
+        return prefix_posts(classes, settings).select("id").distinct().count()
+
+    assert posted(drawn >> np.uint64(14)) == 0
+    assert posted(drawn >> np.uint64(32 + 14)) > 1500
+
+
+def test_hot_terms_meet_by_broadcast_with_the_same_links(docs, monkeypatch):
+    want = sorted(map(repr, near_duplicates(docs).collect()))
+    monkeypatch.setattr(nearduplicates, "HOT_POSTS", 2)
+    assert sorted(map(repr, near_duplicates(docs).collect())) == want
+    monkeypatch.setattr(nearduplicates, "BROADCAST_BYTES", 64)
+    assert sorted(map(repr, near_duplicates(docs).collect())) == want
+
+
+def test_pipeline_stage_on_an_empty_table(docs):
+    assert one_of_each(docs.limit(0)).count() == 0
+
+
 def plain_strings(texts, window):
     places = {}
     for i, t in enumerate(texts):
