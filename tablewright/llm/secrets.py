@@ -1,10 +1,11 @@
 """Secret scan: fixed patterns, and character Markov models of random strings
 and of ordinary identifiers compared by their log-likelihood ratio.
 
-The models are trained on the corpus itself.  Runs of identifier characters that
-a fixed pattern marks as a secret are the random sample, all other long runs
-the ordinary one; every run of every document is counted, and only the two
-tables of character transitions, whose size is fixed, come to the driver.
+The models are trained on the corpus itself.  Long runs of identifier characters
+within what a fixed pattern marks as a secret are the random sample, all other
+words and identifiers the ordinary one: keys that no pattern knows are so few
+among these that they do not look ordinary.  Every document is counted, and only
+the two tables of character transitions, whose size is fixed, come to the driver.
 """
 
 from __future__ import annotations
@@ -69,15 +70,6 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
-def labelled_runs(text: str) -> tuple[list[tuple[int, int, str]], list[re.Match]]:
-    """Base spans, and the runs that touch none of them."""
-    spans = base_spans(text)
-    runs = list(RUN.finditer(text))
-    if spans and runs:
-        runs = [r for r in runs if not any(s < r.end() and r.start() < e for s, e, _ in spans)]
-    return spans, runs
-
-
 def uncovered(text: str, spans: list[tuple[int, int, str]], least: int) -> list[tuple[int, int]]:
     """The parts of all runs that no base span covers, of ``least`` characters and more."""
     parts = []
@@ -100,29 +92,35 @@ def coded(strings: list[str]) -> np.ndarray:
     return CODES[np.frombuffer(("\n".join(strings) + "\n").encode("ascii", "replace"), np.uint8)]
 
 
-def transitions(strings: list[str]) -> np.ndarray:
-    """How often each state follows each other one."""
-    states = coded(strings)
+def transitions(states: np.ndarray) -> np.ndarray:
+    """How often each state follows each other one, the first after a boundary."""
     before = np.concatenate([[STATES - 1], states[:-1]])
     return np.bincount(before * STATES + states, minlength=STATES * STATES)
 
 
+def samples(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions of the ordinary strings of a text, all that no base span covers, and
+    of the long runs within base spans, the random ones."""
+    spans = base_spans(text)
+    states = coded([text])
+    random = [run for start, end, _ in spans for run in RUN.findall(text[start:end])]
+    for start, end, _ in spans:
+        states[start:end] = STATES - 1
+    counts = transitions(states)
+    counts[-1] = 0  # between boundaries there is nothing
+    return counts, transitions(coded(random)) if random else np.zeros_like(counts)
+
+
 def transition_counts(docs: DataFrame) -> DataFrame:
     """``random, pair, n`` over all documents, summed in each task first."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, STATES * STATES), np.int64)
         for batch in batches:
-            samples: tuple[list[str], list[str]] = ([], [])
             for scalar in batch.column("text"):
-                text = scalar.as_py()
-                spans, runs = labelled_runs(text)
-                samples[0].extend(r.group() for r in runs)
-                for start, end, _ in spans:
-                    samples[1].extend(RUN.findall(text[start:end]))
-            for label in (0, 1):
-                if samples[label]:
-                    totals[label] += transitions(samples[label])
+                ordinary, random = samples(scalar.as_py())
+                totals[0] += ordinary
+                totals[1] += random
         label, pair = np.nonzero(totals)
         yield pa.RecordBatch.from_arrays(
             [pa.array(label == 1), pa.array(pair), pa.array(totals[label, pair])],

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from tablewright.llm import quality, quotations, secrets
+from tablewright.llm.columns import given
 from tests.llm.texts import documents, plain_rows, sample_texts
 
 # Quotations
@@ -171,10 +172,12 @@ def plain_table(texts):
     counts = [Counter(), Counter()]
     for text in texts:
         spans = plain_base(text)
-        for s, e in plain_runs(text):
-            if not any(a < e and s < b for a, b, _ in spans):
-                own = [None, *text[s:e], None]
-                counts[0].update(zip(own, own[1:]))
+        free = "".join(
+            " " if any(a <= i < b for a, b, _ in spans) or c not in ALPHABET else c for i, c in enumerate(text)
+        )
+        for word in free.split(" "):
+            own = [None, *word, None]
+            counts[0].update(zip(own, own[1:]) if word else ())
         for a, b, _ in spans:
             for s, e in plain_runs(text[a:b]):
                 own = [None, *text[a:b][s:e], None]
@@ -240,6 +243,7 @@ def plain_secrets(text, table):
 def random_secret_texts(seed, n=120):
     rnd = random.Random(seed)
     names = "config path user data file name index value service request cluster".split()
+    prose = "the a of and some words that are in between with other ones here".split()
 
     def key(size):
         return "".join(rnd.choice(ALPHABET) for _ in range(size))
@@ -254,7 +258,7 @@ def random_secret_texts(seed, n=120):
                 lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(rnd.randrange(12, 60))),
                 lambda: key(rnd.randrange(18, 60)),
                 lambda: "/srv/app/" + rnd.choice(names) + "/" + key(30) + "/" + rnd.choice(names),
-                lambda: " ".join(rnd.choice(names) for _ in range(6)),
+                lambda: " ".join(rnd.choice(names + prose) for _ in range(60)),
                 lambda: "é" * rnd.randrange(3) + "secretsecret=" + "é",
             ]
         )()
@@ -282,6 +286,25 @@ def test_spans_that_start_alike_go_by_kind(spark):
     assert [k for _, _, k in secrets.base_spans(f"secret={access}")] == ["assign", "access"]
 
 
+def test_keys_are_found_and_identifiers_left_alone(spark):
+    """Keys that no pattern knows, one in ten of the long runs, in the given documents."""
+    rnd = random.Random(7)
+    names = "config service request cluster value index handler storage default resource internal".split()
+    prose = [r.text for r in given(spark, "/root/testdata/sf0.01", "documents").select("text").collect()]
+    rows, keys = [], set()
+    for n in range(300):
+        if n % 10 == 0:
+            own = "".join(rnd.choice(ALPHABET[:62]) for _ in range(rnd.randrange(24, 44)))
+            keys.add(n)
+        else:
+            own = rnd.choice("/_").join(rnd.choice(names) for _ in range(rnd.randrange(4, 7)))
+        rows.append((n, f"some words and {own} in between of them"))
+    rows += [(1000 + n, t) for n, t in enumerate(prose)]
+    found = secrets.secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    hit = {r.doc_id for r in found if any(s.kind == "markov" for s in r.spans)}
+    assert len(keys & hit) >= 28 and len(hit - keys) <= 2
+
+
 def test_masking_an_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id bigint, text string, n_chars bigint")
     assert secrets.redacted(frame).count() == 0
