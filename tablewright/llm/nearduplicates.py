@@ -296,7 +296,11 @@ def class_links(docs: DataFrame, classes: DataFrame, settings: NearSettings) ->
     posts = materialized(prefix_posts(classes, settings))
     least = posts.groupBy("term").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
     meetings = joined_by_term(posts, materialized(least)).select("a", F.col("id").alias("b"))
-    groups = components(meetings.where("a <> b").distinct()).select(
+    # A class is linked to the least of its lists' least members alone, and that one to
+    # the others: of a group of copies these are few, and the same for all.
+    hubs = meetings.withColumn("hub", F.min("a").over(W.partitionBy("b")))
+    stars = hubs.select(F.col("hub").alias("a"), F.explode(F.array("a", "b")).alias("b"))
+    groups = components(stars.where("a <> b").distinct()).select(
         F.col("node").alias("id"), "root"
     )
     groups = materialized(
