@@ -176,6 +176,8 @@ def components(links: DataFrame) -> DataFrame:
     """``node, root``: the least node that each linked node (columns ``a, b``)
     reaches.  Every step takes the least root among the neighbours and then
     that root's own root, so chains shorten by half and more."""
+    # Read twice: links that span a bin depend on the order of its rows.
+    links = materialized(links.select("a", "b"))
     edges = materialized(
         links.select(F.col("a").alias("u"), F.col("b").alias("v"))
         .unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
