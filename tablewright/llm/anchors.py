@@ -9,16 +9,18 @@ offsets.  Only anchors cross the network; texts are read again where needed.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.columns import keyed, materialized
-from tablewright.llm.wordarrays import STEP, mixed
+from tablewright.llm.columns import arrow_schema, keyed, materialized, record_batch
+from tablewright.llm.wordarrays import STEP, mixed, small_batches
 
 PLACE_BITS = 24
 #: Symbols searched at once; longer texts are cut into parts that overlap by a window.
@@ -179,10 +181,101 @@ def with_texts(texts: Texts, classes: DataFrame) -> DataFrame:
     ).agg(F.collect_list(F.struct("rep.place", "gram", "segment", "n")).alias("own"))
     return (
         texts.distinct.join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
-        .select("doc_id", "text", "own")
+        .select("doc_id", "text_key", "text", "own")
     )
 
 
+SPLIT = (
+    "gram bigint, segment bigint, n bigint, doc_id bigint, text_key bigint, place bigint, "
+    "sub_gram bigint, sub_segment bigint, shift bigint, windows bigint"
+)
+
+
+def split_runs(
+    texts: DataFrame, symbols: Callable, joined: Callable, window: int, gram: int, level: int
+) -> DataFrame:
+    """Runs of windows cut by how far before the anchor a window starts, into ``2 ** level``
+    intervals of offsets.  All windows of offsets a to b hold the same symbols from
+    a before the anchor to ``window - b`` after it: their hash is the gram of the
+    part, so equal windows stay under one gram and each is in one part.
+
+    ``shift``: where a part's first window is in its run, ``windows``: how many it
+    has.  ``symbols`` reads a text, ``joined`` writes some of its symbols."""
+    edges = [i * (window - gram + 1) >> level for i in range((1 << level) + 1)]
+
+    def named(*parts: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(b"\0".join(parts), digest_size=8).digest(), "big", signed=True)
+
+    def parts_of(data, own: dict) -> Iterator[tuple]:
+        mask = (1 << FIELD) - 1
+        first = own["place"] >> (2 * FIELD)
+        anchor, last = first + (own["place"] >> FIELD & mask), first + (own["place"] & mask)
+        for a, end in zip(edges, edges[1:]):
+            low, high = max(a, anchor - last), min(end - 1, anchor - first)
+            if low > high:
+                continue
+            shared = joined(data[anchor - a : anchor - end + 1 + window])
+            whole = joined(data[anchor - high : anchor - low + window])
+            place = (anchor - high) << (2 * FIELD) | high << FIELD | (high - low)
+            shape = b"%d %d %d" % (level, low, high)
+            yield place, named(b"%d %d" % (level, a), shared), named(shape, whole), anchor - high - first, high - low + 1
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            rows = []
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "text_key", "own")]
+            for *key, listed, text in zip(*columns, batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                data = symbols(text)
+                for own in listed:
+                    head = own["gram"], own["segment"], own["n"], *key
+                    rows += [(*head, *part) for part in parts_of(data, own)]
+            yield record_batch(rows, shape)
+
+    shape = arrow_schema(SPLIT)
+    return texts.mapInArrow(work, SPLIT)
+
+
+def fitting(
+    texts: Texts, classes: DataFrame, limit: int, symbols: Callable, joined: Callable, window: int, gram: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """Classes of which at most ``limit`` are under one gram, and what they stand for:
+    ``gram, segment`` of a class given, ``sub_gram, sub_segment`` of one that has a
+    part of its windows, ``shift`` and ``windows``; None where no class was cut.
+
+    A gram with more classes is split by `split_runs`, again and finer where a part
+    still has too many; a part of a single offset holds equal windows alone."""
+    kept, links, open_, level = [], [], None, 0
+    while True:
+        sizes = classes.groupBy("gram").agg(F.count("*").alias("m"))
+        large = materialized(sizes.where(F.col("m") > limit).select("gram"))
+        last = large.isEmpty()
+        kept.append(classes if last else classes.join(large, "gram", "left_anti"))
+        if open_ is not None:
+            named = large.withColumnRenamed("gram", "sub_gram")
+            links.append(open_ if last else open_.join(named, "sub_gram", "left_anti"))
+            open_ = open_.join(named, "sub_gram", "left_semi")
+        if last:
+            break
+        level += 1
+        rest = classes.join(large, "gram", "left_semi")
+        parts = materialized(split_runs(with_texts(texts, rest), symbols, joined, window, gram, level))
+        classes = materialized(
+            parts.groupBy(F.col("sub_gram").alias("gram"), F.col("sub_segment").alias("segment")).agg(
+                F.sum("n").alias("n"), F.min(F.struct("doc_id", "text_key", "place")).alias("rep")
+            )
+        )
+        own = parts.select("gram", "segment", "sub_gram", "sub_segment", "shift", "windows")
+        if open_ is not None:
+            further = own.select(*(F.col(c).alias(f"_{c}") for c in own.columns))
+            same = (F.col("sub_gram") == F.col("_gram")) & (F.col("sub_segment") == F.col("_segment"))
+            own = open_.join(further, same).select(
+                "gram", "segment", F.col("_sub_gram").alias("sub_gram"), F.col("_sub_segment").alias("sub_segment"),
+                (F.col("shift") + F.col("_shift")).alias("shift"), F.col("_windows").alias("windows"),
+            )
+        open_ = materialized(own)
+    return reduce(DataFrame.unionByName, kept), reduce(DataFrame.unionByName, links) if links else None
+
+
 def with_spans(texts: Texts, spans: DataFrame) -> DataFrame:
     """``doc_id, text, spans``: every document with its ``low, high`` places of windows."""
     listed = spans.groupBy(

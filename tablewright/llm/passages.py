@@ -26,9 +26,8 @@ from tablewright.llm.columns import materialized
 @dataclass(frozen=True)
 class PassageSettings:
     """``window``: words of a passage that may not repeat; ``gram``: words of an
-    anchor; ``shard``: passages that a shard is meant to hold; ``group_size``:
-    beyond so many different passages under one anchor, its windows are
-    compared one by one."""
+    anchor; ``shard``: passages that a shard is meant to hold; ``group_size``: an
+    anchor with more different passages is split by what is around it."""
 
     window: int = 13
     gram: int = 5
@@ -201,29 +200,21 @@ def streamed(shards: DataFrame, settings: PassageSettings) -> DataFrame:
     return shards.groupBy("shard").applyInArrow(stream, VERDICT)
 
 
-def one_by_one(found: DataFrame, settings: PassageSettings) -> DataFrame:
-    """The same for anchors with very many different passages: each window by its
-    own hash, the least document of each taken before the shuffle."""
-    parts = found.select("doc_id", "gram", "segment", F.split("words", " ").alias("w"))
-    windows = parts.select(
-        "doc_id",
-        "gram",
-        "segment",
-        F.posexplode(
-            F.transform(
-                F.slice("w", 1, F.size("w") - (settings.window - 1)),
-                lambda _, i: F.array_join(F.slice("w", i + 1, settings.window), " "),
-            )
-        ).alias("offset", "window"),
-    ).select(
-        "doc_id", "gram", "segment", F.col("offset").cast("bigint").alias("offset"),
-        F.sha2("window", 256).alias("window"),
+def of_parts(links: DataFrame, classes: DataFrame, parts: DataFrame, found: DataFrame) -> DataFrame:
+    """``gram, segment, offset`` of passages that were cut: of each part what was found
+    of it, or all its windows where its own first document comes before."""
+    before = classes.select("gram", "segment", F.col("rep.doc_id").alias("reference"))
+    part = ["sub_gram", "sub_segment"]
+    firsts = parts.select(
+        F.col("gram").alias("sub_gram"), F.col("segment").alias("sub_segment"), F.col("rep.doc_id").alias("first")
     )
-    windows = materialized(windows)
-    first = windows.groupBy("gram", "window").agg(F.min("doc_id").alias("first"))
-    return windows.join(first, ["gram", "window"]).where("first < doc_id").select(
-        "gram", "segment", "offset"
+    cut = links.join(before, ["gram", "segment"]).join(firsts, part)
+    earlier = cut.where("first < reference").select(
+        "gram", "segment", F.explode(F.sequence("shift", F.col("shift") + F.col("windows") - 1)).alias("offset")
     )
+    named = found.withColumnsRenamed({"gram": "sub_gram", "segment": "sub_segment"})
+    same = cut.where("first = reference").join(named, part)
+    return earlier.unionByName(same.select("gram", "segment", (F.col("offset") + F.col("shift")).alias("offset")))
 
 
 def repeated_passages(texts: an.Texts, settings: PassageSettings) -> DataFrame:
@@ -233,18 +224,16 @@ def repeated_passages(texts: an.Texts, settings: PassageSettings) -> DataFrame:
     found = an.anchors(named, word_anchors(settings))
     members = an.repeated(found)
     classes = an.segment_classes(members)
-    sizes = classes.groupBy("gram").agg(F.count("*").alias("m"))
-    groups = materialized(sizes.where(F.col("m") > settings.group_size)).select("gram")
-    usual = classes.join(groups, "gram", "left_anti")
+    usual, links = an.fitting(
+        named, classes, settings.group_size, bytes.split, b" ".join, settings.window, settings.gram
+    )
     shards = max(1, -(-usual.count() // settings.shard))
     dealt = passages(an.with_texts(named, usual), settings).withColumn(
         "shard", F.pmod(F.xxhash64("gram"), F.lit(shards))
     )
-    verdicts = streamed(dealt, settings)
-    if groups.limit(1).count():
-        large = an.with_texts(named, classes.join(groups, "gram", "left_semi"))
-        verdicts = verdicts.unionByName(one_by_one(passages(large, settings), settings))
-    own = materialized(verdicts)
+    own = materialized(streamed(dealt, settings))
+    if links is not None:
+        own = materialized(own.unionByName(of_parts(links, classes, usual, own)))
     first = an.first_of(F.col("place"))
     reps = classes.select("gram", "segment", F.col("rep.doc_id").alias("reference"))
     placed = members.join(reps, ["gram", "segment"])

@@ -29,8 +29,8 @@ from tablewright.llm.columns import materialized
 class SubstringSettings:
     """``window``: bytes of a string that may not occur twice; ``gram``: bytes of an
     anchor; ``run``: suffixes that a task sorts at once; ``range_size``:
-    suffixes that a range is meant to hold; ``group_size``: beyond so many
-    different segments under one anchor, its windows are compared one by one."""
+    suffixes that a range is meant to hold; ``group_size``: an anchor with more
+    different segments is split by what is around it."""
 
     window: int = 200
     gram: int = 40
@@ -294,7 +294,7 @@ def sorted_runs(texts: DataFrame, ranges: int, settings: SubstringSettings) -> D
     return texts.mapInArrow(work, RUN)
 
 
-def merged(runs: DataFrame, settings: SubstringSettings) -> DataFrame:
+def merged(runs: DataFrame, ranges: int, settings: SubstringSettings) -> DataFrame:
     """``gram, segment, low, high``: offsets of windows that occur again."""
 
     def combine(table: pa.Table) -> pa.Table:
@@ -307,43 +307,7 @@ def merged(runs: DataFrame, settings: SubstringSettings) -> DataFrame:
         columns = list(zip(*rows, strict=True)) or [[], [], [], []]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names)
 
-    return runs.groupBy("range").applyInArrow(combine, VERDICT)
-
-
-def one_by_one(texts: DataFrame, settings: SubstringSettings) -> DataFrame:
-    """The same for anchors with very many different segments: each window by its
-    own hash, summed before the shuffle, so no group is gathered anywhere."""
-    schema = "gram bigint, segment bigint, low bigint, one bigint, two bigint, n bigint"
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in wa.small_batches(batches, 16):
-            rows = []
-            for text, own in zip(
-                batch.column("text").cast(pa.binary()).to_pylist(), batch.column("own").to_pylist(), strict=True
-            ):
-                for row in own:
-                    x = suffix_of(text, row, settings)
-                    whole = np.frombuffer(x.before[::-1] + x.key[HEAD:], np.uint8)
-                    size = len(whole) - settings.window + 1
-                    one, two = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
-                    for j in range(settings.window):
-                        piece = whole[j : j + size]
-                        one = one * wa.STEP + wa.OF_BYTE[piece]
-                        two = two * wa.OF_PLACE[1] + wa.OF_BYTE[piece[::-1]][::-1] + np.uint64(j)
-                    for k in range(size):
-                        rows.append(
-                            (row["gram"], row["segment"], len(x.before) - k, int(one[k].view(np.int64)), int(two[k].view(np.int64)), row["n"])
-                        )
-            names = [c.split(" ")[0] for c in schema.split(", ")]
-            columns = list(zip(*rows, strict=True)) or [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
-
-    windows = materialized(texts.mapInArrow(work, schema))
-    key = ["gram", "low", "one", "two"]
-    again = windows.groupBy(*key).agg(F.sum("n").alias("n")).where("n > 1").select(*key)
-    return windows.drop("n").join(again, key).select(
-        "gram", "segment", "low", F.col("low").alias("high")
-    )
+    return runs.repartition(ranges, "range").groupBy("range").applyInArrow(combine, VERDICT)
 
 
 def repeated_windows(texts: an.Texts, settings: SubstringSettings) -> DataFrame:
@@ -351,18 +315,19 @@ def repeated_windows(texts: an.Texts, settings: SubstringSettings) -> DataFrame:
     found = an.anchors(texts, byte_anchors(settings))
     members = an.repeated(found)
     classes = an.segment_classes(members)
-    groups = materialized(
-        classes.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > settings.group_size)
-    ).select("gram")
-    usual = classes.join(groups, "gram", "left_anti")
+    usual, links = an.fitting(
+        texts, classes, settings.group_size, bytes, bytes, settings.window, settings.gram
+    )
     ranges = max(1, -(-usual.count() // settings.range_size))
     runs = sorted_runs(an.with_texts(texts, usual), ranges, settings)
-    verdicts = merged(runs, settings)
-    if groups.limit(1).count():
-        large = classes.join(groups, "gram", "left_semi")
-        verdicts = verdicts.unionByName(one_by_one(an.with_texts(texts, large), settings))
+    verdicts = materialized(merged(runs, ranges, settings))
+    if links is not None:
+        found = verdicts.withColumnsRenamed({"gram": "sub_gram", "segment": "sub_segment"})
+        verdicts = verdicts.unionByName(
+            links.join(found, ["sub_gram", "sub_segment"]).select("gram", "segment", "low", "high")
+        )
     anchor = an.first_of(F.col("place")) + an.anchor_of(F.col("place"))
-    return members.join(materialized(verdicts), ["gram", "segment"]).select(
+    return members.join(verdicts, ["gram", "segment"]).select(
         "doc_id",
         "text_key",
         (anchor - F.col("high")).alias("low"),

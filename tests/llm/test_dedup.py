@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tablewright.llm import nearduplicates
+from tablewright.llm import anchors, nearduplicates
 from tablewright.llm.nearduplicates import (
     NearSettings,
     near_duplicates,
@@ -17,7 +17,7 @@ from tablewright.llm.nearduplicates import (
 from tablewright.llm.passages import PassageSettings, SuffixAutomaton, passages_removed
 from tablewright.llm.substrings import LoserTree, Suffix, SubstringSettings, substrings_removed
 
-from .texts import WORD, documents, plain_components, plain_rows, sample_texts
+from .texts import WORD, documents, plain_components, plain_rows, sample_texts, words
 
 TEXTS = sample_texts()
 
@@ -107,6 +107,7 @@ def plain_strings(texts, window):
         SubstringSettings(),
         SubstringSettings(run=7, range_size=40),
         SubstringSettings(group_size=1),
+        SubstringSettings(group_size=3, run=50, range_size=100),
     ],
 )
 def test_repeated_strings_are_removed(docs, settings):
@@ -143,7 +144,12 @@ def plain_passages(rows, window):
 
 
 @pytest.mark.parametrize(
-    "settings", [PassageSettings(), PassageSettings(shard=3), PassageSettings(group_size=1)]
+    "settings", [
+        PassageSettings(),
+        PassageSettings(shard=3),
+        PassageSettings(group_size=1),
+        PassageSettings(group_size=2, shard=5),
+    ],
 )
 def test_repeated_passages_are_removed(docs, settings):
     want = plain_passages(plain_rows(docs), settings.window)
@@ -155,6 +161,39 @@ def test_repeated_passages_are_removed(docs, settings):
     assert any(n for _, _, n, _ in want)
 
 
+def test_a_hot_anchor_is_split_into_parts_that_fit(spark):
+    """One run of words, and of bytes, between words of all kinds, in 300 documents:
+    every group that is merged or streamed fits, and the results are the plain ones."""
+    rnd = random.Random(4)
+    hot = " ".join(f"hot{k}" for k in range(7))
+    sides = [[words(rnd, 9, [f"x{k}" for k in range(30)]) for _ in range(4)] for _ in range(2)]
+    texts = []
+    for _ in range(300):
+        left, right = (words(rnd, rnd.randrange(5), list("pqrs")) for _ in range(2))
+        texts.append(" ".join([left, rnd.choice(sides[0]), hot, rnd.choice(sides[1]), right]))
+    docs = documents(spark, [*texts, *texts[:9]])
+    seen = []
+    real = anchors.fitting
+
+    def fitting(*args):
+        out = real(*args)
+        seen.append((out[0].groupBy("gram").count().agg({"count": "max"}).first()[0], out[1].count()))
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(anchors, "fitting", fitting)
+        rows = plain_rows(docs)
+        got = passages_removed(docs, PassageSettings(group_size=20)).collect()
+        want = plain_passages(rows, 13)
+        assert sorted(repr((r.doc_id, r.kept)) for r in got) == sorted(repr((d, k)) for d, _, _, k in want)
+        settings = SubstringSettings(window=40, gram=10, group_size=20)
+        got = substrings_removed(docs, settings).collect()
+        data = [(t or "").encode() for _, t in rows]
+        kept = [bytes(b for b, x in zip(t, c) if not x) for t, c in zip(data, plain_strings(data, 40))]
+        assert sorted(repr(bytes(r.kept)) for r in got) == sorted(map(repr, kept))
+    assert len(seen) == 2 and all(most <= 20 and links > 0 for most, links in seen)
+
+
 @pytest.mark.parametrize("operator", [near_duplicates, substrings_removed, passages_removed])
 def test_empty_table(docs, operator):
     assert operator(docs.where("false")).count() == 0
