@@ -28,11 +28,12 @@ from tablewright.llm.columns import (
 RESULT = (
     "doc_id bigint, text_key bigint, item_id bigint, piece bigint, start bigint, end bigint, edits bigint"
 )
-CHUNK_CHARS = 4 << 20
+# Texts searched together: a task holds some sixty bytes for each of their characters.
+CHUNK_CHARS = 1 << 19
 # Characters of benchmark text that are sent to every task at once; each is in ten pieces.
 SHARD_CHARS = 4 << 20 >> 2
 # Shared q-grams that are looked at together.
-MATCHES = 4 << 20
+MATCHES = 1 << 18
 # Candidates that are aligned together.
 CANDIDATES = 1 << 15
 SHIFT = 9

@@ -238,6 +238,22 @@ def test_large_benchmark_needs_no_table_of_blocks_and_pieces():
     assert {(t, item) for t, item, *_ in found} == {(2, 5)}
 
 
+def test_a_task_holds_little_beside_the_texts_searched_together():
+    rnd = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    items = [(i, "".join(rnd.choices(letters, k=300))) for i in range(20)]
+    index = dc.Index(dc.pieces_of(items, dc.LeakSettings()), dc.LeakSettings())
+    parts = [t for _, t in items] + ["".join(rnd.choices(letters, k=700)) for _ in items]
+    texts = rnd.choices(parts, k=dc.CHUNK_CHARS // 500)
+    tracemalloc.start()
+    found = list(dc.leaks_in(texts, index))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Six tasks share an executor of 3 GB with their JVM.
+    assert peak < 150e6
+    assert {t for t, *_ in found} == {n for n, t in enumerate(texts) if t in parts[:20]}
+
+
 @pytest.mark.parametrize("q", [1, 2, 3, 5, 8])
 def test_gram_hashes_depend_on_the_grams_alone(q):
     chars = dc.codes("abcabcabdabc")
