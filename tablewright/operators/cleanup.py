@@ -18,6 +18,7 @@ from tablewright.operators.integrity import (
     Tables,
     fk_validate_all,
     joined_by_key,
+    joined_to_orphans,
     key_comparison,
     orphan_keys,
 )
@@ -48,20 +49,25 @@ def fk_clean_table(
     broadcast_limit: int = BROADCAST_BYTES,
     sizes: dict[tuple[str, str], int] | None = None,
     account: Account | None = None,
+    orphans: Account | None = None,
 ) -> DataFrame:
     """Rows whose every key has its parent; references to missing tables are skipped.
 
     References to parents whose keys measurably fit every executor, all of them
     together, become map-side semi joins in one pass, smallest parents first.
     For all others together, one pass over key columns finds the orphaned keys;
-    dropping those is map-side again when they are few, so whole rows are
-    shuffled only when orphaned keys are many.  ``sizes`` keeps measured key
-    sizes by (parent, column) between calls; ``account`` is the share of a
-    budget that other jobs draw on as well, in place of ``broadcast_limit``.
+    dropping those is map-side again as far as ``BROADCAST_BYTES`` hold them, whole
+    numbers as bits, so whole rows are shuffled only where they do not.  ``sizes``
+    keeps measured key sizes by (parent, column) between calls; ``account`` and, for
+    orphaned keys, ``orphans`` are shares of budgets that other jobs draw on as
+    well, the first in place of ``broadcast_limit``.
     """
     if account is None:
         with BroadcastBudget(broadcast_limit).account() as own:
-            return fk_clean_table(child, edges, parents, sizes=sizes, account=own)
+            return fk_clean_table(child, edges, parents, sizes=sizes, account=own, orphans=orphans)
+    if orphans is None:
+        with BroadcastBudget().account() as own:
+            return fk_clean_table(child, edges, parents, sizes=sizes, account=account, orphans=own)
     sizes = {} if sizes is None else sizes
     given = child
     large = []
@@ -82,7 +88,7 @@ def fk_clean_table(
         names = {edge.child: given for edge in large}
         for edge, bad in orphan_keys(large, {**parents, **names}).items():
             form = key_comparison(edge, {**parents, **names})
-            kept = joined_by_key(child, form.child, bad, "left_anti")
+            kept = joined_to_orphans(child, form, bad, "left_anti", orphans)
             child = kept if edge.nullable else kept.where(F.col(edge.column).isNotNull())
     return child
 
@@ -153,6 +159,7 @@ def _cascaded(
     cleaned = dict(tables)
     rewritten: list[str] = []
     sizes: dict[tuple[str, str], int] = {}
+    orphan_budget = BroadcastBudget()
 
     def concerned(name: str, parents: Tables) -> list[ForeignKey]:
         """References of a table that are to be applied now."""
@@ -160,8 +167,10 @@ def _cascaded(
             return []
         return [e for e in references[name] if (name, e.column) in dirty or e.parent in rewritten]
 
-    def applied(name: str, edges: list[ForeignKey], parents: Tables, account: Account) -> DataFrame:
-        return fk_clean_table(parents[name], edges, parents, sizes=sizes, account=account)
+    def applied(
+        name: str, edges: list[ForeignKey], parents: Tables, account: Account, orphans: Account
+    ) -> DataFrame:
+        return fk_clean_table(parents[name], edges, parents, sizes=sizes, account=account, orphans=orphans)
 
     def stored(name: str, kept: DataFrame) -> DataFrame:
         write_table(kept, f"{folder}/{name}", fmt)
@@ -169,18 +178,18 @@ def _cascaded(
             spark, f"{folder}/{name}", fmt, tables[name].schema, single_line=catalog.single_line(name)
         )
 
-    def clean_one(name: str, parents: Tables, account: Account) -> dict[str, DataFrame]:
+    def clean_one(name: str, parents: Tables, *accounts: Account) -> dict[str, DataFrame]:
         edges = concerned(name, parents)
-        return {name: stored(name, applied(name, edges, parents, account))} if edges else {}
+        return {name: stored(name, applied(name, edges, parents, *accounts))} if edges else {}
 
-    def clean_together(names: list[str], parents: Tables, account: Account) -> dict[str, DataFrame]:
+    def clean_together(names: list[str], parents: Tables, *accounts: Account) -> dict[str, DataFrame]:
         now = {name: parents[name] for name in names if parents.get(name) is not None}
         if not any(concerned(name, parents) for name in now):
             return {}
         inner = [e for name in now for e in references[name] if e.parent in now]
         for name in now:
             outer = [e for e in concerned(name, parents) if e.parent not in names]
-            now[name] = applied(name, outer, parents, account)
+            now[name] = applied(name, outer, parents, *accounts)
         lost = lost_keys(inner, now) if inner else None
         done = {}
         for name, kept in now.items():
@@ -195,10 +204,10 @@ def _cascaded(
 
     def clean(names: list[str], parents: Tables) -> dict[str, DataFrame]:
         own = {e.parent for n in names for e in references[n]} & set(names)
-        with budget.account() as account:
+        with budget.account() as account, orphan_budget.account() as orphans:
             if own:
-                return clean_together(names, parents, account)
-            return clean_one(names[0], parents, account)
+                return clean_together(names, parents, account, orphans)
+            return clean_one(names[0], parents, account, orphans)
 
     # Tables of one load level wait for no other of it: they run at once, and
     # all see the tables as the levels before left them.

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tablewright.catalog import ForeignKey
 from tablewright.functions.comparison import Comparison, comparison
 from tablewright.functions.literals import literal_frame
-from tablewright.operators.sizing import BROADCAST_BYTES, key_bytes
+from tablewright.operators.sizing import BROADCAST_BYTES, Account, BroadcastBudget, key_bytes
 from tablewright.sources.workspace import materialized
 
 Tables = Mapping[str, DataFrame | None]
@@ -31,6 +31,10 @@ EDGE_SCHEMA = (
 )
 # The column of keys in comparable form; no table has one of this name.
 KEY = "_tablewright_key"
+# The columns of whole keys as bits: ``WORDS`` words of 64 bits, and the number of the row.
+ROW, BITS, WORDS = "_tablewright_row", "_tablewright_bits", 8
+ROW_BYTES = 160
+WHOLE_KINDS = ("tinyint", "smallint", "int", "bigint")
 EDGE_COLUMNS = ("child_table", "fk_column", "parent_table", "parent_column")
 
 
@@ -299,7 +303,7 @@ def fk_orphan_rows(
 
     With a small parent one map-side anti join does.  With a large one, whole
     child rows are not shuffled to meet it: the orphaned keys are found first,
-    and the child is joined to those, map-side when they are few.
+    and the child is joined to those, map-side where they fit (`joined_to_orphans`).
     """
     child, parent = tables.get(edge.child), tables.get(edge.parent)
     if child is None or parent is None:
@@ -310,7 +314,8 @@ def fk_orphan_rows(
         found = joined_by_key(child, form.child, F.broadcast(keys), "left_anti")
         return found.where(F.col(edge.column).isNotNull()) if edge.nullable else found
     keys = orphan_keys([edge], tables)[edge]
-    unmatched = joined_by_key(child, form.child, keys, "left_semi")
+    with BroadcastBudget().account() as account:
+        unmatched = joined_to_orphans(child, form, keys, "left_semi", account)
     if edge.nullable:
         return unmatched
     return child.where(F.col(edge.column).isNull()).unionByName(unmatched)
@@ -321,6 +326,41 @@ def joined_by_key(child: DataFrame, form: str, keys: DataFrame, how: str) -> Dat
     return child.join(keys.select(KEY), F.expr(form) == F.col(KEY), how).select(*child.columns)
 
 
+def joined_to_orphans(
+    child: DataFrame, form: Comparison, orphans: DataFrame, how: str, account: Account
+) -> DataFrame:
+    """Child rows semi or anti joined to orphaned keys, however many, without a
+    shuffle of the rows: whole numbers become bits, 512 keys that follow each
+    other in one row, and are sent to every executor if the account grants their
+    measured size.  Keys of other types, or too many, are joined as keys, and all
+    are in a session that broadcasts nothing."""
+    nothing = child.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-")
+    if form.kind in WHOLE_KINDS and not nothing:
+        bits = materialized(key_bits(orphans))
+        if account.grants(bits.count() * ROW_BYTES):
+            key = f"CAST({form.child} AS bigint)"
+            words = " ".join(f"WHEN {i} THEN {BITS}{i}" for i in range(WORDS))
+            held = F.expr(
+                f"shiftright({key}, 9) = {ROW} AND "
+                f"bit_get(CASE shiftright({key}, 6) & {WORDS - 1} {words} END, CAST({key} & 63 AS int)) = 1"
+            )
+            return child.join(F.broadcast(bits), held, how).select(*child.columns)
+    return joined_by_key(child, form.child, orphans, how)
+
+
+def key_bits(keys: DataFrame) -> DataFrame:
+    """Whole keys as bits; they move as keys, so that a row is put together once."""
+    words = [
+        F.expr(
+            f"bit_or(shiftleft(1L, CAST({KEY} & 63 AS int))) "
+            f"FILTER (WHERE shiftright({KEY}, 6) & {WORDS - 1} = {i}) AS {BITS}{i}"
+        )
+        for i in range(WORDS)
+    ]
+    whole = keys.selectExpr(f"CAST({KEY} AS bigint) AS {KEY}")
+    return whole.withColumn(ROW, F.shiftright(KEY, 9)).repartition(ROW).groupBy(ROW).agg(*words)
+
+
 def fk_orphan_count(edge: ForeignKey, tables: Tables) -> DataFrame:
     """How many child rows violate the reference, null keys included."""
     return fk_valid_count(edge, tables).select(F.col("orphaned").alias("orphaned_records"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from tablewright import Catalog
 from tablewright.catalog import ForeignKey, integer, nullable_ref, pk, ref, table
 from tablewright.operators.cleanup import fk_clean_cascade, fk_clean_table, fk_filter
-from tablewright.operators.integrity import fk_validate_all
+from tablewright.operators.integrity import fk_orphan_rows, fk_validate_all
+from tablewright.operators.sizing import BroadcastBudget
 
 CHAIN = Catalog.of(
     "chain",
@@ -163,3 +164,34 @@ def test_self_reference_is_cleaned_to_the_end(spark, tmp_path):
     tables = {"T": spark.createDataFrame(tree, "id bigint, up bigint")}
     cleaned = fk_clean_cascade(catalog, tables, folder=str(tmp_path / "out"))
     assert rows(cleaned.tables["T"].select("id")) == [(i,) for i in (0, 1, 5, 6, 7, 8, 9)]
+
+
+EDGE = ForeignKey("child", "p", "parent", "id")
+AROUND = [-(2**63), -513, -512, -65, -64, -63, -1, 0, 1, 63, 64, 511, 512, 513, 2**40, 2**63 - 1]
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int"])
+def test_many_orphans_are_dropped_without_a_shuffle_of_rows(spark, kind):
+    keys = [k for k in AROUND if kind == "bigint" or -(2**31) <= k < 2**31]
+    child = spark.createDataFrame([(k, i) for i, k in enumerate([*keys, *keys, None])], f"p {kind}, v int")
+    parent = spark.createDataFrame([(k,) for k in keys[::2]], "id bigint")
+    # Keys as they are would be too many for Spark to broadcast by itself.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1b")
+    try:
+        kept = fk_clean_table(child, [EDGE], {"parent": parent}, broadcast_limit=0)
+        lost = fk_orphan_rows(EDGE, {"child": child, "parent": parent}, broadcast_limit=0)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.p for r in kept.collect()) == sorted([*keys[::2]] * 2)
+        assert sorted(r.p for r in lost.where("p IS NOT NULL").collect()) == sorted([*keys[1::2]] * 2)
+        assert lost.where("p IS NULL").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_orphans_beyond_the_budget_are_dropped_as_keys(spark):
+    child = spark.createDataFrame([(k, 0) for k in AROUND], "p bigint, v int")
+    parent = spark.createDataFrame([(k,) for k in AROUND[::2]], "id bigint")
+    with BroadcastBudget(0).account() as none:
+        kept = fk_clean_table(child, [EDGE], {"parent": parent}, broadcast_limit=0, orphans=none)
+        assert sorted(r.p for r in kept.collect()) == sorted(AROUND[::2])
