@@ -195,3 +195,16 @@ def test_orphans_beyond_the_budget_are_dropped_as_keys(spark):
     with BroadcastBudget(0).account() as none:
         kept = fk_clean_table(child, [EDGE], {"parent": parent}, broadcast_limit=0, orphans=none)
         assert sorted(r.p for r in kept.collect()) == sorted(AROUND[::2])
+
+
+def test_a_cascade_shuffles_no_rows_for_many_orphans(spark, monkeypatch):
+    """Every large reference of a cascade draws on the budget of its orphaned keys."""
+    asked = []
+    monkeypatch.setattr(
+        "tablewright.operators.sizing.Account.grants", lambda self, size: asked.append(size) or size > 32 * 3
+    )
+    tables = chain(spark, [1, 2], [(1, 10), (9, 11)], [(10, 1, 100), (11, 1, 101), (10, 9, 102)])
+    cleaned = fk_clean_cascade(CHAIN, tables, broadcast_limit=0)
+    assert rows(cleaned.tables["mid"]) == [(1, 10)]
+    assert rows(cleaned.tables["leaf"]) == [(10, 1, 100)]
+    assert sum(size % 160 == 0 and size > 0 for size in asked) == 3
