@@ -68,12 +68,18 @@ def _heading(place: str, number: int, table: str, rows: int) -> list[str]:
     ]
 
 
-def write_table_scripts(scripts: dict[str, DataFrame], root: str, at_once: int = 4) -> list[str]:
-    """One folder of text part files per table: ``NN_<Table>.sql``."""
+def write_table_scripts(
+    scripts: dict[str, DataFrame], root: str, at_once: int = 4, *, compression: str = "none"
+) -> list[str]:
+    """One folder of text part files per table: ``NN_<Table>.sql``.
+
+    Statements repeat their table's columns in every line; ``compression``, as Spark's
+    text files know it, makes them a fraction of their size (`_write_text`).
+    """
     width = _digits(len(scripts))
     numbered = enumerate(scripts.items(), start=1)
     paths = {f"{root}/{number:0{width}d}_{name}.sql": lines for number, (name, lines) in numbered}
-    _write_text(paths, at_once)
+    _write_text(paths, at_once, compression)
     return list(paths)
 
 
@@ -91,7 +97,7 @@ def closing_lines(
 
 
 def write_combined_script(
-    scripts: dict[str, DataFrame], closing: DataFrame, path: str, at_once: int = 4
+    scripts: dict[str, DataFrame], closing: DataFrame, path: str, at_once: int = 4, *, compression: str = "none"
 ) -> None:
     """All tables' scripts and the closing lines under ``load_order=NN`` folders.
 
@@ -103,9 +109,21 @@ def write_combined_script(
     width = _digits(len(parts))
     nothing = closing.where("false").withColumn("load_order", F.lit(""))
     nothing.write.mode("overwrite").partitionBy("load_order").text(path)
-    _write_text({f"{path}/load_order={n:0{width}d}": part for n, part in enumerate(parts, 1)}, at_once)
+    _write_text({f"{path}/load_order={n:0{width}d}": part for n, part in enumerate(parts, 1)}, at_once, compression)
+
+
+# Lines of a compressed file, which one task reads.
+FILE_LINES = 1_000_000
+
+
+def _write_text(frames: dict[str, DataFrame], at_once: int, compression: str) -> None:
+    """Compressed files are ended after ``FILE_LINES``; by name they stay in order."""
 
+    def write(path: str, lines: DataFrame) -> None:
+        writer = lines.write.mode("overwrite")
+        if compression != "none":
+            writer = writer.option("maxRecordsPerFile", FILE_LINES)
+        writer.text(path, compression=compression)
 
-def _write_text(frames: dict[str, DataFrame], at_once: int) -> None:
     with ThreadPoolExecutor(at_once) as jobs:
-        list(jobs.map(lambda f: f[1].write.mode("overwrite").text(f[0]), frames.items()))
+        list(jobs.map(write, *zip(*frames.items(), strict=True)))

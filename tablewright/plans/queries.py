@@ -153,14 +153,14 @@ def _scripts(spark, sf_dir):
 
 def q_sink_sql_text(spark, sf_dir):
     _, scripts = _scripts(spark, sf_dir)
-    paths = write_table_scripts(scripts, workspace(spark))
+    paths = write_table_scripts(scripts, workspace(spark), compression="gzip")
     return spark.read.text(paths, lineSep="\n").select(F.col("value").alias("line"))
 
 
 def q_sink_sql_all(spark, sf_dir):
     counts, scripts = _scripts(spark, sf_dir)
     path = workspace(spark)
-    write_combined_script(scripts, closing_lines(spark, counts), path)
+    write_combined_script(scripts, closing_lines(spark, counts), path, compression="gzip")
     lines = spark.read.text(path, lineSep="\n")
     return lines.select(F.col("load_order").cast("int"), F.col("value").alias("line"))
 

@@ -1,10 +1,13 @@
+import gzip
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 
 from tablewright import export_sql
-from tablewright.catalog import Catalog, decimal, pk, ref, string, table
+from tablewright.catalog import Catalog, decimal, integer, pk, ref, string, table
 from tablewright.functions.sqltext import insert_statements, qualified, quoted, sql_literal
+from tablewright.operators import scripts
 
 KINDS = {"id": "pk", "p": "fk", "name": "string", "ok": "boolean", "price": "decimal"}
 
@@ -89,3 +92,30 @@ def test_export_orders_parents_first_and_counts(spark, tmp_path):
     assert len(inserts) == 1202
     assert "[Parent]" in inserts[1199] and "[Child]" in inserts[1200]
     assert whole[-3:] == ["-- Total rows inserted: 1,202", "-- Total tables: 2", "-- Schema: SalesLT"]
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_written_scripts_are_in_order_and_small_if_compressed(spark, tmp_path, monkeypatch, compression):
+    monkeypatch.setattr(scripts, "FILE_LINES", 300)
+    catalog = Catalog.of("one", table("item", 0, pk("item_id"), integer("size")))
+    tables = {"item": spark.range(0, 1000, 1, 2).selectExpr("id AS item_id", "CAST(id % 7 AS int) AS size")}
+    counts = scripts.row_counts(spark, tables)
+    lines = scripts.script_lines(catalog, tables, counts)
+    plain = [r.line for r in lines["item"].collect()]
+    closing = scripts.closing_lines(spark, counts)
+    (path,) = scripts.write_table_scripts(lines, str(tmp_path / "text"), compression=compression)
+    scripts.write_combined_script(lines, closing, str(tmp_path / "all"), compression=compression)
+    opened = {"none": open, "gzip": gzip.open}[compression]
+
+    def read(folder, files):
+        parts = sorted(p for p in folder.rglob("part-*") if p.is_file())
+        assert len(parts) >= files
+        texts = [opened(p, "rt").read() for p in parts]
+        return "".join(texts).splitlines(), sum(p.stat().st_size for p in parts)
+
+    files = {"none": 3, "gzip": 5}[compression]
+    got, size = read(Path(path), files)
+    assert got == plain
+    assert (size < sum(map(len, plain)) / 5) == (compression == "gzip")
+    got, _ = read(tmp_path / "all", files + 1)
+    assert got == plain + [r.line for r in closing.collect()]
