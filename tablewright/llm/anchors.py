@@ -20,7 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.columns import arrow_schema, keyed, materialized, record_batch
+from tablewright.functions.comparison import Comparison
 from tablewright.llm.wordarrays import STEP, mixed, small_batches
+from tablewright.operators.integrity import KEY, joined_to_orphans
+from tablewright.operators.sizing import BroadcastBudget
+from tablewright.sources.workspace import reserved, scratch
 
 PLACE_BITS = 24
 #: Symbols searched at once; longer texts are cut into parts that overlap by a window.
@@ -158,10 +162,12 @@ def repeated(found: DataFrame) -> DataFrame:
     Grams are counted first, in each task before the shuffle; only then do
     anchors with their places cross the network, and what stays is written.
     """
-    grams = materialized(
-        found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    )
-    return materialized(found.join(grams, "gram"))
+    members = reserved(found.sparkSession)
+    with scratch(found.sparkSession):
+        grams = materialized(
+            found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+        )
+        return materialized(found.join(grams, "gram"), members)
 
 
 def segment_classes(members: DataFrame) -> DataFrame:
@@ -174,13 +180,21 @@ def segment_classes(members: DataFrame) -> DataFrame:
     )
 
 
+def by_ids(texts: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Texts with an id among ``_id`` (semi) or not (anti), null being taken as 0:
+    sent as bits, the ids keep texts that need not meet anything where they are."""
+    keys = ids.select(F.expr("coalesce(_id, 0L)").alias(KEY)).distinct()
+    with BroadcastBudget().account() as account:
+        return joined_to_orphans(texts, Comparison("coalesce(doc_id, 0L)", KEY, "bigint"), keys, how, account)
+
+
 def with_texts(texts: Texts, classes: DataFrame) -> DataFrame:
     """``text`` and ``own``, the classes (place, gram, segment, n) that it stands for."""
     listed = classes.groupBy(
         F.col("rep.doc_id").alias("_id"), F.col("rep.text_key").alias("_key")
     ).agg(F.collect_list(F.struct("rep.place", "gram", "segment", "n")).alias("own"))
     return (
-        texts.distinct.join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+        by_ids(texts.distinct, listed, "left_semi").join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
         .select("doc_id", "text_key", "text", "own")
     )
 
@@ -244,6 +258,7 @@ def fitting(
 
     A gram with more classes is split by `split_runs`, again and finer where a part
     still has too many; a part of a single offset holds equal windows alone."""
+    spark = classes.sparkSession
     kept, links, open_, level = [], [], None, 0
     while True:
         sizes = classes.groupBy("gram").agg(F.count("*").alias("m"))
@@ -258,21 +273,24 @@ def fitting(
             break
         level += 1
         rest = classes.join(large, "gram", "left_semi")
-        parts = materialized(split_runs(with_texts(texts, rest), symbols, joined, window, gram, level))
-        classes = materialized(
-            parts.groupBy(F.col("sub_gram").alias("gram"), F.col("sub_segment").alias("segment")).agg(
-                F.sum("n").alias("n"), F.min(F.struct("doc_id", "text_key", "place")).alias("rep")
-            )
-        )
-        own = parts.select("gram", "segment", "sub_gram", "sub_segment", "shift", "windows")
-        if open_ is not None:
-            further = own.select(*(F.col(c).alias(f"_{c}") for c in own.columns))
-            same = (F.col("sub_gram") == F.col("_gram")) & (F.col("sub_segment") == F.col("_segment"))
-            own = open_.join(further, same).select(
-                "gram", "segment", F.col("_sub_gram").alias("sub_gram"), F.col("_sub_segment").alias("sub_segment"),
-                (F.col("shift") + F.col("_shift")).alias("shift"), F.col("_windows").alias("windows"),
+        finer, linked = reserved(spark), reserved(spark)
+        with scratch(spark):
+            parts = materialized(split_runs(with_texts(texts, rest), symbols, joined, window, gram, level))
+            classes = materialized(
+                parts.groupBy(F.col("sub_gram").alias("gram"), F.col("sub_segment").alias("segment")).agg(
+                    F.sum("n").alias("n"), F.min(F.struct("doc_id", "text_key", "place")).alias("rep")
+                ),
+                finer,
             )
-        open_ = materialized(own)
+            own = parts.select("gram", "segment", "sub_gram", "sub_segment", "shift", "windows")
+            if open_ is not None:
+                further = own.select(*(F.col(c).alias(f"_{c}") for c in own.columns))
+                same = (F.col("sub_gram") == F.col("_gram")) & (F.col("sub_segment") == F.col("_segment"))
+                own = open_.join(further, same).select(
+                    "gram", "segment", F.col("_sub_gram").alias("sub_gram"), F.col("_sub_segment").alias("sub_segment"),
+                    (F.col("shift") + F.col("_shift")).alias("shift"), F.col("_windows").alias("windows"),
+                )
+            open_ = materialized(own, linked)
     return reduce(DataFrame.unionByName, kept), reduce(DataFrame.unionByName, links) if links else None
 
 
@@ -281,13 +299,14 @@ def with_spans(texts: Texts, spans: DataFrame) -> DataFrame:
     listed = spans.groupBy(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")
     ).agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    return (
-        texts.rows.join(
-            listed,
-            F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")),
-            "left",
-        )
-        .select("doc_id", "text", "spans")
+    found = by_ids(texts.rows, listed, "left_semi").join(
+        listed,
+        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")),
+        "left",
+    )
+    others = by_ids(texts.rows, listed, "left_anti")
+    return found.select("doc_id", "text", "spans").unionByName(
+        others.select("doc_id", "text"), allowMissingColumns=True
     )
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tablewright.llm import anchors as an
 from tablewright.llm import wordarrays as wa
 from tablewright.llm.columns import materialized
+from tablewright.sources.workspace import scratch, workspace
 
 
 @dataclass(frozen=True)
@@ -262,7 +263,9 @@ def passages_removed(docs: DataFrame, settings: PassageSettings | None = None) -
     """
     settings = settings or PassageSettings()
     texts = an.Texts.of(docs)
-    spans = materialized(repeated_passages(texts, settings))
+    spark = docs.sparkSession
+    with scratch(spark):
+        spans = materialized(repeated_passages(texts, settings), workspace(spark))
     schema = (
         "doc_id bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, kept string"
     )

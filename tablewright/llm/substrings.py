@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tablewright.llm import anchors as an
 from tablewright.llm import wordarrays as wa
 from tablewright.llm.columns import materialized
+from tablewright.sources.workspace import scratch, workspace
 
 
 @dataclass(frozen=True)
@@ -346,7 +347,9 @@ def substrings_removed(docs: DataFrame, settings: SubstringSettings | None = Non
     """
     settings = settings or SubstringSettings()
     texts = an.Texts.of(docs)
-    spans = materialized(repeated_windows(texts, settings))
+    spark = docs.sparkSession
+    with scratch(spark):
+        spans = materialized(repeated_windows(texts, settings), workspace(spark))
     schema = (
         "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
     )

@@ -69,6 +69,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, folder)
 
 
+def reserved(spark: SparkSession) -> str:
+    """A fresh folder name that the `scratch` around deletes at its end: for what
+    is written in one within it and read after that."""
+    path = workspace(spark)
+    if _FOLDERS.get() is not None:
+        _FOLDERS.get().append(path)
+    return path
+
+
 def delete(spark: SparkSession, folder: str) -> None:
     """Removes a folder from whatever file system it is on, if it is there."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -78,9 +87,7 @@ def delete(spark: SparkSession, folder: str) -> None:
 def materialized(frame: DataFrame, folder: str | None = None) -> DataFrame:
     """Write the frame once as parquet and continue from the written table."""
     spark = frame.sparkSession
-    path = folder or workspace(spark)
-    if folder is None and _FOLDERS.get() is not None:
-        _FOLDERS.get().append(path)
+    path = folder or reserved(spark)
     with shuffle_files_dropped(spark):
         frame.write.mode("overwrite").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

@@ -228,3 +228,24 @@ def test_automaton_statistics():
     assert list(automaton.statistics([b"b", b"a", b"b", b"c", b"x", b"b", b"b", b"c", b"y"])) == [
         1, 2, 3, 3, 1, 2, 1, 2, 0,
     ]
+
+
+def test_texts_without_spans_are_not_shuffled(spark):
+    from tablewright.llm import anchors
+
+    rows = [(i, f"text {i}") for i in range(50)] + [(None, "none"), (0, "text 0")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    docs = anchors.materialized(docs)
+    spans = docs.where("doc_id = 7 OR doc_id IS NULL").selectExpr(
+        "doc_id", "xxhash64(text) AS text_key", "1L AS low", "2L AS high"
+    )
+    for threshold in ("1b", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            got = anchors.with_spans(anchors.Texts.of(docs), spans)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            found = sorted((str(r.doc_id), r.text, r.spans is not None) for r in got.collect())
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert found == sorted((str(i), t, i in (7, None)) for i, t in rows)
+        assert ("LeftSemi" in plan and "BroadcastHashJoin" in plan) == (threshold == "1b")
