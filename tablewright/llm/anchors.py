@@ -183,7 +183,7 @@ def segment_classes(members: DataFrame) -> DataFrame:
 def by_ids(texts: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Texts with an id among ``_id`` (semi) or not (anti), null being taken as 0:
     sent as bits, the ids keep texts that need not meet anything where they are."""
-    keys = ids.select(F.expr("coalesce(_id, 0L)").alias(KEY)).distinct()
+    keys = ids.select(F.expr("coalesce(_id, 0L)").alias(KEY))
     with BroadcastBudget().account() as account:
         return joined_to_orphans(texts, Comparison("coalesce(doc_id, 0L)", KEY, "bigint"), keys, how, account)
 
@@ -194,7 +194,7 @@ def with_texts(texts: Texts, classes: DataFrame) -> DataFrame:
         F.col("rep.doc_id").alias("_id"), F.col("rep.text_key").alias("_key")
     ).agg(F.collect_list(F.struct("rep.place", "gram", "segment", "n")).alias("own"))
     return (
-        by_ids(texts.distinct, listed, "left_semi").join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+        by_ids(texts.distinct, classes.select(F.col("rep.doc_id").alias("_id")), "left_semi").join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
         .select("doc_id", "text_key", "text", "own")
     )
 
@@ -299,12 +299,13 @@ def with_spans(texts: Texts, spans: DataFrame) -> DataFrame:
     listed = spans.groupBy(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")
     ).agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    found = by_ids(texts.rows, listed, "left_semi").join(
+    ids = spans.select(F.col("doc_id").alias("_id"))
+    found = by_ids(texts.rows, ids, "left_semi").join(
         listed,
         F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")),
         "left",
     )
-    others = by_ids(texts.rows, listed, "left_anti")
+    others = by_ids(texts.rows, ids, "left_anti")
     return found.select("doc_id", "text", "spans").unionByName(
         others.select("doc_id", "text"), allowMissingColumns=True
     )

@@ -24,6 +24,10 @@ from tablewright.llm.columns import materialized
 from tablewright.sources.workspace import scratch, workspace
 
 
+# Bytes of text whose words are hashed together.
+CHUNK_BYTES = 1 << 18
+
+
 @dataclass(frozen=True)
 class PassageSettings:
     """``window``: words of a passage that may not repeat; ``gram``: words of an
@@ -101,7 +105,7 @@ class SuffixAutomaton:
 
 def word_anchors(settings: PassageSettings):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in wa.byte_chunks(batches, ("doc_id", "text_key"), 4 * an.PART):
+        for rows, texts in wa.byte_chunks(batches, ("doc_id", "text_key"), CHUNK_BYTES):
             data, begins = wa.joined(texts)
             starts, ends = wa.word_bounds(data)
             words = wa.word_hashes(data, starts, ends)
