@@ -320,3 +320,25 @@ def merged_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
         else:
             out.append([low, high])
     return [(a, b) for a, b in out]
+
+
+def merged_lists(spans: pa.ListArray) -> pa.ListArray:
+    """`merged_spans` of every list at once, as ``start, end``; null as the empty list."""
+    sizes = spans.value_lengths().fill_null(0).to_numpy()
+    low, high = (part.to_numpy() for part in spans.flatten().flatten())
+    if not len(low):
+        low = high = np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    # Lists lie one after the other, with room between them.
+    shift = row * (int(high.max(initial=0)) + 1)
+    order = np.argsort(low + shift, kind="stable")
+    row, low, high = row[order], (low + shift)[order], np.maximum.accumulate((high + shift)[order])
+    opens = np.ones(len(low), bool)
+    opens[1:] = low[1:] > high[:-1]
+    at = np.flatnonzero(opens)
+    ends = high[np.append(at[1:], len(high)) - 1] if len(at) else high
+    ends = ends - shift[at]
+    starts = low[at] - shift[at]
+    bounds = np.append(0, np.cumsum(np.bincount(row[at], minlength=len(sizes))))
+    merged = pa.StructArray.from_arrays([pa.array(starts), pa.array(ends)], ["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), merged)

@@ -249,3 +249,62 @@ def test_texts_without_spans_are_not_shuffled(spark):
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         assert found == sorted((str(i), t, i in (7, None)) for i, t in rows)
         assert ("LeftSemi" in plan and "BroadcastHashJoin" in plan) == (threshold == "1b")
+
+
+def test_passages_stream_only_where_another_document_has_their_anchor(spark, monkeypatch):
+    from tablewright.llm import passages
+
+    rnd = random.Random(9)
+    lone = [words(rnd, 60, [f"lone{k}" for k in range(500)]) for _ in range(20)]
+    near = [f"a{k} " + " ".join(f"near{j}" for j in range(30)) + f" z{k}" for k in range(6)]
+    docs = documents(spark, [*lone, *lone, *near, *near[:2], lone[0] + " . " + lone[0]])
+    seen = []
+    deal = passages.passages
+    monkeypatch.setattr(passages, "passages", lambda *args: seen.append(deal(*args).cache()) or seen[-1])
+    got = [(r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), r.kept) for r in passages_removed(docs).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, plain_passages(plain_rows(docs), 13)))
+    under = {}
+    for row in seen[0].collect():
+        under.setdefault(row.gram, set()).add(row.doc_id)
+    assert under and all(len(ids) > 1 for ids in under.values())
+
+
+def test_an_automaton_holds_only_passages_with_a_later_one(spark, monkeypatch):
+    """Under each anchor the first document's passage is not streamed, the last one's not added."""
+    import pyarrow as pa
+
+    from tablewright.llm import passages
+
+    calls = []
+    add, statistics = SuffixAutomaton.add, SuffixAutomaton.statistics
+    monkeypatch.setattr(SuffixAutomaton, "add", lambda s, w: calls.append(("add", w[0])) or add(s, w))
+    monkeypatch.setattr(SuffixAutomaton, "statistics", lambda s, w: calls.append(("stream", w[0])) or statistics(s, w))
+
+    class Shards:
+        def groupBy(self, _):
+            return self
+
+        def applyInArrow(self, stream, _):
+            rows = [(1, 7, 70, "a x y z"), (2, 7, 71, "b x y z"), (3, 7, 72, "c x y z"), (2, 8, 80, "d u v w")]
+            names = ["doc_id", "gram", "segment", "words"]
+            return stream(pa.table([pa.array(c) for c in zip(*rows)], names))
+
+    found = passages.streamed(Shards(), PassageSettings(window=3, gram=1)).to_pylist()
+    assert calls == [("add", b"a"), ("stream", b"b"), ("add", b"b"), ("stream", b"c")]
+    assert found == [{"gram": 7, "segment": s, "offset": 1} for s in (71, 72)]
+
+
+def test_lists_of_spans_are_merged_as_one_by_one():
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    lists = [None, [], [(2, 5)], [(5, 9), (0, 5)], [(0, 3), (4, 6), (1, 2)]]
+    for _ in range(200):
+        lows = [rnd.randrange(60) for _ in range(rnd.randrange(9))]
+        lists.append([(a, a + rnd.randrange(1, 9)) for a in lows])
+    rows = [s if s is None else [{"low": a, "high": b} for a, b in s] for s in lists]
+    kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+    for at, n in ((0, len(rows)), (3, 50), (0, 2)):
+        got = anchors.merged_lists(pa.array(rows, kind).slice(at, n)).to_pylist()
+        want = [anchors.merged_spans(s) for s in rows[at : at + n]]
+        assert [[(s["start"], s["end"]) for s in own] for own in got] == want
