@@ -8,6 +8,7 @@ from tablewright import export_sql
 from tablewright.catalog import Catalog, decimal, integer, pk, ref, string, table
 from tablewright.functions.sqltext import insert_statements, qualified, quoted, sql_literal
 from tablewright.operators import scripts
+from tablewright.plans.queries import QUERIES
 
 KINDS = {"id": "pk", "p": "fk", "name": "string", "ok": "boolean", "price": "decimal"}
 
@@ -119,3 +120,9 @@ def test_written_scripts_are_in_order_and_small_if_compressed(spark, tmp_path, m
     assert (size < sum(map(len, plain)) / 5) == (compression == "gzip")
     got, _ = read(tmp_path / "all", files + 1)
     assert got == plain + [r.line for r in closing.collect()]
+
+
+@pytest.mark.parametrize("query", ["sink_sql_text", "sink_sql_all"])
+def test_queries_write_their_scripts_compressed(spark, query):
+    files = QUERIES[query](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and all(name.endswith(".txt.gz") for name in files)
